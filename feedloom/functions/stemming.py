@@ -1,8 +1,7 @@
 """The published Porter2 (Snowball English) stemmer as Spark expressions.
 
-Each step is one projected column, so Catalyst keeps it inside the JVM and no
-Python process sees the words. Callers stem a *distinct vocabulary* and join
-back, never running text.
+No Python process sees the words. Callers stem a *distinct vocabulary* and
+join back, never running text.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.binding import let
+
 # --- fixed values -----------------------------------------------------------
 EXCEPTIONS = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl",
@@ -59,100 +60,112 @@ def _first_suffix(word: Column, table) -> Column:
     return out.otherwise(word)
 
 
-def with_stem(df: DataFrame, word: str = "word", stem: str = "stem") -> DataFrame:
-    """Add the stem of column ``word``.
+def _region(word: Column, pattern: str, start: Column) -> Column:
+    """Where the region after ``pattern`` begins, counted from ``start``; the end if nowhere."""
+    head = F.regexp_extract(F.substring(word, start + 1, F.length(word)), pattern, 0)
+    return F.when(head == "", F.length(word)).otherwise(start + F.length(head))
 
-    Words of one or two letters and the listed exceptions are left as they
-    are or looked up.
-    """
-    w, r1, r2 = F.col("__w"), F.col("__r1"), F.col("__r2")
-    bare = F.when(F.col(word).startswith("'"), F.substring(F.col(word), F.lit(2), F.length(word))).otherwise(
-        F.col(word)
-    )
-    out = df.withColumn("__bare", bare)
-    consonant_y = F.regexp_replace(F.regexp_replace(F.col("__bare"), "^y", "Y"), "([aeiouy])y", "$1Y")
-    out = out.withColumn("__w", consonant_y)
-    # Both regions are measured once, on the word before any suffix goes.
-    head = F.regexp_extract(w, REGION_WITH_EXCEPTIONS, 0)
-    out = out.withColumn("__r1", F.when(head == "", F.length(w)).otherwise(F.length(head)))
-    tail = F.regexp_extract(F.substring(w, r1 + 1, F.length(w)), REGION, 0)
-    out = out.withColumn("__r2", F.when(tail == "", F.length(w)).otherwise(r1 + F.length(tail)))
-
-    out = out.withColumn("__w", F.regexp_replace(w, "'(?:s'?)?$", ""))  # step 0
-
-    ies = F.when(F.length(w) > 4, F.concat(_chop(w, 3), F.lit("i"))).otherwise(
-        F.concat(_chop(w, 3), F.lit("ie"))
-    )
-    plural = F.when(_chop(w, 1).rlike("[aeiouy]."), _chop(w, 1)).otherwise(w)
-    out = out.withColumn("__w", _first_suffix(w, (  # step 1a
-        ("sses", _chop(w, 2)), ("ied", ies), ("ies", ies), ("us", w), ("ss", w), ("s", plural),
-    )))
-    out = out.withColumn("__plain", w)
-
-    stripped = F.regexp_extract(w, "^(.*[aeiouy].*?)(?:ingly|edly|ing|ed)$", 1)
-    out = out.withColumn(  # step 1b: which stem, if any, lost -ed or -ing
-        "__cut",
-        F.when(w.rlike("eed(?:ly)?$") | (stripped == ""), F.lit(None)).otherwise(stripped),
-    )
-    cut = F.col("__cut")
-    repaired = (
-        F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e")))
-        .when(cut.rlike(DOUBLE), _chop(cut, 1))
-        .when(
-            cut.rlike(SHORT_SYLLABLE) & (F.regexp_extract(cut, REGION_WITH_EXCEPTIONS, 0).isin("") |
-                                         (F.length(F.regexp_extract(cut, REGION_WITH_EXCEPTIONS, 0)) == F.length(cut))),
-            F.concat(cut, F.lit("e")),
+
+def _plural(w: Column) -> Column:
+    ies = F.concat(_chop(w, 3), F.when(F.length(w) > 4, "i").otherwise("ie"))
+    s = F.when(_chop(w, 1).rlike("[aeiouy]."), _chop(w, 1)).otherwise(w)
+    return _first_suffix(w, (
+        ("sses", _chop(w, 2)), ("ied", ies), ("ies", ies), ("us", w), ("ss", w), ("s", s),
+    ))
+
+
+def _past(w: Column, r1: Column) -> Column:
+    """Take off -ed and -ing where a vowel is left, and repair what remains."""
+    def repaired(cut: Column) -> Column:
+        head = F.length(F.regexp_extract(cut, REGION_WITH_EXCEPTIONS, 0))
+        short = cut.rlike(SHORT_SYLLABLE) & ((head == 0) | (head == F.length(cut)))
+        return (
+            F.when(cut == "", w)
+            .when(cut.rlike("(?:at|bl|iz)$") | (~cut.rlike(DOUBLE) & short), F.concat(cut, F.lit("e")))
+            .when(cut.rlike(DOUBLE), _chop(cut, 1))
+            .otherwise(cut)
         )
-        .otherwise(cut)
-    )
-    out = out.withColumn("__w", (
+
+    return (
         F.when(w.endswith("eedly"), F.when(F.length(w) - 5 >= r1, _chop(w, 3)).otherwise(w))
         .when(w.endswith("eed"), F.when(F.length(w) - 3 >= r1, _chop(w, 1)).otherwise(w))
-        .when(cut.isNotNull(), repaired)
-        .otherwise(w)
-    ))
+        .otherwise(let(F.regexp_extract(w, "^(.*[aeiouy].*?)(?:ingly|edly|ing|ed)$", 1), repaired))
+    )
+
+
+def _swap(w: Column, suffix: str, new: str, fits: Column) -> Column:
+    return F.when(fits, F.concat(_chop(w, len(suffix)), F.lit(new))).otherwise(w)
 
-    out = out.withColumn("__w", F.regexp_replace(w, "(?<=.[^aeiouy])[yY]$", "i"))  # step 1c
 
-    def step2():
+def _derived(w: Column, r1: Column) -> Column:
+    def rows():
         for suffix, new, before in STEP_2:
             fits = F.length(w) - len(suffix) >= r1
-            if before:
-                fits = fits & w.rlike(f"[{before}]{suffix}$")
-            yield suffix, F.when(fits, F.concat(_chop(w, len(suffix)), F.lit(new))).otherwise(w)
+            yield suffix, _swap(w, suffix, new, fits & w.rlike(f"[{before}]{suffix}$") if before else fits)
 
-    out = out.withColumn("__w", _first_suffix(w, step2()))
+    return _first_suffix(w, rows())
 
-    def step3():
+
+def _inflected(w: Column, r1: Column, r2: Column) -> Column:
+    def rows():
         for suffix, new, deep in STEP_3:
-            fits = F.length(w) - len(suffix) >= r1
-            if deep:
-                fits = fits & (F.length(w) - len(suffix) >= r2)
-            yield suffix, F.when(fits, F.concat(_chop(w, len(suffix)), F.lit(new))).otherwise(w)
+            yield suffix, _swap(w, suffix, new, F.length(w) - len(suffix) >= (F.greatest(r1, r2) if deep else r1))
 
-    out = out.withColumn("__w", _first_suffix(w, step3()))
+    return _first_suffix(w, rows())
 
-    def step4():
+
+def _residual(w: Column, r2: Column) -> Column:
+    def rows():
         for suffix in STEP_4:
-            yield suffix, F.when(F.length(w) - len(suffix) >= r2, _chop(w, len(suffix))).otherwise(w)
+            yield suffix, _swap(w, suffix, "", F.length(w) - len(suffix) >= r2)
         for suffix in ("sion", "tion"):
-            yield suffix, F.when(F.length(w) - 3 >= r2, _chop(w, 3)).otherwise(w)
+            yield suffix, _swap(w, "ion", "", F.length(w) - 3 >= r2)
 
-    out = out.withColumn("__w", _first_suffix(w, step4()))
+    return _first_suffix(w, rows())
 
-    shorter = _chop(w, 1)
-    drop_e = (F.length(w) - 1 >= r2) | ((F.length(w) - 1 >= r1) & ~shorter.rlike(SHORT_SYLLABLE))
-    out = out.withColumn("__w", (  # step 5
-        F.when(w.endswith("l"), F.when((F.length(w) - 1 >= r2) & w.endswith("ll"), shorter).otherwise(w))
-        .when(w.endswith("e"), F.when(drop_e, shorter).otherwise(w))
-        .otherwise(w)
-    ))
 
+def _final(w: Column, r1: Column, r2: Column) -> Column:
+    left = F.length(w) - 1
+    drop_e = (left >= r2) | ((left >= r1) & ~_chop(w, 1).rlike(SHORT_SYLLABLE))
+    gone = (w.endswith("ll") & (left >= r2)) | (w.endswith("e") & drop_e)
+    return F.when(gone, _chop(w, 1)).otherwise(w)
+
+
+def _regular(bare: Column) -> Column:
+    """Stem of a word that is no exception."""
+    marked = F.regexp_replace(F.regexp_replace(bare, "^y", "Y"), "([aeiouy])y", "$1Y")
+
+    def measured(word: Column) -> Column:
+        # Both regions are measured once, before any suffix goes.
+        return let(_region(word, REGION_WITH_EXCEPTIONS, F.lit(0)), lambda r1: let(
+            _region(word, REGION, r1), lambda r2: let(
+                _plural(F.regexp_replace(word, "'(?:s'?)?$", "")), lambda w: shortened(w, r1, r2))))
+
+    def shortened(plain: Column, r1: Column, r2: Column) -> Column:
+        steps = (
+            lambda w: _past(w, r1),
+            lambda w: F.regexp_replace(w, "(?<=.[^aeiouy])[yY]$", "i"),
+            lambda w: _derived(w, r1),
+            lambda w: _inflected(w, r1, r2),
+            lambda w: _residual(w, r2),
+            lambda w: _final(w, r1, r2),
+        )
+        out = plain
+        for step in steps:
+            out = let(out, step)
+        return F.when(plain.isin(*INVARIANT_AFTER_PLURALS), plain).otherwise(F.translate(out, "Y", "y"))
+
+    return let(marked, measured)
+
+
+def stem(word: Column) -> Column:
+    """Stem of a lower-case word; one or two letters are left as they are."""
+    bare = F.regexp_replace(word, "^'", "")
     listed = F.create_map(*[F.lit(x) for pair in EXCEPTIONS.items() for x in pair])
-    final = (
-        F.when(F.length(F.col(word)) <= 2, F.col(word))
-        .when(F.col("__bare").isin(*EXCEPTIONS), listed[F.col("__bare")])
-        .when(F.col("__plain").isin(*INVARIANT_AFTER_PLURALS), F.col("__plain"))
-        .otherwise(F.translate(w, "Y", "y"))
+    return F.when(F.length(word) <= 2, word).otherwise(
+        let(bare, lambda b: F.coalesce(F.try_element_at(listed, b), _regular(b)))
     )
-    return out.withColumn(stem, final).drop("__bare", "__w", "__r1", "__r2", "__plain", "__cut")
+
+
+def with_stem(df: DataFrame, word: str = "word", name: str = "stem") -> DataFrame:
+    return df.withColumn(name, stem(F.col(word)))

@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.binding import let
 from feedloom.functions.html import first_link
 from feedloom.operators.filter_list import DEFAULT_FILTERS
 
@@ -59,19 +60,24 @@ def re_sub(text: Column, pattern: str, flags: str = "", sub: str = "", repeat: b
     """
     regex = java_regex(pattern, flags)
     template = java_template(sub)
-    if not repeat:
-        once = F.regexp_replace(text, regex, template)
-    else:
-        opening = (required_opening(pattern) or "")
-        rounds = F.regexp_count(text, F.lit(opening)) if opening else F.length(text)
-        once = F.aggregate(
-            F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))),
-            text,
-            lambda acc, _: F.when(acc.rlike(regex), F.regexp_replace(acc, regex, template)).otherwise(acc),
-        )
-        once = F.when(text.rlike(regex), once).otherwise(text)
     literal = required_literal(pattern, flags)
-    return F.when(F.contains(text, F.lit(literal)), once).otherwise(text) if literal else once
+
+    def once(t: Column) -> Column:
+        return F.regexp_replace(t, regex, template)
+
+    def all_rounds(t: Column) -> Column:
+        opening = required_opening(pattern)
+        rounds = F.regexp_count(t, F.lit(opening)) if opening else F.length(t)
+        return F.when(t.rlike(regex), F.aggregate(
+            F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), t,
+            lambda acc, _: F.when(acc.rlike(regex), once(acc)).otherwise(acc),
+        )).otherwise(t)
+
+    def guarded(t: Column) -> Column:
+        done = all_rounds(t) if repeat else once(t)
+        return F.when(F.contains(t, F.lit(literal)), done).otherwise(t) if literal else done
+
+    return let(text, guarded)
 
 
 def required_opening(pattern: str) -> str:
@@ -79,9 +85,10 @@ def required_opening(pattern: str) -> str:
     return re.match(r"[^\[\](){}.*+?\\|^$]*", pattern).group()
 
 
-def limit_to(link_part: str, link: Column, filtered: Column, content: Column) -> Column:
-    """``filtered`` only where the item link contains a text."""
-    return F.when(F.contains(F.coalesce(link, F.lit("")), F.lit(link_part)), filtered).otherwise(content)
+def limit_to(link_part: str, link: Column, content: Column, apply) -> Column:
+    """``apply(content)`` only where the item link contains a text."""
+    inside = F.contains(F.coalesce(link, F.lit("")), F.lit(link_part))
+    return let(content, lambda c: F.when(inside, apply(c)).otherwise(c))
 
 
 def _expand(text: Column, pattern: str, template: str, flags: str = "") -> Column:
@@ -103,21 +110,23 @@ def re_url(
     """New link: from the link's own match, else from the content's, else unchanged."""
     options = []
     if regex_url:
-        options.append(_expand(link, regex_url, template, flags))
+        options.append(lambda known: _expand(known, regex_url, template, flags))
     if regex_content:
-        options.append(_expand(content, regex_content, template, flags))
-    return F.coalesce(*options, link)
+        options.append(lambda _: let(content, lambda c: _expand(c, regex_content, template, flags)))
+    return let(link, lambda known: F.coalesce(*[option(known) for option in options], known))
 
 
 def re_title(title: Column, content: Column, template: str, pattern: str, flags: str = "") -> Column:
     """Title taken from the content where it is empty or ``Untitled``."""
-    found = F.trim(_expand(content, pattern, template, flags))
-    missing = title.isNull() | title.isin("", UNTITLED)
-    return F.when(missing, F.coalesce(F.nullif(found, F.lit("")), title)).otherwise(title)
+    def replaced(old: Column) -> Column:
+        found = F.trim(let(content, lambda c: _expand(c, pattern, template, flags)))
+        return F.when(old.isNull() | old.isin("", UNTITLED), F.coalesce(F.nullif(found, F.lit("")), old)).otherwise(old)
+
+    return let(title, replaced)
 
 
 def use_first_link(prefix: str, link: Column, content: Column) -> Column:
-    return F.when(link.startswith(prefix), F.coalesce(first_link(content), link)).otherwise(link)
+    return let(link, lambda old: F.when(old.startswith(prefix), F.coalesce(first_link(content), old)).otherwise(old))
 
 
 def dereference(
@@ -196,7 +205,8 @@ def clean(
         if kind == "strip":
             out = out.withColumn("content", re_sub(content, *spec[1:]))
         elif kind == "limit":
-            out = out.withColumn("content", limit_to(spec[1], link, re_sub(content, *spec[2][1:]), content))
+            inner = spec[2][1:]
+            out = out.withColumn("content", limit_to(spec[1], link, content, lambda c: re_sub(c, *inner)))
         elif kind == "link":
             out = out.withColumn("link", re_url(link, content, *spec[1:]))
         elif kind == "title":

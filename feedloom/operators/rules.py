@@ -26,6 +26,7 @@ from feedloom.functions.stemming import with_stem
 from feedloom.functions.text import WORD, fold, fold_text, words
 from feedloom.operators.sizing import broadcast_if_small
 from feedloom.schema import FILTERED, UNREAD
+from feedloom.session import durable
 
 SCOPE_GLOBAL, SCOPE_FEED, SCOPE_FEED_FILTER = 0, 1, 2
 #: Bytes of phrase text one matching pass may ship to the executors.
@@ -105,13 +106,6 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("word").distinct()
 
 
-def surface_words(keyed: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Replace rule words by every word of the vocabulary with the same stem."""
-    wanted = with_stem(keyed).drop("word")
-    reached = with_stem(vocab)
-    return wanted.join(reached, "stem")
-
-
 KEYWORD_KINDS = ("word", "exactword", "all")
 
 
@@ -122,22 +116,23 @@ def keyword_reach(rules: DataFrame, vocab: DataFrame, kinds: tuple[str, ...] = K
     must be found: one for word and exactword, all stems for ``all``.
     """
     columns = ("rule_uid", "rule_feed_uid", "side", "word", "part", "needed")
+    one = F.lit(1).cast("long")
     parts = []
     if "exactword" in kinds:
+        parts.append(rule_words(rules, "exactword").withColumns({"part": F.lit(""), "needed": one}))
+    stemmed = [k for k in kinds if k != "exactword"]
+    if stemmed:
+        keyed = reduce(DataFrame.unionByName, [rule_words(rules, k).withColumn("kind", F.lit(k)) for k in stemmed])
+        # Stems of all words in play, computed once and kept.
+        stems = durable(with_stem(vocab.unionByName(keyed.select("word")).distinct()))
+        wanted = keyed.join(stems, "word").drop("word").distinct()
+        needed = wanted.groupBy("rule_uid", "side", "kind").agg(F.count(F.lit(1)).alias("stems"))
+        in_all = F.col("kind") == "all"
         parts.append(
-            rule_words(rules, "exactword").withColumns({"part": F.lit(""), "needed": F.lit(1).cast("long")})
-        )
-    if "word" in kinds:
-        parts.append(
-            surface_words(rule_words(rules, "word"), vocab)
-            .withColumns({"part": F.lit(""), "needed": F.lit(1).cast("long")})
-        )
-    if "all" in kinds:
-        keyed = rule_words(rules, "all")
-        stems = with_stem(keyed).select("rule_uid", "side", "stem").distinct()
-        needed = stems.groupBy("rule_uid", "side").agg(F.count(F.lit(1)).alias("needed"))
-        parts.append(
-            surface_words(keyed, vocab).withColumn("part", F.col("stem")).join(needed, ["rule_uid", "side"])
+            wanted.join(needed, ["rule_uid", "side", "kind"]).join(stems, "stem").withColumns({
+                "part": F.when(in_all, F.col("stem")).otherwise(F.lit("")),
+                "needed": F.when(in_all, F.col("stems")).otherwise(one),
+            })
         )
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]).distinct()
 
@@ -321,7 +316,9 @@ def _expression_hits(fields: DataFrame, conditions: list[tuple[int, int, Column]
             F.when(test, F.struct(F.lit(scope).alias("scope"), F.lit(uid).cast("long").alias("rule_uid")))
             for scope, uid, test in conditions
         ])
-        found = fields.select("item_uid", F.explode(F.array_compact(hits)).alias("h"))
+        found = fields.select("item_uid", F.array_compact(hits).alias("hs")).select(
+            "item_uid", F.explode("hs").alias("h")
+        )
     return found.select("item_uid", "h.scope", "h.rule_uid", F.lit(None).cast("string").alias("side"))
 
 

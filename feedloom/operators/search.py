@@ -102,17 +102,43 @@ def search_tokens(items: DataFrame, query: str, search_in: str = "title") -> Dat
     return tokenised.where(search_column(tree, [F.col(c) for c in columns])).drop(*columns)
 
 
-def token_table(items: DataFrame) -> DataFrame:
-    """(item_uid, field, token, n): the search tokens of each item, with counts.
+def search_many(items: DataFrame, searches: list[tuple[str, str]]) -> DataFrame:
+    """(search, item_uid) for a list of (query, search_in), in one pass over the text.
 
-    Tokens are counted inside the row first, so nothing is shuffled.
+    A malformed query matches nothing.
     """
-    def exploded(field: str, text: str) -> DataFrame:
-        tokens = F.regexp_extract_all(fold(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-        return items.select("item_uid", F.lit(field).alias("field"), F.explode(F.array_sort(tokens)).alias("token"))
+    texts = {"__title": token_text(F.col("item_title")), "__content": token_text(F.col("item_content"))}
+    title, content = F.col("__title"), F.col("__content")
+    tests = []
+    for i, (query, search_in) in enumerate(searches):
+        try:
+            tree = parse_search(query)
+        except ValueError:
+            continue
+        test = search_column(tree, [title] if search_in == "title" else [title, content])
+        tests.append(F.when(test, F.lit(i)))
+    return items.withColumns(texts).select(
+        F.explode(F.array_compact(F.array(*tests))).alias("search"), "item_uid"
+    )
+
 
-    both = exploded("title", "item_title").unionByName(exploded("content", "item_content"))
-    return both.groupBy("item_uid", "field", "token").agg(F.count(F.lit(1)).alias("n"))
+def token_table(items: DataFrame) -> DataFrame:
+    """(item_uid, field, token): the distinct search tokens of each item.
+
+    Duplicates go inside the row, so nothing is shuffled.
+    """
+    def tokens(text: str) -> Column:
+        return F.array_distinct(
+            F.regexp_extract_all(fold(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
+        )
+
+    fields = F.array(
+        F.struct(F.lit("title").alias("field"), tokens("item_title").alias("ts")),
+        F.struct(F.lit("content").alias("field"), tokens("item_content").alias("ts")),
+    )
+    return items.select("item_uid", F.explode(fields).alias("f")).select(
+        "item_uid", "f.field", F.explode("f.ts").alias("token")
+    )
 
 
 def update_tokens(tokens: DataFrame, changes: DataFrame) -> DataFrame:

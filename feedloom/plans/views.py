@@ -48,15 +48,11 @@ def _orders(m):
 
 
 def _searches(m):
-    parts = []
-    for i, query in enumerate(SEARCHES):
-        for scope in ("title", "both"):
-            try:
-                hits = Q.search_tokens(m.items, query, scope)
-            except ValueError:
-                hits = m.items.where(F.lit(False))
-            parts.append(hits.select(F.lit(i).alias("query"), F.lit(scope).alias("scope"), "item_uid"))
-    return reduce(DataFrame.unionByName, parts)
+    searches = [(query, scope) for query in SEARCHES for scope in ("title", "both")]
+    return Q.search_many(m.items, searches).select(
+        (F.col("search") / 2).cast("int").alias("query"),
+        F.when(F.col("search") % 2 == 0, "title").otherwise("both").alias("scope"), "item_uid",
+    )
 
 
 def _search_sql() -> str:
@@ -144,9 +140,9 @@ QUERIES = {
         extra=f"toks AS (SELECT item_uid, {token_text_sql('item_title')} AS tt, {token_text_sql('item_content')} AS ct FROM items)")),
     "token_table": (
         lambda m: Q.token_table(m.items),
-        with_model(f"""SELECT item_uid, field, token, count(*) AS n FROM (
+        with_model(f"""SELECT DISTINCT item_uid, field, token FROM (
           SELECT item_uid, 'title' AS field, unnest({tokens_sql('item_title')}) AS token FROM items
-          UNION ALL SELECT item_uid, 'content', unnest({tokens_sql('item_content')}) FROM items) GROUP BY 1, 2, 3""", "items")),
+          UNION ALL SELECT item_uid, 'content', unnest({tokens_sql('item_content')}) FROM items)""", "items")),
     "update_tokens": (
         # Changes: filtered articles lose their content, uninteresting ones go, the batch's new ones come.
         lambda m: Q.update_tokens(
@@ -155,10 +151,10 @@ QUERIES = {
                 "item_uid", "item_title",
                 F.when(F.col("item_rating") == -2, F.lit("")).otherwise(F.col("item_content")).alias("item_content"),
                 (F.col("item_rating") == -1).alias("deleted"))),
-        with_model(f"""SELECT item_uid, field, token, count(*) AS n FROM (
+        with_model(f"""SELECT DISTINCT item_uid, field, token FROM (
           SELECT item_uid, 'title' AS field, unnest({tokens_sql('item_title')}) AS token FROM items WHERE item_rating <> -1
           UNION ALL SELECT item_uid, 'content', unnest({tokens_sql('item_content')}) FROM items
-          WHERE item_rating NOT IN (-1, -2)) GROUP BY 1, 2, 3""", "items")),
+          WHERE item_rating NOT IN (-1, -2))""", "items")),
     "article_view": (
         lambda m: _flat_view(V.article_view(V.filter_rating(m.items), m.feeds, m.stats, m.tags, AS_OF)),
         with_model(_view_sql("item_rating = 0", "", 200), "stats", "tags")),
@@ -198,12 +194,12 @@ QUERIES = {
         lambda m: X.share(m.items, m.feeds).select(
             "item_uid", S.xml_text(F.col("item_title")).alias("title"), S.xml_text(F.col("entry_author")).alias("author"),
             H.truncate_html(F.col("item_content")).alias("content")),
-        with_model(f"""SELECT item_uid, array_to_string(list_transform(string_split({XML_SQL.format('item_title')}, ''),
-            c -> CASE WHEN c >= chr(128) AND c <= chr(255) THEN '&#' || ord(c) || ';' ELSE c END), '') AS title,
+        with_model(f"""SELECT item_uid, array_to_string([CASE WHEN c >= chr(128) AND c <= chr(255) THEN '&#' || ord(c) || ';' ELSE c END
+            FOR c IN string_split({XML_SQL.format('item_title')}, '')], '') AS title,
           {XML_SQL.format('entry_author')} AS author,
           array_to_string(list_slice(ws, 1, 50), ' ') || CASE WHEN len(ws) > 50 THEN '...' ELSE '' END AS content
-        FROM (SELECT *, list_filter(regexp_split_to_array(trim(regexp_replace(item_content, '<[^>]*>', ' ', 'g')), '\\s+'),
-          w -> w <> '') AS ws FROM ({SHARE_SQL}))""", "items", "feeds")),
+        FROM (SELECT *, [w FOR w IN regexp_split_to_array(trim(regexp_replace(item_content, '<[^>]*>', ' ', 'g')), '\\s+')
+          IF w <> ''] AS ws FROM ({SHARE_SQL}))""", "items", "feeds")),
     "sync_json": (
         lambda m: X.sync_rows(V.article_view(
             V.select_items(m.items, updated="2024-01-01 00:00:00"), m.feeds, m.stats, m.tags, AS_OF)).select(
