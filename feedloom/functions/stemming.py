@@ -167,5 +167,17 @@ def stem(word: Column) -> Column:
     )
 
 
+def stem_start(word: Column) -> Column:
+    """The first two letters of the stem of ``word``, or more than the stem if it has one letter.
+
+    Every suffix rule leaves two letters in place, save that -ed, -ing and
+    -'s may leave one; only the listed exceptions change a letter there.
+    """
+    bare = F.regexp_replace(word, "^'", "")
+    listed = F.create_map(*[F.lit(x) for pair in EXCEPTIONS.items() for x in pair])
+    return F.substring(F.when(F.length(word) <= 2, word).otherwise(
+        F.coalesce(F.try_element_at(listed, bare), bare)), 1, 2)
+
+
 def with_stem(df: DataFrame, word: str = "word", name: str = "stem") -> DataFrame:
     return df.withColumn(name, stem(F.col(word)))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from feedloom.functions.html import highlight_pattern, java_quote
 from feedloom.functions.rule_helpers import clean_rule, register_helpers, rule_kind
 from feedloom.functions.scalars import as_of_column
-from feedloom.functions.stemming import with_stem
+from feedloom.functions.stemming import stem_start, with_stem
 from feedloom.functions.text import WORD, fold, fold_text, words
 from feedloom.operators.sizing import broadcast_if_small
 from feedloom.schema import FILTERED, UNREAD
@@ -123,13 +123,12 @@ def keyword_reach(rules: DataFrame, vocab: DataFrame, kinds: tuple[str, ...] = K
     stemmed = [k for k in kinds if k != "exactword"]
     if stemmed:
         keyed = reduce(DataFrame.unionByName, [rule_words(rules, k).withColumn("kind", F.lit(k)) for k in stemmed])
-        # Stems of all words in play, computed once and kept.
-        stems = durable(with_stem(vocab.unionByName(keyed.select("word")).distinct()))
-        wanted = keyed.join(stems, "word").drop("word").distinct()
+        wanted = durable(with_stem(keyed).drop("word").distinct())
         needed = wanted.groupBy("rule_uid", "side", "kind").agg(F.count(F.lit(1)).alias("stems"))
+        reached = with_stem(_near(vocab, wanted))
         in_all = F.col("kind") == "all"
         parts.append(
-            wanted.join(needed, ["rule_uid", "side", "kind"]).join(stems, "stem").withColumns({
+            wanted.join(needed, ["rule_uid", "side", "kind"]).join(reached, "stem").withColumns({
                 "part": F.when(in_all, F.col("stem")).otherwise(F.lit("")),
                 "needed": F.when(in_all, F.col("stems")).otherwise(one),
             })
@@ -137,6 +136,21 @@ def keyword_reach(rules: DataFrame, vocab: DataFrame, kinds: tuple[str, ...] = K
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]).distinct()
 
 
+def _near(vocab: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Words that can have one of the wanted stems, to spare stemming the others.
+
+    A stem keeps the first two letters of its word, the listed exceptions and
+    stems of a single letter apart; those are compared by what they map to and
+    by one letter.
+    """
+    keys = wanted.select(F.substring("stem", 1, 2).alias("key")).distinct()
+    start = stem_start(F.col("word"))
+    keyed = vocab.select("word", F.explode(F.array_distinct(F.array(start, F.substring(start, 1, 1)))).alias("key"))
+    # Stemming is the costly part, so the few words left are spread out again.
+    partitions = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.join(keys, "key", "left_semi").select("word").distinct().repartition(partitions, "word")
+
+
 def match_keywords(
     tokens: DataFrame, rules: DataFrame, vocab: DataFrame | None = None, kinds: tuple[str, ...] = KEYWORD_KINDS
 ) -> DataFrame:
@@ -190,8 +204,7 @@ def match_wordless(scoped: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _phrase_finder(phrases: list[tuple[int, str]]):
-    """Arrow UDF: positions in ``phrases`` of those occurring in each text."""
-    texts = [text for _, text in phrases]
+    """Arrow UDF: numbers of the ``phrases`` (number, text) occurring in each text."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def find(column: pd.Series) -> pd.Series:
@@ -201,11 +214,11 @@ def _phrase_finder(phrases: list[tuple[int, str]]):
             import ahocorasick
 
             machine = ahocorasick.Automaton()
-            for i, text in enumerate(texts):
+            for i, text in phrases:
                 if text:
                     machine.add_word(text, (*machine.get(text, ()), i))
             machine.make_automaton()
-            empty = [i for i, text in enumerate(texts) if not text]
+            empty = [i for i, text in phrases if not text]
 
             def hits(value):
                 found = set(empty)
@@ -215,54 +228,59 @@ def _phrase_finder(phrases: list[tuple[int, str]]):
                 return sorted(found)
         except ImportError:
             def hits(value):
-                return [i for i, text in enumerate(texts) if text in value]
+                return [i for i, text in phrases if text in value]
 
         return column.map(lambda value: hits(value) if value is not None else None)
 
     return find
 
 
-def _match_phrases(scoped: DataFrame, rules: DataFrame, match: str, fold_case: bool) -> DataFrame:
-    """Substring rules, several thousand at a time in one scan of the text.
+def match_phrases(scoped: DataFrame, rules: DataFrame, kinds: tuple[str, ...] = ("phrase", "phrase_lc")) -> DataFrame:
+    """Substring rules (``phrase_lc`` in the lower-cased text), all in one scan.
 
     The rule texts travel in the function, so their size is measured first;
-    beyond ``PHRASE_BYTES_PER_PASS`` they are split over several passes. Text
+    beyond ``PHRASE_BYTES_PER_PASS`` they are split over several scans. Text
     and rules are never paired up.
     """
     spark = scoped.sparkSession
-    wanted = expand_targets(rules).where(F.col("match") == match).select("rule_uid", "rule_feed_uid", "side", "rule_text")
+    wanted = expand_targets(rules).where(F.col("match").isin(*kinds)).select(
+        "rule_uid", "rule_feed_uid", "side", "match", "rule_text"
+    )
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("rule_text")), F.lit(0)).alias("b")).first()["b"]
     passes = int(size // PHRASE_BYTES_PER_PASS) + 1
-    schema = T.StructType([
-        T.StructField("item_uid", T.LongType()), T.StructField("scope", T.IntegerType()),
-        T.StructField("rule_uid", T.LongType()), T.StructField("side", T.StringType()),
-    ])
-    out = spark.createDataFrame([], schema)
+    parts = []
     for number in range(passes):
         chunk = wanted.where(F.pmod(F.hash("rule_uid"), F.lit(passes)) == number) if passes > 1 else wanted
-        for side, column in (("title", "item_title"), ("content", "item_content")):
-            rows = chunk.where(F.col("side") == side).orderBy("rule_uid").collect()
-            if not rows:
-                continue
-            find = _phrase_finder([(r["rule_uid"], r["rule_text"]) for r in rows])
-            text = F.lower(F.col(column)) if fold_case else F.col(column)
-            listed = spark.createDataFrame(
-                [(i, r["rule_uid"], r["rule_feed_uid"], side) for i, r in enumerate(rows)],
-                "hit int, rule_uid long, rule_feed_uid long, side string",
-            )
-            hits = scoped.select("item_uid", "item_feed_uid", "exempt", F.explode(find(text)).alias("hit"))
-            out = out.unionByName(_matches(hits.join(listed, "hit")))
-    return out
+        groups: dict[tuple, list] = {}
+        listed = []
+        for row in chunk.orderBy("rule_uid").collect():
+            groups.setdefault((row["side"], row["match"]), []).append((len(listed), row["rule_text"]))
+            listed.append((len(listed), row["rule_uid"], row["rule_feed_uid"], row["side"]))
+        if not listed:
+            continue
+        found = []
+        for (side, match), phrases in groups.items():
+            text = F.col(f"item_{side}")
+            found.append(_phrase_finder(phrases)(F.lower(text) if match == "phrase_lc" else text))
+        hits = scoped.select("item_uid", "item_feed_uid", "exempt", *[f.alias(f"h{i}") for i, f in enumerate(found)])
+        every = F.flatten(F.array_compact(F.array(*[f"h{i}" for i in range(len(found))])))
+        table = spark.createDataFrame(listed, "hit int, rule_uid long, rule_feed_uid long, side string")
+        parts.append(_matches(
+            hits.select("item_uid", "item_feed_uid", "exempt", F.explode(every).alias("hit")).join(table, "hit")
+        ))
+    if not parts:
+        return spark.createDataFrame([], "item_uid long, scope int, rule_uid long, side string")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def match_phrase(scoped: DataFrame, rules: DataFrame) -> DataFrame:
     """Case-sensitive substring."""
-    return _match_phrases(scoped, rules, "phrase", fold_case=False)
+    return match_phrases(scoped, rules, ("phrase",))
 
 
 def match_phrase_lc(scoped: DataFrame, rules: DataFrame) -> DataFrame:
     """Substring of the lower-cased text."""
-    return _match_phrases(scoped, rules, "phrase_lc", fold_case=True)
+    return match_phrases(scoped, rules, ("phrase_lc",))
 
 
 def match_tag(scoped: DataFrame, tags: DataFrame, rules: DataFrame) -> DataFrame:
@@ -371,8 +389,7 @@ def match_rules(items: DataFrame, feeds: DataFrame, rules: DataFrame, tags: Data
     parts = [
         match_keywords(tokens, live),
         match_wordless(scoped, live),
-        match_phrase(scoped, live),
-        match_phrase_lc(scoped, live),
+        match_phrases(scoped, live),
         match_tag(scoped, tags, live),
         match_author(scoped, live),
         match_expr(scoped, feeds, live),

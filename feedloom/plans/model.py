@@ -15,7 +15,7 @@ from feedloom import schema
 from feedloom.functions.scalars import as_of_column
 from feedloom.functions.text import LIGATURES, WORD, fold_table
 from feedloom.operators.sizing import broadcast_if_small
-from feedloom.sources.tables import conform
+from feedloom.sources.tables import conform, spread
 
 AS_OF = "2024-01-31 00:00:00"
 DAY = 86_400_000_000
@@ -100,8 +100,15 @@ class Model:
     @cached_property
     def items(self) -> DataFrame:
         """One article per document, rated by its label where it has one."""
-        labels = self.table("labels")
-        docs = self.table("documents").join(labels, "doc_id", "left")
+        return self._articles(self.table("documents"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The same articles for work on their text, spread over the cores."""
+        return self._articles(spread(self.table("documents"), "doc_id"))
+
+    def _articles(self, documents: DataFrame) -> DataFrame:
+        docs = documents.join(self.table("labels"), "doc_id", "left")
         uid = F.col("doc_id")
         site = F.concat(F.lit("http://"), "source", F.lit(".example.com/"))
         created = F.timestamp_micros(F.unix_micros(as_of_column(AS_OF)) - (uid * 37 % 400) * F.lit(DAY))
@@ -162,7 +169,7 @@ class Model:
     @cached_property
     def entries(self) -> DataFrame:
         """The batch: every article, and labelled ones a second time further down."""
-        docs = self.items.join(
+        docs = self.texts.join(
             self.table("documents").select(F.col("doc_id").alias("item_uid"), "lang", "source"), "item_uid"
         )
         first = docs.select(
@@ -218,7 +225,7 @@ class Model:
             .otherwise(F.lit("<br>\n<br>"))
         )
         body = F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>")))
-        return self.table("pages").select("page_id", "url", F.concat(body, tail).alias("html"))
+        return spread(self.table("pages"), "page_id").select("page_id", "url", F.concat(body, tail).alias("html"))
 
     @cached_property
     def articles(self) -> DataFrame:

@@ -14,7 +14,7 @@ from feedloom.plans.stem_sql import stem_ctes
 
 
 def _scoped(m):
-    return R.scope_keys(m.items, m.feeds)
+    return R.scope_keys(m.texts, m.feeds)
 
 
 def _live(m):
@@ -92,7 +92,7 @@ VERDICT_CTES = ",".join((LIVE_SQL, STEMS_SQL, ALL_MATCHES_SQL, FIRST_SQL))
 
 
 def _match_all_rules(m):
-    return R.match_rules(m.items, m.feeds, m.rules, m.tags, AS_OF)
+    return R.match_rules(m.texts, m.feeds, m.rules, m.tags, AS_OF)
 
 
 def _requests(m):
@@ -145,13 +145,13 @@ QUERIES = {
         lambda m: R.first_rule(_match_all_rules(m)),
         with_model("SELECT item_uid, rule_uid, side, scope = 2 AS feed_filter_hit FROM first", *NEEDS, extra=VERDICT_CTES)),
     "rate": (
-        lambda m: R.rate(m.items, R.first_rule(_match_all_rules(m))).select(
+        lambda m: R.rate(m.texts, R.first_rule(_match_all_rules(m))).select(
             "item_uid", "item_title", "item_rating", "item_rule_uid", "item_rule_side", "feed_filter_hit"),
         with_model("""SELECT item_uid, item_title, CASE WHEN rule_uid IS NULL THEN 0 ELSE -2 END AS item_rating,
           rule_uid AS item_rule_uid, side AS item_rule_side, coalesce(scope = 2, FALSE) AS feed_filter_hit
         FROM items LEFT JOIN first USING (item_uid)""", *NEEDS, extra=VERDICT_CTES)),
     "highlight": (
-        lambda m: R.highlight(R.rate(m.items, R.first_rule(
+        lambda m: R.highlight(R.rate(m.texts, R.first_rule(
             R.match_tag(_scoped(m), m.tags, _live(m)).unionByName(R.match_author(_scoped(m), _live(m)))
             .unionByName(R.match_phrase(_scoped(m), _live(m))).unionByName(R.match_exactword(_tokens(m), _live(m)))
         )), m.rules).where("item_rating = -2").select("item_uid", "item_rule_uid", F.col("item_content").alias("content"),
@@ -227,7 +227,7 @@ QUERIES = {
         with_model("""SELECT page_id, coalesce(nullif(regexp_extract(html, '<a [^>]*href="([^"]*)"[^>]*>the</a>', 1), ''), 'NOT MATCHED') AS the,
           coalesce(nullif(regexp_extract(html, '<a [^>]*href="([^"]*)"[^>]*>The</a>', 1), ''), 'NOT MATCHED') AS cased FROM web""", "pages")),
     "membership_helpers": (
-        lambda m: R.with_rule_fields(m.items).select(
+        lambda m: R.with_rule_fields(m.texts).select(
             "item_uid", *[RH.any_of(t, f, ["tion", "für", "The"]).alias(f"{t}_any" + (f"_{f}" if f else ""))
                           for t in ("title", "content", "union") for f in ("", "lc", "words")]),
         with_model("SELECT item_uid, " + ", ".join(

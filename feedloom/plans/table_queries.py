@@ -26,7 +26,8 @@ from feedloom.streaming import incremental as I
 
 BATCH_SQL = """
 once AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_uid, guid ORDER BY position DESC) AS n FROM entries) WHERE n = 1
+  SELECT * EXCLUDE again FROM (SELECT *, row_number() OVER (PARTITION BY feed_uid, guid ORDER BY position DESC) AS again FROM entries)
+  WHERE again = 1
 ),
 fresh AS (
   SELECT * FROM once e WHERE NOT runt

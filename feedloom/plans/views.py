@@ -49,7 +49,7 @@ def _orders(m):
 
 def _searches(m):
     searches = [(query, scope) for query in SEARCHES for scope in ("title", "both")]
-    return Q.search_many(m.items, searches).select(
+    return Q.search_many(m.texts, searches).select(
         (F.col("search") / 2).cast("int").alias("query"),
         F.when(F.col("search") % 2 == 0, "title").otherwise("both").alias("scope"), "item_uid",
     )
@@ -139,15 +139,15 @@ QUERIES = {
         _search_sql(), "items",
         extra=f"toks AS (SELECT item_uid, {token_text_sql('item_title')} AS tt, {token_text_sql('item_content')} AS ct FROM items)")),
     "token_table": (
-        lambda m: Q.token_table(m.items),
+        lambda m: Q.token_table(m.texts),
         with_model(f"""SELECT DISTINCT item_uid, field, token FROM (
           SELECT item_uid, 'title' AS field, unnest({tokens_sql('item_title')}) AS token FROM items
           UNION ALL SELECT item_uid, 'content', unnest({tokens_sql('item_content')}) FROM items)""", "items")),
     "update_tokens": (
         # Changes: filtered articles lose their content, uninteresting ones go, the batch's new ones come.
         lambda m: Q.update_tokens(
-            Q.token_table(m.items.where("item_rating <> 0")),
-            m.items.where("item_rating IN (-2, -1, 0)").select(
+            Q.token_table(m.texts.where("item_rating <> 0")),
+            m.texts.where("item_rating IN (-2, -1, 0)").select(
                 "item_uid", "item_title",
                 F.when(F.col("item_rating") == -2, F.lit("")).otherwise(F.col("item_content")).alias("item_content"),
                 (F.col("item_rating") == -1).alias("deleted"))),
@@ -237,12 +237,12 @@ QUERIES = {
           trim(replace(replace(replace(regexp_replace(item_title, '<[^>]*>', '', 'g'), '"', '&quot;'), '& ', '&amp; '), '©', '&copy;')) AS desc
         FROM items""", "items")),
     "word_sets": (
-        lambda m: m.items.select("item_uid", F.array_join(F.array_sort(T.words(F.col("item_title"))), " ").alias("title_words"),
+        lambda m: m.texts.select("item_uid", F.array_join(F.array_sort(T.words(F.col("item_title"))), " ").alias("title_words"),
                                  F.size(T.words(F.col("item_content"))).cast("long").alias("content_words")),
         with_model(f"""SELECT item_uid, array_to_string(list_sort({words_sql('item_title')}), ' ') AS title_words,
           len({words_sql('item_content')}) AS content_words FROM items""", "items")),
     "stems": (
-        lambda m: with_stem(m.items.select(F.explode(T.words(F.col("item_content"))).alias("word")).distinct()),
+        lambda m: with_stem(m.texts.select(F.explode(T.words(F.col("item_content"))).alias("word")).distinct()),
         with_model("SELECT word, stem FROM stems", "items", extra=f"""
           vocab AS (SELECT DISTINCT unnest({words_sql('item_content')}) AS word FROM items),{stem_ctes('vocab', 'stems')}""")),
     "stem_titles": (
@@ -256,7 +256,7 @@ QUERIES = {
 
 def _stem_phrases(m):
     """Sorted distinct stems of each title, stemming the vocabulary once."""
-    tokens = m.items.select("item_uid", F.explode(T.words(F.col("item_title"))).alias("word"))
+    tokens = m.texts.select("item_uid", F.explode(T.words(F.col("item_title"))).alias("word"))
     stems = with_stem(tokens.select("word").distinct())
     return tokens.join(stems, "word").groupBy("item_uid").agg(
         F.array_join(F.array_sort(F.collect_set("stem")), " ").alias("stems"))

@@ -44,3 +44,18 @@ def save(path: str, **frames: DataFrame) -> None:
     """Write whole tables to a new folder."""
     for name, df in frames.items():
         conform(df, getattr(schema, name.upper())).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+#: Below this many bytes per core an input is spread over all cores.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small scan that feeds heavy text work one partition per core.
+
+    A Parquet row group is one task, so a file of one row group would be
+    worked on by one core. Inputs with a full split per core are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES else df
