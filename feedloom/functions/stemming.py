@@ -179,5 +179,12 @@ def stem_start(word: Column) -> Column:
         F.coalesce(F.try_element_at(listed, bare), bare)), 1, 2)
 
 
+_COLUMNS: dict[tuple[str, str], Column] = {}
+
+
 def with_stem(df: DataFrame, word: str = "word", name: str = "stem") -> DataFrame:
-    return df.withColumn(name, stem(F.col(word)))
+    """Add the stem of a column. The long expression is built once per session and column."""
+    key = (df.sparkSession.sparkContext.applicationId, word)
+    if key not in _COLUMNS:
+        _COLUMNS[key] = stem(F.col(word))
+    return df.withColumn(name, _COLUMNS[key])

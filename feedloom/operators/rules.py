@@ -88,7 +88,8 @@ def item_words(scoped: DataFrame) -> DataFrame:
         F.struct(F.lit("content").alias("side"), words(F.col("item_content")).alias("ws")),
     )
     return (
-        scoped.select("item_uid", "item_feed_uid", "exempt", F.explode(sides).alias("s"))
+        # explode_outer: a plain explode is guarded by a size filter that tokenises once more.
+        scoped.select("item_uid", "item_feed_uid", "exempt", F.explode_outer(sides).alias("s"))
         .select("item_uid", "item_feed_uid", "exempt", F.col("s.side").alias("side"), F.explode("s.ws").alias("word"))
     )
 
@@ -125,7 +126,8 @@ def keyword_reach(rules: DataFrame, vocab: DataFrame, kinds: tuple[str, ...] = K
         keyed = reduce(DataFrame.unionByName, [rule_words(rules, k).withColumn("kind", F.lit(k)) for k in stemmed])
         wanted = durable(with_stem(keyed).drop("word").distinct())
         needed = wanted.groupBy("rule_uid", "side", "kind").agg(F.count(F.lit(1)).alias("stems"))
-        reached = with_stem(_near(vocab, wanted))
+        # Kept, or the join would stem every word again to look for nulls.
+        reached = durable(with_stem(_near(vocab, wanted)))
         in_all = F.col("kind") == "all"
         parts.append(
             wanted.join(needed, ["rule_uid", "side", "kind"]).join(reached, "stem").withColumns({
@@ -266,7 +268,9 @@ def match_phrases(scoped: DataFrame, rules: DataFrame, kinds: tuple[str, ...] =
         every = F.flatten(F.array_compact(F.array(*[f"h{i}" for i in range(len(found))])))
         table = spark.createDataFrame(listed, "hit int, rule_uid long, rule_feed_uid long, side string")
         parts.append(_matches(
-            hits.select("item_uid", "item_feed_uid", "exempt", F.explode(every).alias("hit")).join(table, "hit")
+            hits.select("item_uid", "item_feed_uid", "exempt", F.explode(every).alias("hit")).join(
+                F.broadcast(table), "hit"  # one short row per phrase of this measured pass
+            )
         ))
     if not parts:
         return spark.createDataFrame([], "item_uid long, scope int, rule_uid long, side string")
@@ -335,8 +339,8 @@ def _expression_hits(fields: DataFrame, conditions: list[tuple[int, int, Column]
             for scope, uid, test in conditions
         ])
         found = fields.select("item_uid", F.array_compact(hits).alias("hs")).select(
-            "item_uid", F.explode("hs").alias("h")
-        )
+            "item_uid", F.explode_outer("hs").alias("h")
+        ).where(F.col("h").isNotNull())
     return found.select("item_uid", "h.scope", "h.rule_uid", F.lit(None).cast("string").alias("side"))
 
 

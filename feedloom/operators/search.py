@@ -118,8 +118,8 @@ def search_many(items: DataFrame, searches: list[tuple[str, str]]) -> DataFrame:
         test = search_column(tree, [title] if search_in == "title" else [title, content])
         tests.append(F.when(test, F.lit(i)))
     return items.withColumns(texts).select(
-        F.explode(F.array_compact(F.array(*tests))).alias("search"), "item_uid"
-    )
+        F.explode_outer(F.array_compact(F.array(*tests))).alias("search"), "item_uid"
+    ).where(F.col("search").isNotNull())
 
 
 def token_table(items: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def token_table(items: DataFrame) -> DataFrame:
         F.struct(F.lit("title").alias("field"), tokens("item_title").alias("ts")),
         F.struct(F.lit("content").alias("field"), tokens("item_content").alias("ts")),
     )
-    return items.select("item_uid", F.explode(fields).alias("f")).select(
+    return items.select("item_uid", F.explode_outer(fields).alias("f")).select(
         "item_uid", "f.field", F.explode("f.ts").alias("token")
     )
 

@@ -159,7 +159,7 @@ class Model:
             F.lit(None).cast("long").alias("rule_feed_uid"), F.lit(None).cast("timestamp").alias("rule_expires"),
             F.when(odd, F.lower(sentence)).otherwise(sentence).alias("rule_text"),
         )
-        return conform(fixed.unionByName(passages), schema.RULES)
+        return broadcast_if_small(conform(fixed.unionByName(passages), schema.RULES))
 
     @cached_property
     def stored(self) -> DataFrame:
