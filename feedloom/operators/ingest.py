@@ -70,14 +70,21 @@ def drop_batch_dups(entries: DataFrame) -> DataFrame:
     final = F.col("final_link") if "final_link" in entries.columns else F.col("link")
     state = entries.select("feed_uid", (-F.col("position")).alias("ord"), "title", "link", final.alias("final"))
     by_title = state.groupBy("feed_uid", "title").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND title IS NOT NULL")
-    by_link = state.groupBy("feed_uid", F.col("final").alias("link")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")
-    ).where("link IS NOT NULL")
-    # Only entries that can conflict at all take part in the rounds.
+
+    def users(column: str, key: str, n: str, first: str) -> DataFrame:
+        return state.groupBy("feed_uid", F.col(column).alias(key)).agg(
+            F.count(F.lit(1)).alias(n), F.min("ord").alias(first)
+        ).where(F.col(key).isNotNull())
+
+    def other(n: str, first: str):
+        return F.coalesce((F.col(n) > 1) | (F.col(first) != F.col("ord")), F.lit(False))
+
+    # Only entries that can be rejected, or have others rejected, take part in the rounds.
     undecided = durable(
-        state.join(by_title.select("feed_uid", "title", F.lit(True).alias("t")), ["feed_uid", "title"], "left")
-        .join(by_link.select("feed_uid", "link", "n", "first"), ["feed_uid", "link"], "left")
-        .where(F.coalesce("t", F.lit(False)) | F.coalesce((F.col("n") > 1) | (F.col("first") != F.col("ord")), F.lit(False)))
+        state.join(by_title.select("feed_uid", "title", F.lit(True).alias("shared")), ["feed_uid", "title"], "left")
+        .join(users("final", "link", "stored_n", "stored_first"), ["feed_uid", "link"], "left")
+        .join(users("link", "final", "named_n", "named_first"), ["feed_uid", "final"], "left")
+        .where(F.coalesce("shared", F.lit(False)) | other("stored_n", "stored_first") | other("named_n", "named_first"))
         .select(*state.columns)
     )
     rejected = None

@@ -21,7 +21,7 @@ def read_opml(spark: SparkSession, path: str) -> DataFrame:
     read as ISO-8859-1.
     """
     files = spark.read.format("binaryFile").load(path)
-    latin = F.decode("content", F.lit("ISO-8859-1"))
+    latin = F.decode("content", "ISO-8859-1")
     declared = F.upper(F.regexp_extract(F.substring(latin, 1, 200), """encoding=["']([^"']+)["']""", 1))
     text = F.when(declared.isin(*LATIN_1), latin).otherwise(
         F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), latin)
