@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import reports, rule_queries, table_queries, views
+from feedloom.plans import io_queries, reports, rule_queries, table_queries, views
 from feedloom.plans.model import model
 
-MODULES = (reports, views, rule_queries, table_queries)
+MODULES = (reports, views, rule_queries, table_queries, io_queries)
 
 
 def _bind(build) -> Callable[[SparkSession, str], DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,14 +30,17 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder name on storage all executors share.
 
-    The directory is the shared one the cluster names in
-    ``spark.checkpoint.dir``. Only where that is unset (tests on one machine)
-    is a temporary directory used.
+    It lies in the directory the cluster names in ``spark.checkpoint.dir``.
+    Only where that is unset (tests on one machine) is a temporary one used.
     """
-    spark = df.sparkSession
+    _checkpoint_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def _checkpoint_ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", "")
@@ -46,4 +50,9 @@ def durable(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in reliable storage and cut its lineage."""
+    _checkpoint_ready(df.sparkSession)
     return df.checkpoint(eager=True)
