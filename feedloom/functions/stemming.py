@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.binding import let
+from feedloom.functions.text import words
 
 # --- fixed values -----------------------------------------------------------
 EXCEPTIONS = {
@@ -188,3 +189,15 @@ def with_stem(df: DataFrame, word: str = "word", name: str = "stem") -> DataFram
     if key not in _COLUMNS:
         _COLUMNS[key] = stem(F.col(word))
     return df.withColumn(name, _COLUMNS[key])
+
+
+def stem_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, stems): the sorted distinct stems of each text, joined by spaces.
+
+    The vocabulary is stemmed once and joined back to narrow (key, word) rows.
+    """
+    tokens = df.select(key, F.explode(words(F.col(text))).alias("word"))
+    stems = with_stem(tokens.select("word").distinct())
+    return tokens.join(stems, "word").groupBy(key).agg(
+        F.array_join(F.array_sort(F.collect_set("stem")), " ").alias("stems")
+    )

@@ -183,19 +183,28 @@ def ingest(
     rules: DataFrame,
     as_of,
     redirects: DataFrame | None = None,
+    pages: DataFrame | None = None,
 ) -> Ingested:
     """One refresh: what to append to items and tags, the counters, and the feeds.
 
+    ``redirects`` (url, final_url) and ``pages`` (url, html) are optional.
     Item ids continue from the highest stored one in feed and processing
     order. Running the same batch again adds nothing.
     """
     now = as_of_column(as_of)
-    accepted = durable(accepted_entries(entries, items, feeds, redirects))
+    # Everything up to acceptance works on keys and titles; the text joins the
+    # accepted entries once, on a key that is unique.
+    keys = ("feed_uid", "position", "guid", "link", "title", "runt")
+    accepted = durable(
+        accepted_entries(entries.select(*keys), items, feeds, redirects).select("feed_uid", "position", "final_link")
+    )
     base = F.lit(items.agg(F.coalesce(F.max("item_uid"), F.lit(-1)).alias("m")).first()["m"])
     numbered = number_rows(
-        accepted.select("feed_uid", (-F.col("position")).alias("ord")), "feed_uid", "ord"
-    ).select("feed_uid", (-F.col("ord")).alias("position"), (base + F.col("row_number")).alias("item_uid"))
-    keyed = durable(accepted.join(numbered, ["feed_uid", "position"]))
+        accepted.select("feed_uid", (-F.col("position")).alias("ord"), "final_link"), "feed_uid", "ord"
+    ).select(
+        "feed_uid", (-F.col("ord")).alias("position"), "final_link", (base + F.col("row_number")).alias("item_uid")
+    )
+    keyed = durable(entries.join(numbered, ["feed_uid", "position"]))
     rows = keyed.select(
         "item_uid",
         F.col("feed_uid").alias("item_feed_uid"),
@@ -222,7 +231,8 @@ def ingest(
     )
     # Rules see the link as the feed gave it.
     judged = rows.withColumn("item_link", F.col("entry_link")).drop("entry_link")
-    verdicts = first_rule(match_rules(judged, feeds, rules, new_tags, as_of))
+    links = items.select(F.col("item_link").alias("link"))
+    verdicts = first_rule(match_rules(judged, feeds, rules, new_tags, as_of, links, pages))
     new_items = rate(rows.drop("entry_link"), verdicts)
     dates = oldest(entries, items)
     feeds2 = feeds.join(dates, "feed_uid", "left").withColumn(

@@ -24,6 +24,7 @@ from feedloom.functions.rule_helpers import clean_rule, register_helpers, rule_k
 from feedloom.functions.scalars import as_of_column
 from feedloom.functions.stemming import stem_start, with_stem
 from feedloom.functions.text import WORD, fold, fold_text, words
+from feedloom.operators.links import link_seen
 from feedloom.operators.sizing import broadcast_if_small
 from feedloom.schema import FILTERED, UNREAD
 from feedloom.session import durable
@@ -351,14 +352,34 @@ def expression_fields(scoped: DataFrame, feeds: DataFrame) -> DataFrame:
     return with_rule_fields(scoped).join(feed_fields, "item_feed_uid", "left")
 
 
-def match_expr(scoped: DataFrame, feeds: DataFrame, rules: DataFrame) -> DataFrame:
+def with_lookups(
+    fields: DataFrame, texts: list[str], links: DataFrame | None = None, pages: DataFrame | None = None
+) -> DataFrame:
+    """The two rule fields that need other tables, where some rule names them.
+
+    ``link_already``: the article's link is known among ``links``;
+    ``page_text``: what ``pages`` (url, html) holds for the link, or nothing.
+    """
+    if links is not None and any("link_already" in text for text in texts):
+        seen = link_seen(fields.select(F.col("link").alias("url")), links).select(
+            F.col("url").alias("link"), F.lit(True).alias("link_already"))
+        fields = fields.join(seen, "link", "left").withColumn("link_already", F.coalesce("link_already", F.lit(False)))
+    if pages is not None and any("page_text" in text for text in texts):
+        known = pages.groupBy(F.col("url").alias("link")).agg(F.max("html").alias("page_text"))
+        fields = fields.join(known, "link", "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
+    return fields
+
+
+def match_expr(
+    scoped: DataFrame, feeds: DataFrame, rules: DataFrame, links: DataFrame | None = None, pages: DataFrame | None = None
+) -> DataFrame:
     """Expression rules. The rule texts are code, so they are read by the driver."""
     register_helpers(scoped.sparkSession)
-    fields = expression_fields(scoped, feeds)
     rows = (
         rules.where(F.col("rule_type") == "python")
         .select("rule_uid", "rule_feed_uid", clean_rule(F.col("rule_text")).alias("text")).orderBy("rule_uid").collect()
     )
+    fields = with_lookups(expression_fields(scoped, feeds), [r["text"] for r in rows], links, pages)
     conditions = []
     for row in rows:
         test = expr_rule(fields, row["text"])
@@ -369,14 +390,16 @@ def match_expr(scoped: DataFrame, feeds: DataFrame, rules: DataFrame) -> DataFra
     return _expression_hits(fields, conditions)
 
 
-def match_feed_filter(scoped: DataFrame, feeds: DataFrame) -> DataFrame:
+def match_feed_filter(
+    scoped: DataFrame, feeds: DataFrame, links: DataFrame | None = None, pages: DataFrame | None = None
+) -> DataFrame:
     """Each feed's own filter expression, evaluated after all rules (rule_uid 0)."""
     register_helpers(scoped.sparkSession)
-    fields = expression_fields(scoped, feeds)
     rows = (
         feeds.where(F.col("feed_filter").isNotNull())
         .select("feed_uid", clean_rule(F.col("feed_filter")).alias("text")).orderBy("feed_uid").collect()
     )
+    fields = with_lookups(expression_fields(scoped, feeds), [r["text"] for r in rows], links, pages)
     conditions = []
     for row in rows:
         test = expr_rule(fields, row["text"])
@@ -385,7 +408,10 @@ def match_feed_filter(scoped: DataFrame, feeds: DataFrame) -> DataFrame:
     return _expression_hits(fields, conditions)
 
 
-def match_rules(items: DataFrame, feeds: DataFrame, rules: DataFrame, tags: DataFrame, as_of) -> DataFrame:
+def match_rules(
+    items: DataFrame, feeds: DataFrame, rules: DataFrame, tags: DataFrame, as_of,
+    links: DataFrame | None = None, pages: DataFrame | None = None,
+) -> DataFrame:
     """All (item, rule) matches: item_uid, scope, rule_uid, side."""
     live = active_rules(rules, as_of)
     scoped = scope_keys(items, feeds)
@@ -396,8 +422,8 @@ def match_rules(items: DataFrame, feeds: DataFrame, rules: DataFrame, tags: Data
         match_phrases(scoped, live),
         match_tag(scoped, tags, live),
         match_author(scoped, live),
-        match_expr(scoped, feeds, live),
-        match_feed_filter(scoped, feeds),
+        match_expr(scoped, feeds, live, links, pages),
+        match_feed_filter(scoped, feeds, links, pages),
     ]
     return reduce(DataFrame.unionByName, parts)
 

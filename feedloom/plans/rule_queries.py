@@ -104,6 +104,20 @@ def _requests(m):
         F.col("item_id").alias("item_uid"), (F.col("item_id") % 2 == 0).alias("feed_only"))
 
 
+LOOKUP_RULES = [
+    (31, "python", None, None, "link_already AND length(title) > 5"),
+    (32, "python", 2, None, "contains(page_text, 'tion') AND NOT link_already"),
+]
+
+
+def _lookups(m):
+    """Rules on known links and on stored pages; half of the articles have a page: their own text."""
+    rules = m.spark.createDataFrame(
+        LOOKUP_RULES, "rule_uid long, rule_type string, rule_feed_uid long, rule_expires timestamp, rule_text string")
+    pages = m.items.where("item_rating <> 1").select(F.col("item_link").alias("url"), F.col("item_title").alias("html"))
+    return R.match_expr(_scoped(m), m.feeds, rules, m.stored.select(F.col("item_link").alias("link")), pages)
+
+
 def _probes(m):
     """Page addresses without query and fragment: seen if a stored address starts so."""
     return m.table("pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url")).unionByName(
@@ -133,6 +147,16 @@ QUERIES = {
     "match_tag": (lambda m: R.match_tag(_scoped(m), m.tags, _live(m)), matches_sql("tag")),
     "match_author": (lambda m: R.match_author(_scoped(m), _live(m)), matches_sql("author")),
     "match_expression": (lambda m: R.match_expr(_scoped(m), m.feeds, _live(m)), matches_sql("expr")),
+    "rule_lookups": (
+        _lookups,
+        with_model("""SELECT item_uid, 0 AS scope, 31 AS rule_uid, CAST(NULL AS VARCHAR) AS side FROM looked
+          WHERE NOT exempt AND seen AND length(item_title) > 5
+        UNION ALL SELECT item_uid, 1, 32, NULL FROM looked
+          LEFT JOIN (SELECT item_link, max(item_title) AS html FROM items WHERE item_rating <> 1 GROUP BY 1) p USING (item_link)
+          WHERE item_feed_uid = 2 AND contains(coalesce(html, ''), 'tion') AND NOT seen""", *NEEDS,
+                   extra=LIVE_SQL + """,
+          looked AS (SELECT *, coalesce(contains((SELECT min(j.item_link) FROM items j WHERE j.item_rating IN (1, -1)
+            AND j.item_link >= s.item_link), s.item_link), FALSE) AS seen FROM scoped s)""")),
     "match_feed_filter": (lambda m: R.match_feed_filter(_scoped(m), m.feeds), matches_sql("feed_filter")),
     "expand_targets": (
         lambda m: R.expand_targets(_live(m)).where("side IS NOT NULL").select("rule_uid", "side", "match", RH.clean_rule(F.col("rule_text")).alias("rule_text")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import html as H
 from feedloom.functions import scalars as S
 from feedloom.functions import text as T
-from feedloom.functions.stemming import with_stem
+from feedloom.functions.stemming import stem_phrases, with_stem
 from feedloom.operators import search as Q
 from feedloom.operators import view as V
 from feedloom.plans.model import (
@@ -246,17 +246,9 @@ QUERIES = {
         with_model("SELECT word, stem FROM stems", "items", extra=f"""
           vocab AS (SELECT DISTINCT unnest({words_sql('item_content')}) AS word FROM items),{stem_ctes('vocab', 'stems')}""")),
     "stem_titles": (
-        lambda m: _stem_phrases(m),
+        lambda m: stem_phrases(m.texts, "item_uid", "item_title"),
         with_model("""SELECT item_uid, coalesce(string_agg(stem, ' ' ORDER BY stem), '') AS stems FROM (
           SELECT DISTINCT t.item_uid, s.stem FROM title_words t JOIN stems s USING (word)) GROUP BY 1""", "items", extra=f"""
           title_words AS (SELECT item_uid, unnest({words_sql('item_title')}) AS word FROM items),
           vocab AS (SELECT DISTINCT word FROM title_words),{stem_ctes('vocab', 'stems')}""")),
 }
-
-
-def _stem_phrases(m):
-    """Sorted distinct stems of each title, stemming the vocabulary once."""
-    tokens = m.texts.select("item_uid", F.explode(T.words(F.col("item_title"))).alias("word"))
-    stems = with_stem(tokens.select("word").distinct())
-    return tokens.join(stems, "word").groupBy("item_uid").agg(
-        F.array_join(F.array_sort(F.collect_set("stem")), " ").alias("stems"))

@@ -14,6 +14,7 @@ from feedloom import schema
 from feedloom.operators.ingest import ingest
 from feedloom.operators.maintain import error_runs, last_rating
 from feedloom.operators.search import update_tokens
+from feedloom.session import durable
 from feedloom.sources import tables as store
 from feedloom.streaming.incremental import merge_stats
 
@@ -45,6 +46,8 @@ def run_refresh(
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # Read once: positions given by the reader must not change between uses.
+        batch = durable(batch)
         held = store.load(spark, path)
         now = as_of if as_of is not None else F.current_timestamp()
         done = ingest(batch, held.items, current_feeds(spark, path), held.rules, now)
