@@ -53,6 +53,12 @@ def _checkpoint_ready(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and cut its lineage."""
-    _checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and cut its lineage.
+
+    A written table is computed once (a checkpoint runs its last stage twice),
+    is read by column, and has a size the optimizer knows.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
