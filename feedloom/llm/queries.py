@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import dac, mixing, radix, repetition, ring
+from feedloom.llm import dac, golay, mixing, radix, repeats, repetition, ring
 from feedloom.llm.common import documents
 from feedloom.session import shared_folder
 
@@ -28,6 +28,14 @@ def op3_dac_tokens(spark: SparkSession, path: str) -> DataFrame:
     return dac.tokens_of(dac.read(spark, folder))
 
 
+def op5_suffix_repeats(spark: SparkSession, path: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, path))
+
+
+def op6_golay_simhash(spark: SparkSession, path: str) -> DataFrame:
+    return golay.near_groups(documents(spark, path))
+
+
 def op8_radix_dedup(spark: SparkSession, path: str) -> DataFrame:
     return radix.classes(documents(spark, path).select("doc_id", "text"))
 
@@ -36,5 +44,5 @@ def op9_sainte_lague_mix(spark: SparkSession, path: str) -> DataFrame:
     return mixing.taken(documents(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op8_radix_dedup, op9_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op5_suffix_repeats, op6_golay_simhash, op8_radix_dedup, op9_sainte_lague_mix)}
 ORACLE_SQL: dict[str, str] = {}
