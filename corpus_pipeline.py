@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.llm import mixing, radix, repetition
+from feedloom.llm import golay, mixing, pieces, radix, repetition
 from feedloom.llm.common import documents
 from feedloom.session import durable
 
@@ -19,15 +20,27 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return radix.keep(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return golay.near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus mixed to its sources' weights: documents repeated, left out, or cut at the edge of a quota."""
     return mixing.mix(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every row of the mixed corpus."""
+    return pieces.ids_of(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("quality rules", quality),
     ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", tokens),
 ]
 
 ORACLE_SQL = None

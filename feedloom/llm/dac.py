@@ -21,8 +21,7 @@ directory (uint32, one for each 8 words).
 
 Defined cases: a null or empty text has the end id alone; rows with equal doc_id
 stand next to each other in order of their text (null first); a null doc_id
-comes first; an empty table gives no segment and no row. A text is encoded
-whole and in one piece.
+comes first; an empty table gives no segment and no row.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import small_batches, text_pieces
+from feedloom.llm.common import joined_ids, small_batches, text_pieces
 
 MAGIC = b"DAC1"
 #: Bits in a block of the rank directory.
@@ -137,6 +136,56 @@ class Codes:
         return out
 
 
+class WordEncoder:
+    """Encodes texts with a byte-level tokenizer, each different word once.
+
+    The tokenizer's first step cuts a text in front of a single space between two
+    characters that aren't white space, and no token goes across its cuts. A text is
+    cut at such spaces, which stay with the word that follows.
+    """
+
+    #: Words a task keeps; beyond that it starts anew.
+    KNOWN = 300_000
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.known: dict[str, list[int]] = {}
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        if not text:
+            return []
+        parts = text.split(" ")
+        out = [parts[0]]
+        for part in parts[1:]:
+            before = out[-1]
+            if part and before and not part[0].isspace() and not before[-1].isspace():
+                out.append(" " + part)
+            else:
+                out[-1] = before + " " + part
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        if len(self.known) > self.KNOWN:
+            self.known.clear()
+        words: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = self.words(text)
+            counts[i] = len(own)
+            words += own
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        for k in range(0, len(new), 10_000):
+            some = new[k : k + 10_000]
+            found = self.model.encode_batch_fast(some, add_special_tokens=False)
+            self.known.update(zip(some, (x.ids for x in found), strict=True))
+        return joined_ids(words, counts, self.known)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bits: int = 8, parts: int | None = None) -> None:
     """Encode all texts with a tokenizer file and write their ids, in doc_id order, as DAC segments.
 
@@ -148,11 +197,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bits: int
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True  # their strings in a text are ordinary text
-        part, nth, start = TaskContext.get().partitionId(), 0, 0
+        model = WordEncoder(tokenizer)
+        part, nth, start, n_held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
@@ -172,14 +218,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bits: int
             own = batch.column(0).to_pylist()
             for lo, hi, data, offsets in text_pieces(batch, 1, PIECE):
                 texts = [str(data[a:b], "utf-8") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                for doc, found in zip(own[lo:hi], model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    ids = np.array([*found.ids, end_id], np.uint32)
-                    doc_ids.append(doc)
-                    lengths.append(len(ids))
-                    held.append(ids)
-                if sum(lengths) >= SEGMENT:
+                ids, counts = model.encode(texts)
+                held.append(np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32))
+                doc_ids += own[lo:hi]
+                lengths += (counts + 1).tolist()
+                n_held += len(held[-1])
+                if n_held >= SEGMENT:
                     yield segment()
-                    start, nth = start + sum(lengths), nth + 1
+                    start, nth, n_held = start + n_held, nth + 1, 0
                     doc_ids, lengths, held = [], [], []
         if held:
             yield segment()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import dac, golay, mixing, radix, repeats, repetition, ring
+from feedloom.llm import dac, golay, mixing, pieces, radix, repeats, repetition, ring
 from feedloom.llm.common import documents
 from feedloom.session import shared_folder
 
@@ -36,6 +36,10 @@ def op6_golay_simhash(spark: SparkSession, path: str) -> DataFrame:
     return golay.near_groups(documents(spark, path))
 
 
+def op7_piece_round_trip(spark: SparkSession, path: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, path), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_radix_dedup(spark: SparkSession, path: str) -> DataFrame:
     return radix.classes(documents(spark, path).select("doc_id", "text"))
 
@@ -44,5 +48,5 @@ def op9_sainte_lague_mix(spark: SparkSession, path: str) -> DataFrame:
     return mixing.taken(documents(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op5_suffix_repeats, op6_golay_simhash, op8_radix_dedup, op9_sainte_lague_mix)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op5_suffix_repeats, op6_golay_simhash, op7_piece_round_trip, op8_radix_dedup, op9_sainte_lague_mix)}
 ORACLE_SQL: dict[str, str] = {}

@@ -63,3 +63,16 @@ def test_empty(spark, no_docs):
     folder = shared_folder(spark)
     dac.write(no_docs, folder, FILE)
     assert dac.tokens_of(dac.read(spark, folder)).count() == 0
+
+
+def test_words_change_nothing():
+    model = Tokenizer.from_file(FILE)
+    model.encode_special_tokens = True
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(" \t\n\x1c\xa0 abé1.,'s日🤗") for _ in range(rng.randrange(80))) for _ in range(600)]
+    texts += ["<|endoftext|> a <|endoftext|>", " lead", "trail ", "a  b", "it's we'll ' s", ""]
+    encoder = dac.WordEncoder(FILE)
+    ids, counts = encoder.encode(texts)
+    ends = np.cumsum(counts)
+    found = [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)]
+    assert found == [model.encode(t, add_special_tokens=False).ids for t in texts]
