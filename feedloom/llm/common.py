@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ def joined_ids(words: list[str], counts: np.ndarray, known: dict[str, list[int]]
     index = {w: i for i, w in enumerate(dict.fromkeys(words))}
     lists = [known[w] for w in index]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
     starts = np.cumsum(sizes) - sizes
     places = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
     own = sizes[places]

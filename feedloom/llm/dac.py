@@ -26,6 +26,9 @@ comes first; an empty table gives no segment and no row.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -144,48 +147,47 @@ class WordEncoder:
     cut at such spaces, which stay with the word that follows.
     """
 
-    #: Words a task keeps; beyond that it starts anew.
-    KNOWN = 300_000
+    #: Words a worker keeps; beyond that it starts anew.
+    KNOWN = 500_000
+    CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        out = [parts[0]]
-        for part in parts[1:]:
-            before = out[-1]
-            if part and before and not part[0].isspace() and not before[-1].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] = before + " " + part
-        return out
+        #: Ids by word: the first one of a text under its bytes, others, without their space, as they are.
+        self.known: dict[str | bytes, list[int]] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
         if len(self.known) > self.KNOWN:
             self.known.clear()
-        words: list[str] = []
+        words: list[str | bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            own = self.words(text)
-            counts[i] = len(own)
-            words += own
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+            if text:
+                own = self.CUT.split(text)
+                own[0] = own[0].encode()
+                counts[i] = len(own)
+                words += own
+        new = list(dict.fromkeys(words).keys() - self.known.keys())
         for k in range(0, len(new), 10_000):
             some = new[k : k + 10_000]
-            found = self.model.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(zip(some, (x.ids for x in found), strict=True))
+            found = self.model.encode_batch_fast(
+                [" " + w if isinstance(w, str) else w.decode() for w in some], add_special_tokens=False
+            )
+            self.known.update(zip(some, [x.ids for x in found], strict=True))
         return joined_ids(words, counts, self.known)
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, which runs many tasks."""
+    return WordEncoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bits: int = 8, parts: int | None = None) -> None:
     """Encode all texts with a tokenizer file and write their ids, in doc_id order, as DAC segments.
 
@@ -197,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bits: int
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordEncoder(tokenizer)
+        model = encoder(tokenizer)
         part, nth, start, n_held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list[int | None] = []
         lengths: list[int] = []
