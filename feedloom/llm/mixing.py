@@ -34,7 +34,7 @@ from feedloom.session import durable
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 BLOCK_WORDS = 64
-SHARD_ROWS = 50_000
+SHARD_ROWS = 10_000
 SEED = "mix"
 
 
