@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import dac, golay, mixing, pieces, radix, repeats, repetition, ring
+from feedloom.llm import dac, entropy, golay, mixing, pieces, radix, repeats, repetition, ring
 from feedloom.llm.common import documents
 from feedloom.session import shared_folder
 
@@ -48,5 +48,18 @@ def op9_sainte_lague_mix(spark: SparkSession, path: str) -> DataFrame:
     return mixing.taken(documents(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op5_suffix_repeats, op6_golay_simhash, op7_piece_round_trip, op8_radix_dedup, op9_sainte_lague_mix)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_entropy_secrets(spark: SparkSession, path: str) -> DataFrame:
+    return entropy.scan(documents(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op5_suffix_repeats, op6_golay_simhash, op7_piece_round_trip, op8_radix_dedup, op9_sainte_lague_mix, op10_entropy_secrets)}
+#: Texts are equal after white space is deleted.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, row_number() OVER () AS nth,
+           regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, nth)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_radix_dedup": OP8_SQL, "op10_entropy_secrets": entropy.oracle_sql()}
