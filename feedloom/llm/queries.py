@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import dac, entropy, golay, mixing, pieces, radix, repeats, repetition, ring
+from feedloom.llm import dac, entropy, golay, hosts, mixing, pieces, radix, repeats, repetition, ring
 from feedloom.llm.common import documents
 from feedloom.session import shared_folder
 
@@ -28,6 +28,10 @@ def op3_dac_tokens(spark: SparkSession, path: str) -> DataFrame:
     return dac.tokens_of(dac.read(spark, folder))
 
 
+def op4_host_words(spark: SparkSession, path: str) -> DataFrame:
+    return hosts.judge(spark.read.parquet(f"{path}/pages.parquet"))
+
+
 def op5_suffix_repeats(spark: SparkSession, path: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, path))
 
@@ -52,7 +56,7 @@ def op10_entropy_secrets(spark: SparkSession, path: str) -> DataFrame:
     return entropy.scan(documents(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op5_suffix_repeats, op6_golay_simhash, op7_piece_round_trip, op8_radix_dedup, op9_sainte_lague_mix, op10_entropy_secrets)}
+QUERIES = {f.__name__: f for f in (op1_repetition, op2_ring_shards, op3_dac_tokens, op4_host_words, op5_suffix_repeats, op6_golay_simhash, op7_piece_round_trip, op8_radix_dedup, op9_sainte_lague_mix, op10_entropy_secrets)}
 #: Texts are equal after white space is deleted.
 OP8_SQL = """
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, row_number() OVER () AS nth,
