@@ -32,6 +32,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import joined_ids, small_batches, text_pieces
+from feedloom.llm.common import small_batches, text_pieces
 
 MAGIC = b"DAC1"
 #: Bits in a block of the rank directory.
@@ -148,8 +149,9 @@ class WordEncoder:
     """
 
     #: Words a worker keeps; beyond that it starts anew.
-    KNOWN = 500_000
+    KNOWN = 800_000
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    SPACE = re.compile(r"\s")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
@@ -157,13 +159,19 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        #: Ids by word: the first one of a text under its bytes, others, without their space, as they are.
-        self.known: dict[str | bytes, list[int]] = {}
+        self.line_end = self.model.encode("\n", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Number of each known word: the first one of a text under its bytes, others, without their space, as they are.
+        self.numbers: dict[str | bytes, int] = {}
+        #: Ids of word i: ids[ends[i]:ends[i + 1]].
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        if len(self.known) > self.KNOWN:
-            self.known.clear()
+        if len(self.numbers) > self.KNOWN:
+            self._forget()
         words: list[str | bytes] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -172,14 +180,89 @@ class WordEncoder:
                 own[0] = own[0].encode()
                 counts[i] = len(own)
                 words += own
-        new = list(dict.fromkeys(words).keys() - self.known.keys())
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            found = self.model.encode_batch_fast(
-                [" " + w if isinstance(w, str) else w.decode() for w in some], add_special_tokens=False
-            )
-            self.known.update(zip(some, [x.ids for x in found], strict=True))
-        return joined_ids(words, counts, self.known)
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            missing = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            numbers[new] = np.fromiter(map(self.numbers.__getitem__, missing), np.int64, len(missing))
+        ids, sizes = self._gathered(numbers)
+        text = np.repeat(np.arange(len(texts)), counts)
+        return ids, np.bincount(text, weights=sizes, minlength=len(texts)).astype(np.int64)
+
+    def _units(self, word: str) -> list[str | bytes] | None:
+        """The word as shorter ones that no token goes across, or None: lines, and punctuation after a letter."""
+        if word.isalpha():
+            return None
+        lines = word.split("\n")
+        if not all(lines) or self.SPACE.search(word.replace("\n", "")):
+            return None
+        units: list[str | bytes] = []
+        for i, line in enumerate(lines):
+            core = line.rstrip(",.;:!?")
+            tail = line[len(core) :] if core and core[-1].isalpha() else ""
+            core = line[: len(line) - len(tail)]
+            if i:
+                units.append(b"\n")
+            units.append(core.encode() if i else core)
+            if tail:
+                units.append(tail.encode())
+        return units
+
+    def _learn(self, words: list[str | bytes]) -> None:
+        """Add words: those made of others from their ids, the rest by encoding them."""
+        made, rest = {}, []
+        for word in words:
+            units = self._units(word) if isinstance(word, str) else None
+            if units and len(units) > 1:
+                made[word] = units
+            else:
+                rest.append(word)
+        needed = dict.fromkeys(chain(rest, chain.from_iterable(made.values())))
+        self._encode_new([w for w in needed if w not in self.numbers])
+        made = {w: u for w, u in made.items() if w not in self.numbers}
+        if made:
+            numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(made.values())), np.int64)
+            ids, sizes = self._gathered(numbers)
+            counts = np.fromiter(map(len, made.values()), np.int64, len(made))
+            self._add(list(made), [ids], [np.add.reduceat(sizes, np.cumsum(counts) - counts)])
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after the other, and how many each has."""
+        starts = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - starts
+        ends = np.cumsum(sizes)
+        gather = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+        return self.ids[gather], sizes
+
+    def _add(self, words: list[str | bytes], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _encode_new(self, words: list[str | bytes]) -> None:
+        """Encode words: those without white space many to a text, each on a line of its own.
+
+        The tokenizer cuts before and after a line end between characters that aren't, and gives it one
+        id, which no word without line ends has.
+        """
+        texts = [" " + w if isinstance(w, str) else w.decode() for w in words]
+        single = len(self.line_end) == 1
+        plain = [i for i, w in enumerate(words) if single and w and not self.SPACE.search(w if isinstance(w, str) else texts[i])]
+        odd = sorted(set(range(len(texts))) - set(plain))
+        ids, sizes = [], [np.zeros(0, np.int64)]
+        for k in range(0, len(plain), 5_000):
+            line = "\n".join([texts[i] for i in plain[k : k + 5_000]])
+            (found,) = self.model.encode_batch_fast([line], add_special_tokens=False)
+            own = np.array(found.ids, np.int32)
+            cuts = np.flatnonzero(own == self.line_end[0])
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(own)]])) - 1)
+            ids.append(np.delete(own, cuts))
+        for k in range(0, len(odd), 5_000):
+            own = [x.ids for x in self.model.encode_batch_fast([texts[i] for i in odd[k : k + 5_000]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+            ids.append(np.fromiter(chain.from_iterable(own), np.int32))
+        self._add([words[i] for i in plain + odd], ids, sizes)
 
 
 @functools.cache

@@ -71,6 +71,7 @@ def test_words_change_nothing():
     rng = random.Random(4)
     texts = ["".join(rng.choice(" \t\n\x1c\xa0 abé1.,'s日🤗") for _ in range(rng.randrange(80))) for _ in range(600)]
     texts += ["<|endoftext|> a <|endoftext|>", " lead", "trail ", "a  b", "it's we'll ' s", ""]
+    texts += [" ".join(rng.choice(["the", "\x85", "a\nb", "é", "x\x1cy", "word", "Ċ"]) for _ in range(30)) for _ in range(50)]
     encoder = dac.WordEncoder(FILE)
     ids, counts = encoder.encode(texts)
     ends = np.cumsum(counts)
