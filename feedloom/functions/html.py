@@ -40,8 +40,28 @@ def first_link(content: Column) -> Column:
     )
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments; ``..`` stops at the root."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.size(parts) - 1), F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(part == ".", done).otherwise(F.array_append(done, part)),
+    )
+    # A path that ends in a dot segment names a folder.
+    end = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def _undotted(reference: Column) -> Column:
+    """The same for a path that a query or fragment may follow."""
+    path = F.regexp_extract(reference, "^([^?#]*)", 1)
+    return F.concat(_without_dots(path), F.substring(reference, F.length(path) + 1, F.length(reference)))
+
+
 def resolve_url(base: Column, href: Column) -> Column:
-    """Resolve a reference against a base URL (RFC 3986 without dot segments inside)."""
+    """Resolve a reference against a base URL (RFC 3986)."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     no_fragment = F.regexp_replace(base, "#.*$", "")
@@ -53,10 +73,10 @@ def resolve_url(base: Column, href: Column) -> Column:
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href == "", no_fragment)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("/"), F.concat(site, _undotted(href)))
         .when(href.startswith("?"), F.concat(no_query, href))
         .when(href.startswith("#"), F.concat(no_fragment, href))
-        .otherwise(F.concat(site, folder, F.regexp_replace(href, r"^(?:\./)+", "")))
+        .otherwise(F.concat(site, _undotted(F.concat(folder, href))))
     )
 
 

@@ -12,6 +12,7 @@ from feedloom.functions.scalars import as_of_column
 from feedloom.operators.links import rewrite_links
 from feedloom.operators.ordered import number_rows
 from feedloom.operators.rules import first_rule, match_rules, rate
+from feedloom.operators.sizing import broadcast_if_small
 from feedloom.operators.stats import ingest_counts
 from feedloom.schema import TAG_BY_FEED, UNREAD
 from feedloom.session import durable
@@ -42,8 +43,22 @@ def first_guid(entries: DataFrame) -> DataFrame:
 
 def unseen(entries: DataFrame, items: DataFrame) -> DataFrame:
     """Entries whose (feed, GUID) is not stored yet. Stored items never change."""
-    known = items.select(F.col("item_feed_uid").alias("feed_uid"), F.col("item_guid").alias("guid"))
-    return entries.join(known, ["feed_uid", "guid"], "left_anti")
+    return _not_among(entries, items, "guid", "item_guid")
+
+
+def _not_among(entries: DataFrame, items: DataFrame, column: str, stored: str) -> DataFrame:
+    """Entries whose (feed, ``column``) no stored item has. Nulls match nothing.
+
+    The stored side is reduced by the batch's keys first, so that while these
+    are small the stored keys are not shuffled. Entries without the key take
+    no part in the join; they would all meet in one task.
+    """
+    keys = ["feed_uid", column]
+    wanted = broadcast_if_small(entries.select(*keys).where(F.col(column).isNotNull()).distinct())
+    held = items.select(F.col("item_feed_uid").alias("feed_uid"), F.col(stored).alias(column))
+    held = broadcast_if_small(held.join(wanted, keys, "left_semi").distinct())
+    some = entries.where(F.col(column).isNotNull()).join(held, keys, "left_anti").select(*entries.columns)
+    return some.unionByName(entries.where(F.col(column).isNull()))
 
 
 def drop_stored_dups(entries: DataFrame, items: DataFrame) -> DataFrame:
@@ -52,9 +67,7 @@ def drop_stored_dups(entries: DataFrame, items: DataFrame) -> DataFrame:
     Two equi anti-joins: one join on "title or link" would pair every entry
     of a feed with every item of it.
     """
-    titles = items.select(F.col("item_feed_uid").alias("feed_uid"), F.col("item_title").alias("title"))
-    links = items.select(F.col("item_feed_uid").alias("feed_uid"), F.col("item_link").alias("link"))
-    return entries.join(titles, ["feed_uid", "title"], "left_anti").join(links, ["feed_uid", "link"], "left_anti")
+    return _not_among(_not_among(entries, items, "title", "item_title"), items, "link", "item_link")
 
 
 def drop_batch_dups(entries: DataFrame) -> DataFrame:
@@ -68,7 +81,8 @@ def drop_batch_dups(entries: DataFrame) -> DataFrame:
     ``final_link`` (default: the link) is what an accepted entry is stored under.
     """
     final = F.col("final_link") if "final_link" in entries.columns else F.col("link")
-    state = entries.select("feed_uid", (-F.col("position")).alias("ord"), "title", "link", final.alias("final"))
+    # Written, or each of the four groupings below would run the checks before it again.
+    state = durable(entries.select("feed_uid", (-F.col("position")).alias("ord"), "title", "link", final.alias("final")))
     by_title = state.groupBy("feed_uid", "title").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND title IS NOT NULL")
 
     def users(column: str, key: str, n: str, first: str) -> DataFrame:

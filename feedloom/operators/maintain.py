@@ -261,10 +261,11 @@ def error_runs(fetch_log: DataFrame, feeds: DataFrame | None = None, max_errors:
             F.count(F.lit(1)).alias("fetches"),
             F.max(F.struct("ts", "seq", "errors")).alias("last"),
             F.max("errors").alias("longest"),
+            F.min(F.when((limit != -1) & (F.col("errors") > limit), F.struct("ts", "seq", "errors"))).alias("over"),
         )
         .select(
             "feed_uid", "fetches", F.col("last.errors").alias("feed_errors"), "longest",
-            ((limit != -1) & (F.col("longest") > limit)).alias("suspended"),
+            F.col("over").isNotNull().alias("suspended"), F.col("over.errors").alias("suspended_at"),
         )
     )
 
@@ -284,14 +285,16 @@ def apply_fetch_log(feeds: DataFrame, fetch_log: DataFrame, max_errors: int = MA
 def notify_suspended(runs: DataFrame, as_of, max_errors: int = MAX_ERRORS) -> DataFrame:
     """A notification item for every feed suspended by :func:`error_runs`.
 
+    The text has the count at which the limit was passed, which is more than one past it for a
+    feed that entered the log over the limit.
     Its GUID comes from the feed and the MD5 of the text. Ids are left to the
     ingest that appends it.
     """
     now = as_of_column(as_of)
     uid = F.col("feed_uid").cast("string")
     text = F.concat(
-        F.lit("This feed was suspended because of "), F.lit(max_errors + 1).cast("string"),
-        F.lit(" consecutive errors"),
+        F.lit("This feed was suspended because of "),
+        F.coalesce("suspended_at", F.lit(max_errors + 1)).cast("string"), F.lit(" consecutive errors"),
     )
     return runs.where("suspended").select(
         F.col("feed_uid").alias("item_feed_uid"),

@@ -10,11 +10,13 @@ the first rule per item with a mergeable ``min``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+import ahocorasick
 import pandas as pd
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from feedloom.functions.html import highlight_pattern, java_quote
 from feedloom.functions.rule_helpers import clean_rule, register_helpers, rule_kind
 from feedloom.functions.scalars import as_of_column
-from feedloom.functions.stemming import stem_start, with_stem
+from feedloom.functions.stemming import stem, stem_start, with_stem
 from feedloom.functions.text import WORD, fold, fold_text, words
 from feedloom.operators.links import link_seen
 from feedloom.operators.sizing import broadcast_if_small
@@ -47,18 +49,30 @@ def expand_targets(rules: DataFrame) -> DataFrame:
     return rules.withColumn("match", match).withColumn("side", F.explode(sides))
 
 
-def with_rule_fields(items: DataFrame) -> DataFrame:
-    """The names expression rules see: title, content, author, link, ``_lc`` and ``_words``."""
-    return items.withColumns({
+def with_rule_fields(items: DataFrame, texts: list[str] | None = None) -> DataFrame:
+    """The names expression rules see: title, content, author, link, ``_lc``, ``_words`` and ``_words_exact``.
+
+    ``_words`` are stems, ``_words_exact`` the words themselves. Word sets are added if one of the
+    rule ``texts`` names them (all are without ``texts``); stemming running text is dear.
+    """
+    fields = items.withColumns({
         "title": F.col("item_title"), "content": F.col("item_content"),
         "link": F.col("item_link"), "guid": F.col("item_guid"), "author": F.col("item_creator"),
         "title_lc": F.lower("item_title"), "content_lc": F.lower("item_content"),
-    }).withColumns({
-        "title_words": words(F.col("title")), "content_words": words(F.col("content")),
-    }).withColumns({
-        "union_lc": F.concat_ws("\n", "title_lc", "content_lc"),
-        "union_words": F.array_union("title_words", "content_words"),
-    })
+    }).withColumn("union_lc", F.concat_ws("\n", "title_lc", "content_lc"))
+
+    def named(side: str) -> bool:
+        return texts is None or any(f"{side}_words" in t or "union_words" in t for t in texts)
+
+    for side in ("title", "content"):
+        if named(side):
+            fields = fields.withColumn(f"{side}_words_exact", words(F.col(side)))
+            fields = fields.withColumn(f"{side}_words", F.array_distinct(F.transform(f"{side}_words_exact", stem)))
+    if named("title") and named("content"):
+        fields = fields.withColumns({
+            f"union_words{form}": F.array_union(f"title_words{form}", f"content_words{form}") for form in ("", "_exact")
+        })
+    return fields
 
 
 def scope_keys(items: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -210,30 +224,26 @@ def _phrase_finder(phrases: list[tuple[int, str]]):
     """Arrow UDF: numbers of the ``phrases`` (number, text) occurring in each text."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def find(column: pd.Series) -> pd.Series:
-        # One pass over the text for all phrases where the automaton library
-        # is installed on the worker; plain substring tests otherwise.
-        try:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for i, text in phrases:
-                if text:
-                    machine.add_word(text, (*machine.get(text, ()), i))
-            machine.make_automaton()
-            empty = [i for i, text in phrases if not text]
-
-            def hits(value):
-                found = set(empty)
-                if len(machine):
-                    for _, ids in machine.iter(value):
-                        found.update(ids)
-                return sorted(found)
-        except ImportError:
-            def hits(value):
-                return [i for i, text in phrases if text in value]
-
-        return column.map(lambda value: hits(value) if value is not None else None)
+    def find(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # One pass over the text for all phrases; the automaton is built once a task.
+        machine = ahocorasick.Automaton()
+        for i, text in phrases:
+            if text:
+                machine.add_word(text, (*machine.get(text, ()), i))
+        machine.make_automaton()
+        always = {i for i, text in phrases if not text}
+
+        def hits(value: str | None) -> list[int] | None:
+            if value is None:
+                return None
+            found = set(always)
+            if len(machine):
+                for _, ids in machine.iter(value):
+                    found.update(ids)
+            return sorted(found)
+
+        for column in columns:
+            yield column.map(hits)
 
     return find
 
@@ -317,17 +327,71 @@ def _lenient(spark: SparkSession):
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
+#: Expression classes a rule may not use: they change the rows, raise, or reach outside the article.
+REFUSED = frozenset(
+    "AggregateExpression WindowExpression ScalarSubquery Exists ListQuery RaiseError AssertTrue CallMethodViaReflection "
+    "TryReflect PythonUDF ScalaUDF InputFileName MonotonicallyIncreasingID SparkPartitionID Rand Randn Uuid Shuffle "
+    "RandStr Uniform".split()
+)
+#: Those that compile their second argument, which must be a constant for its errors to be known.
+PATTERNS = frozenset(
+    "RLike RegExpReplace RegExpExtract RegExpExtractAll RegExpInStr RegExpCount RegExpSubStr LikeAll LikeAny StringSplit".split()
+)
+
+
+def _fit(expression) -> bool:
+    """Whether neither an analysed expression nor a part of it is refused."""
+    name = expression.getClass().getSimpleName()
+    if name in REFUSED:
+        return False
+    parts = expression.children()
+    if name in PATTERNS and not parts.apply(1).foldable():
+        return False
+    return all(_fit(parts.apply(i)) for i in range(parts.size()))
+
+
+def _keeps_rows(plan, rows) -> bool:
+    """Whether only projections stand over ``rows``: aggregates, windows and generators have nodes of their own."""
+    while plan.nodeName() == "Project":
+        plan = plan.child()
+        if plan.equals(rows):
+            return True
+    return False
+
+
 def expr_rule(df: DataFrame, text: str) -> Column | None:
-    """A user's boolean expression as a column, or None if it does not resolve."""
+    """A user's boolean expression as a column, or None if it can't be a rule.
+
+    It must resolve, give one value for each article (no aggregates, windows, generators or
+    subqueries), raise nothing of its own accord and have constant patterns. It is tried on one
+    empty article, which brings out constant patterns that don't compile.
+    """
+    spark = df.sparkSession
     try:
-        with _lenient(df.sparkSession):
+        with _lenient(spark):
             column = F.coalesce(F.expr(text).cast("boolean"), F.lit(False))
-            df.select(column).schema
+            plan = df.select(column.alias("test"))._jdf.queryExecution().analyzed()
+            test = plan.expressions().apply(0)
+            if not _keeps_rows(plan, df._jdf.queryExecution().analyzed()) or not _fit(test):
+                return None
+            empty = [F.lit("" if isinstance(f.dataType, T.StringType) else None).cast(f.dataType).alias(f.name) for f in df.schema]
+            spark.range(1).select(*empty).select(column).collect()
         return column
-    except (AnalysisException, ParseException):
+    except (AnalysisException, ParseException, PySparkException):
         return None
 
 
+def check_rules(rules: DataFrame, fields: DataFrame) -> DataFrame:
+    """(rule_uid, rule_text) of the expression rules among ``rules`` that can't be stored: they would never match.
+
+    ``fields`` has the columns rules see (:func:`expression_fields`). Rules are code and are read by the driver.
+    """
+    register_helpers(rules.sparkSession)
+    rows = rules.where(F.col("rule_type") == "python").select("rule_uid", "rule_text", clean_rule(F.col("rule_text")).alias("text"))
+    bad = [(r["rule_uid"], r["rule_text"]) for r in rows.collect() if expr_rule(fields, r["text"]) is None]
+    return rules.sparkSession.createDataFrame(bad, "rule_uid long, rule_text string")
+
+
 def _expression_hits(fields: DataFrame, conditions: list[tuple[int, int, Column]]) -> DataFrame:
     """Evaluate (scope, rule_uid, condition) triples in one projection."""
     spark = fields.sparkSession
@@ -345,21 +409,28 @@ def _expression_hits(fields: DataFrame, conditions: list[tuple[int, int, Column]
     return found.select("item_uid", "h.scope", "h.rule_uid", F.lit(None).cast("string").alias("side"))
 
 
-def expression_fields(scoped: DataFrame, feeds: DataFrame) -> DataFrame:
+def expression_fields(scoped: DataFrame, feeds: DataFrame, texts: list[str] | None = None) -> DataFrame:
     """Item fields plus every ``feed_*`` field, as expression rules see them."""
     named = [F.col(c) for c in feeds.columns if c not in ("feed_uid", "feed_exempt")]
     feed_fields = feeds.select(F.col("feed_uid").alias("item_feed_uid"), *named)
-    return with_rule_fields(scoped).join(feed_fields, "item_feed_uid", "left")
+    return with_rule_fields(scoped, texts).join(feed_fields, "item_feed_uid", "left")
 
 
 def with_lookups(
-    fields: DataFrame, texts: list[str], links: DataFrame | None = None, pages: DataFrame | None = None
+    fields: DataFrame, texts: list[str], links: DataFrame | None = None, pages: DataFrame | None = None,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
-    """The two rule fields that need other tables, where some rule names them.
+    """The rule fields that need other tables, where some rule names them.
 
     ``link_already``: the article's link is known among ``links``;
-    ``page_text``: what ``pages`` (url, html) holds for the link, or nothing.
+    ``page_text``: what ``pages`` (url, html) holds for the link, or nothing;
+    ``item_tags``, also called ``category``: the article's tags in order.
     """
+    if tags is not None and any("item_tags" in text or "category" in text for text in texts):
+        own = tags.groupBy(F.col("tag_item_uid").alias("item_uid")).agg(F.array_sort(F.collect_set("tag_name")).alias("item_tags"))
+        none = F.array().cast("array<string>")
+        fields = fields.join(broadcast_if_small(own), "item_uid", "left").withColumn("item_tags", F.coalesce("item_tags", none))
+        fields = fields.withColumn("category", F.col("item_tags"))
     if links is not None and any("link_already" in text for text in texts):
         seen = link_seen(fields.select(F.col("link").alias("url")), links).select(
             F.col("url").alias("link"), F.lit(True).alias("link_already"))
@@ -371,7 +442,8 @@ def with_lookups(
 
 
 def match_expr(
-    scoped: DataFrame, feeds: DataFrame, rules: DataFrame, links: DataFrame | None = None, pages: DataFrame | None = None
+    scoped: DataFrame, feeds: DataFrame, rules: DataFrame, links: DataFrame | None = None, pages: DataFrame | None = None,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
     """Expression rules. The rule texts are code, so they are read by the driver."""
     register_helpers(scoped.sparkSession)
@@ -379,7 +451,8 @@ def match_expr(
         rules.where(F.col("rule_type") == "python")
         .select("rule_uid", "rule_feed_uid", clean_rule(F.col("rule_text")).alias("text")).orderBy("rule_uid").collect()
     )
-    fields = with_lookups(expression_fields(scoped, feeds), [r["text"] for r in rows], links, pages)
+    texts = [r["text"] for r in rows]
+    fields = with_lookups(expression_fields(scoped, feeds, texts), texts, links, pages, tags)
     conditions = []
     for row in rows:
         test = expr_rule(fields, row["text"])
@@ -391,20 +464,28 @@ def match_expr(
 
 
 def match_feed_filter(
-    scoped: DataFrame, feeds: DataFrame, links: DataFrame | None = None, pages: DataFrame | None = None
+    scoped: DataFrame, feeds: DataFrame, links: DataFrame | None = None, pages: DataFrame | None = None,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
-    """Each feed's own filter expression, evaluated after all rules (rule_uid 0)."""
+    """Each feed's own filter expression, evaluated after all rules (rule_uid 0).
+
+    Feeds with the same filter share one test: the different texts are numbered, and a feed has
+    the number of its own. Only texts come to the driver.
+    """
     register_helpers(scoped.sparkSession)
-    rows = (
-        feeds.where(F.col("feed_filter").isNotNull())
-        .select("feed_uid", clean_rule(F.col("feed_filter")).alias("text")).orderBy("feed_uid").collect()
-    )
-    fields = with_lookups(expression_fields(scoped, feeds), [r["text"] for r in rows], links, pages)
+    filters = durable(feeds.where(F.col("feed_filter").isNotNull()).select(
+        F.col("feed_uid").alias("item_feed_uid"), clean_rule(F.col("feed_filter")).alias("text")
+    ))
+    texts = sorted(r["text"] for r in filters.select("text").distinct().collect())
+    table = scoped.sparkSession.createDataFrame(list(enumerate(texts)), "filter_number int, text string")
+    numbers = broadcast_if_small(filters.join(table, "text").select("item_feed_uid", "filter_number"))
+    fields = with_lookups(expression_fields(scoped, feeds, texts), texts, links, pages, tags)
+    fields = fields.join(numbers, "item_feed_uid")
     conditions = []
-    for row in rows:
-        test = expr_rule(fields, row["text"])
+    for number, text in enumerate(texts):
+        test = expr_rule(fields, text)
         if test is not None:
-            conditions.append((SCOPE_FEED_FILTER, 0, (F.col("item_feed_uid") == row["feed_uid"]) & test))
+            conditions.append((SCOPE_FEED_FILTER, 0, (F.col("filter_number") == number) & test))
     return _expression_hits(fields, conditions)
 
 
@@ -422,8 +503,8 @@ def match_rules(
         match_phrases(scoped, live),
         match_tag(scoped, tags, live),
         match_author(scoped, live),
-        match_expr(scoped, feeds, live, links, pages),
-        match_feed_filter(scoped, feeds, links, pages),
+        match_expr(scoped, feeds, live, links, pages, tags),
+        match_feed_filter(scoped, feeds, links, pages, tags),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -441,8 +522,13 @@ def first_rule(matches: DataFrame) -> DataFrame:
 
 
 def rate(items: DataFrame, first: DataFrame) -> DataFrame:
-    """Filtered items get rating -2 and their rule; the others are unread."""
-    joined = items.drop("item_rating", "item_rule_uid", "item_rule_side").join(first, "item_uid", "left")
+    """Filtered items get rating -2 and their rule; the others are unread.
+
+    The verdicts are a narrow table; while its measured size allows, they go to the items, whose
+    text then doesn't move.
+    """
+    verdicts = broadcast_if_small(first)
+    joined = items.drop("item_rating", "item_rule_uid", "item_rule_side").join(verdicts, "item_uid", "left")
     hit = F.col("rule_uid").isNotNull()
     return joined.select(
         *[c for c in items.columns if c not in ("item_rating", "item_rule_uid", "item_rule_side")],
@@ -489,22 +575,42 @@ def filtered_by_global(items: DataFrame, rules: DataFrame) -> DataFrame:
     return items.join(glob, "item_rule_uid", "left_semi")
 
 
+#: What follows a place in running text: no end of a tag before the next tag begins.
+OUTSIDE_TAGS = "(?![^<>]*>)"
+
+
+def _word_pattern(word: str, stemmed: bool) -> str:
+    """A regex for a whole word outside tags; for a stem, any word that begins with it (a final i may be a y)."""
+    begins = r"(?<![\p{L}\p{N}])"
+    if not stemmed:
+        return f"{begins}{highlight_pattern(word)}(?![\\p{{L}}\\p{{N}}]){OUTSIDE_TAGS}"
+    stem_form = highlight_pattern(word[:-1]) + "[iIyY]" if len(word) > 2 and word.endswith("i") else highlight_pattern(word)
+    return rf"{begins}{stem_form}[\p{{L}}\p{{N}}]*+{OUTSIDE_TAGS}"
+
+
 def highlight(view: DataFrame, rules: DataFrame) -> DataFrame:
     """Mark in each filtered article what its rule matched.
 
-    Word and phrase rules wrap their first hit; tag, author and expression
-    rules add a footnote. A union rule marks the side that matched. The word
+    Word and phrase rules wrap their first hit outside tags: words as a whole,
+    stems with the rest of their word. Tag, author and expression rules add a footnote. A union rule marks the side that matched. The word
     patterns are built per rule, so rules come to the driver once.
     """
     spark = view.sparkSession
     rows = []
-    for rule in rules.select("rule_uid", "rule_type", "rule_text").collect():
+    texts = rules.select("rule_uid", "rule_type", "rule_text")
+    keyed = texts.where(F.element_at(F.split("rule_type", "_", 2), -1).isin("word", "all")).select(F.explode(words(F.col("rule_text"))).alias("word"))
+    stems = {r["word"]: r["stem"] for r in with_stem(keyed.distinct()).collect()}
+    for rule in texts.collect():
         kind = rule["rule_type"].split("_", 1)
         text = rule["rule_text"] or ""
         if len(kind) == 2 and kind[1] in ("word", "exactword", "all"):
-            patterns = [highlight_pattern(w) for w in _rule_word_list(text)]
+            found = _rule_word_list(text)
+            if kind[1] != "exactword":
+                patterns = [_word_pattern(s, True) for s in sorted({stems.get(w, w) for w in found})]
+            else:
+                patterns = [_word_pattern(w, False) for w in found]
         elif len(kind) == 2:
-            patterns = [java_quote(text)] if kind[1] == "phrase" else ["(?i:" + java_quote(text) + ")"]
+            patterns = [(java_quote(text) if kind[1] == "phrase" else "(?i:" + java_quote(text) + ")") + OUTSIDE_TAGS]
         else:
             patterns = []
         side = kind[0] if len(kind) == 2 else None

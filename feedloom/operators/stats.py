@@ -183,7 +183,8 @@ def rule_stats(rules: DataFrame, items: DataFrame, feeds: DataFrame, as_of, n: i
         .agg(
             F.count_if(created > week).alias("last_7"),
             F.count_if(created < week).alias("prev_7"),
-            F.min(F.when(created > week, uid).otherwise(F.lit(2000000000))).alias("first_item"),
+            # Without a recent item the reports show this number; it is no bound for ids.
+            F.coalesce(F.min(F.when(created > week, uid)), F.lit(2000000000)).alias("first_item"),
             F.max(F.when(created > week, uid).otherwise(F.lit(0))).alias("last_item"),
         )
     )

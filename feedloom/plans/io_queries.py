@@ -8,7 +8,7 @@ from feedloom.functions import scalars as S
 from feedloom.operators import maintain as M
 from feedloom.operators import stats as A
 from feedloom.plans.model import AS_OF, ts_text, with_model
-from feedloom.plans.table_queries import RUNS_SQL
+from feedloom.plans.table_queries import INGEST_SQL, RUNS_SQL, batch_model
 from feedloom.session import shared_folder
 from feedloom.sources import feeds as R
 from feedloom.sources import opml as O
@@ -109,23 +109,23 @@ def _error_stream(m):
 
 
 def _refresh_stream(m):
-    """All articles of a day arrive; the stored ones and repeated ones stay out."""
-    lake = shared_folder(m.spark)
+    """All articles of a day arrive, with copies among them; then changed copies of all arrive again."""
+    lake, landing = shared_folder(m.spark), f"{shared_folder(m.spark)}/landing"
     store.save(lake, feeds=m.feeds, items=m.stored, rules=m.rules, tags=m.tags.limit(0))
-    seen = J.dedup_stream(_stream(m, m.entries, 1).withColumn("seen_at", F.lit(AS_OF).cast("timestamp"))).drop("seen_at")
-    _run(J.run_refresh(seen, lake, f"{lake}/checkpoint", AS_OF))
-    held = store.load(m.spark, lake).items
-    return held.groupBy("item_feed_uid").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("item_guid").alias("guids"))
+    for batch in (m.entries, m.entries.withColumns({
+        "title": F.concat(F.lit("Again: "), "title"), "link": F.concat("link", F.lit("?again")),
+    })):
+        batch.write.mode("append").parquet(landing)
+        entries = m.spark.readStream.schema(m.entries.schema).parquet(landing)
+        _run(J.run_refresh(entries, lake, f"{lake}/checkpoint", AS_OF))
+    return store.load(m.spark, lake).items.select("item_guid", "item_title", "item_rating")
 
 
 def _seen_stream(m):
-    """Entries of a stream, each GUID of a feed once."""
+    """Entries of a stream of two batches, each GUID of a feed once."""
     lake = shared_folder(m.spark)
-    once = J.dedup_stream(_stream(m, m.entries).withColumn("seen_at", F.lit(AS_OF).cast("timestamp")))
-    query = once.select("feed_uid", "guid").writeStream.format("parquet").option(
-        "checkpointLocation", f"{lake}/checkpoint").trigger(availableNow=True).start(f"{lake}/seen")
-    _run(query)
-    return m.spark.read.schema("feed_uid long, guid string").parquet(f"{lake}/seen")
+    _run(J.run_seen(_stream(m, m.entries), lake, f"{lake}/checkpoint", AS_OF))
+    return m.spark.read.schema("feed_uid long, guid string").parquet(f"{lake}/fresh/*")
 
 
 QUERIES = {
@@ -151,7 +151,9 @@ QUERIES = {
       FROM rating_events WHERE op IS NOT NULL) WHERE n = 1) e ON i.item_uid = e.item_uid) GROUP BY 1""", "items", "events")),
     "error_stream": (_error_stream, with_model("""SELECT feed_uid, arg_max(failures, seq) AS feed_errors, max(failures) AS longest,
       max(failures) > 12 AS suspended FROM runs GROUP BY 1""", "feeds", "events", extra=RUNS_SQL)),
-    "refresh_stream": (_refresh_stream, None),
+    "refresh_stream": (_refresh_stream, batch_model("""SELECT item_guid, item_title, item_rating FROM stored
+      UNION ALL SELECT item_guid, item_title, CASE WHEN rule_uid IS NULL THEN 0 ELSE -2 END
+      FROM new_items LEFT JOIN first USING (item_uid)""", "rules", extra=INGEST_SQL)),
     "seen_stream": (_seen_stream, with_model("SELECT DISTINCT feed_uid, guid FROM entries", "entries")),
     "change_feed_url": (
         lambda m: M.change_feed_url(m.feeds, m.stored, m.rules, m.entries, 11, "http://moved.example.com/feed", AS_OF)[0]

@@ -47,6 +47,12 @@ RULES: list[tuple] = [
     (23, "python", 16, None, "any_in(title_lc, array('ous', 'ent')) OR 1 div (length(title) - length(title)) = 1"),
     (24, "python", None, None, "no_such_field > 3"),
     (25, "python", None, None, "cast(title AS int) > 0"),
+    (27, "python", None, None, "title rlike '('"),
+    (28, "python", None, None, "raise_error('x') IS NULL"),
+    (29, "python", None, None, "count(1) > 0"),
+    (30, "python", None, None, "explode(array(1, 2)) = 1"),
+    (33, "python", None, None, "row_number() OVER (ORDER BY title) > 0"),
+    (34, "python", 12, None, "array_contains(category, 'en') AND any_word(title_words, array('the', 'ere'))"),
     (26, "title_exactword", None, "2020-01-01 00:00:00", "of and"),
 ]
 

@@ -9,7 +9,7 @@ from feedloom.functions import rule_helpers as RH
 from feedloom.operators import links as L
 from feedloom.operators import maintain as M
 from feedloom.operators import rules as R
-from feedloom.plans.model import AS_OF, NOW, with_model, words_sql
+from feedloom.plans.model import AS_OF, NOW, sql_text, with_model, words_sql
 from feedloom.plans.stem_sql import stem_ctes
 
 
@@ -70,7 +70,11 @@ MATCHES = {
       JOIN live ON rule_type = 'author' AND rule_text = lower(item_creator) WHERE {SCOPE}""",
     # The texts of rules 22 and 23; rule 24 names an unknown field and rule 25 casts text that is no number.
     "expr": f"""SELECT item_uid, 0 AS scope, 22 AS rule_uid, CAST(NULL AS VARCHAR) AS side FROM scoped
-      WHERE NOT exempt AND length(item_content) > 20000 AND list_has_any({words_sql('item_title')}, ['the', 'of'])
+      WHERE NOT exempt AND length(item_content) > 20000
+        AND item_uid IN (SELECT item_uid FROM stemmed WHERE side = 'title' AND stem IN ('the', 'of'))
+      UNION ALL SELECT item_uid, 1, 34, NULL FROM scoped
+      WHERE item_feed_uid = 12 AND item_uid IN (SELECT item_uid FROM stemmed WHERE side = 'title' AND stem IN ('the', 'ere'))
+        AND item_uid IN (SELECT tag_item_uid FROM tags WHERE tag_name = 'en')
       UNION ALL SELECT item_uid, 1, 23, NULL FROM scoped
       WHERE item_feed_uid = 16 AND (contains(lower(item_title), 'ous') OR contains(lower(item_title), 'ent'))""",
     "feed_filter": """SELECT item_uid, 2 AS scope, 0 AS rule_uid, CAST(NULL AS VARCHAR) AS side
@@ -124,13 +128,20 @@ def _probes(m):
         m.items.select(F.substring_index("item_link", "/", 3).alias("url")))
 
 
+def _marked(text: str, word: str) -> str:
+    """The first whole ``word`` outside tags wrapped: whatever comes before it is tags and other characters."""
+    before = r"(?:(?:<[^>]*>|[^<])*?(?:<[^>]*>|[^\p{L}\p{N}<]))?"
+    pattern = f"(?s)^({before})({H.highlight_pattern(word)})([^\\p{{L}}\\p{{N}}]|$)"
+    return f"regexp_replace({text}, {sql_text(pattern)}, '\\1<span class=\"filter-highlight\">\\2</span>\\3')"
+
+
 def _sides(target: str) -> tuple[str, ...]:
     return ("title", "content") if target == "union" else (target,)
 
 
 def _helper_sql(side: str, form: str) -> str:
     if form == "words":
-        return f"list_has_any({words_sql('item_' + side)}, ['tion', 'für', 'The'])"
+        return f"item_uid IN (SELECT item_uid FROM stemmed WHERE side = '{side}' AND stem IN ('tion', 'für', 'The', 'er'))"
     text = f"lower(item_{side})" if form == "lc" else f"item_{side}"
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in ("tion", "für", "The")) + ")"
 
@@ -146,7 +157,7 @@ QUERIES = {
     "match_phrase_lc": (lambda m: R.match_phrase_lc(_scoped(m), _live(m)), matches_sql("phrase_lc")),
     "match_tag": (lambda m: R.match_tag(_scoped(m), m.tags, _live(m)), matches_sql("tag")),
     "match_author": (lambda m: R.match_author(_scoped(m), _live(m)), matches_sql("author")),
-    "match_expression": (lambda m: R.match_expr(_scoped(m), m.feeds, _live(m)), matches_sql("expr")),
+    "match_expression": (lambda m: R.match_expr(_scoped(m), m.feeds, _live(m), tags=m.tags), matches_sql("expr")),
     "rule_lookups": (
         _lookups,
         with_model("""SELECT item_uid, 0 AS scope, 31 AS rule_uid, CAST(NULL AS VARCHAR) AS side FROM looked
@@ -186,11 +197,8 @@ QUERIES = {
             WHEN rule_type LIKE '%phrase' AND side = 'content' THEN
               left(item_content, strpos(item_content, rule_text) - 1) || '<span class="filter-highlight">' || rule_text || '</span>'
                 || substr(item_content, strpos(item_content, rule_text) + length(rule_text))
-            WHEN f.rule_uid = 5 THEN regexp_replace(regexp_replace(item_content,
-              '(?s)^(.*?)({H.highlight_pattern("elle")})', '\\1<span class="filter-highlight">\\2</span>'),
-              '(?s)^(.*?)({H.highlight_pattern("para")})', '\\1<span class="filter-highlight">\\2</span>')
-            WHEN f.rule_uid = 6 AND side = 'content' THEN regexp_replace(item_content,
-              '(?s)^(.*?)({H.highlight_pattern("nicht")})', '\\1<span class="filter-highlight">\\2</span>')
+            WHEN f.rule_uid = 5 THEN {_marked(_marked('item_content', 'elle'), 'para')}
+            WHEN f.rule_uid = 6 AND side = 'content' THEN {_marked('item_content', 'nicht')}
             ELSE item_content END AS content,
           coalesce(side = 'title', FALSE) AS in_title
         FROM first f JOIN items USING (item_uid) JOIN rules r ON r.rule_uid = f.rule_uid""", *NEEDS,
@@ -252,9 +260,9 @@ QUERIES = {
           coalesce(nullif(regexp_extract(html, '<a [^>]*href="([^"]*)"[^>]*>The</a>', 1), ''), 'NOT MATCHED') AS cased FROM web""", "pages")),
     "membership_helpers": (
         lambda m: R.with_rule_fields(m.texts).select(
-            "item_uid", *[RH.any_of(t, f, ["tion", "für", "The"]).alias(f"{t}_any" + (f"_{f}" if f else ""))
+            "item_uid", *[RH.any_of(t, f, ["tion", "für", "The"] + ["er"] * (f == "words")).alias(f"{t}_any" + (f"_{f}" if f else ""))
                           for t in ("title", "content", "union") for f in ("", "lc", "words")]),
         with_model("SELECT item_uid, " + ", ".join(
             f"({' OR '.join(_helper_sql(s, f) for s in _sides(t))}) AS {t}_any{'_' + f if f else ''}"
-            for t in ("title", "content", "union") for f in ("", "lc", "words")) + " FROM items", "items")),
+            for t in ("title", "content", "union") for f in ("", "lc", "words")) + " FROM items", *NEEDS, extra=LIVE_SQL + "," + STEMS_SQL)),
 }

@@ -79,7 +79,7 @@ new_tags AS (
 
 def _swap(sql: str) -> str:
     """Rule CTEs over the new items instead of all."""
-    return sql.replace("FROM items ", "FROM new_items ").replace("JOIN tags ", "JOIN new_tags ")
+    return sql.replace("FROM items ", "FROM new_items ").replace("JOIN tags ", "JOIN new_tags ").replace("FROM tags ", "FROM new_tags ")
 
 
 INGEST_SQL = NEW_SQL + "," + _swap(",".join((LIVE_SQL, STEMS_SQL, ALL_MATCHES_SQL, FIRST_SQL)))
@@ -326,7 +326,9 @@ QUERIES = {
     "purge_reload": (
         # Unread articles go, the feed is read again; the stored ones stay out of the batch.
         lambda m: M.purge_reload(m.items, m.feeds, m.rules, m.entries, 3, AS_OF)[1].new_items.select("item_guid", "item_title"),
-        None),
+        batch_model("SELECT guid AS item_guid, title AS item_title FROM accepted WHERE feed_uid = 3", "items").replace(
+            BATCH_SQL.strip(), "kept AS (SELECT * FROM items WHERE NOT (item_feed_uid = 3 AND item_rating = 0)),"
+            + BATCH_SQL.replace("FROM stored", "FROM kept"))),
     "hard_purge": (
         lambda m: _counts(dict(zip(("feeds", "items", "rules", "tags"), M.hard_purge(m.feeds, m.items, m.rules, m.tags, 4)))),
         with_model("""SELECT 'feeds' AS name, count(*) AS n FROM feeds WHERE feed_uid <> 4
@@ -365,7 +367,7 @@ QUERIES = {
     "error_runs": (
         lambda m: M.error_runs(m.fetch_log, m.feeds, 12),
         with_model("""SELECT feed_uid, count(*) AS fetches, arg_max(errors, seq) AS feed_errors, max(errors) AS longest,
-          max(errors) > 12 AS suspended FROM runs GROUP BY feed_uid""", "feeds", "events", extra=RUNS_SQL)),
+          max(errors) > 12 AS suspended, arg_min(errors, seq) FILTER (errors > 12) AS suspended_at FROM runs GROUP BY feed_uid""", "feeds", "events", extra=RUNS_SQL)),
     "failure_runs": (
         _failures,
         with_model("SELECT feed_uid, seq, failures FROM runs", "feeds", "events", extra=RUNS_SQL)),
@@ -382,7 +384,8 @@ QUERIES = {
             "item_feed_uid", "item_guid", "item_link", "item_title", "item_content", "item_rating"),
         with_model("""SELECT feed_uid AS item_feed_uid, 'notice://' || feed_uid || '/' || md5(text) AS item_guid,
           '/feed/' || feed_uid AS item_link, 'Service notification' AS item_title, text AS item_content, 0 AS item_rating
-        FROM (SELECT DISTINCT feed_uid, 'This feed was suspended because of 13 consecutive errors' AS text FROM runs WHERE errors > 12)""",
+        FROM (SELECT feed_uid, 'This feed was suspended because of ' || arg_min(errors, seq) || ' consecutive errors' AS text
+          FROM runs WHERE errors > 12 GROUP BY 1)""",
                    "feeds", "events", extra=RUNS_SQL)),
     "edit_items": (
         lambda m: M.edit_items(m.items, _edits(m)).select("item_uid", "item_link", "item_title", "item_content"),

@@ -102,7 +102,21 @@ def read_entries(reader, path: str) -> DataFrame:
     """Entries of all documents under ``path``; ``reader`` is ``spark.read`` or ``spark.readStream``."""
     rss = rss_entries(_rows(reader, path, "item", RSS_ITEM))
     atom = atom_entries(_rows(reader, path, "entry", ATOM_ENTRY))
-    return normalise(rss.unionByName(atom).where(F.coalesce("guid", "link", "title").isNotNull()))
+    entries = rss.unionByName(atom).where(F.coalesce("guid", "link", "title", "content").isNotNull())
+    # An item needs neither GUID nor link: what it says then tells it apart.
+    said = F.md5(F.concat_ws("\n", "title", "content"))
+    return normalise(entries.withColumn("guid", F.coalesce("guid", said)))
+
+
+def rejected_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``document`` and ``reason`` of the files under ``path`` that give no entries because they don't parse."""
+    files = spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("document"), "value",
+        F.from_xml("value", "title string, broken string", {"columnNameOfCorruptRecord": "broken"}).alias("x"),
+    )
+    known = F.col("value").rlike(r"<(?:\w+:)?(?:rss|RDF|channel|feed|item|entry)\b")
+    reason = F.when(F.col("x.broken").isNotNull(), F.lit("malformed")).when(~known, F.lit("no feed"))
+    return files.select("document", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def read_feeds(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -22,21 +22,19 @@ def read_opml(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path)
     latin = F.decode("content", "ISO-8859-1")
-    declared = F.upper(F.regexp_extract(F.substring(latin, 1, 200), """encoding=["']([^"']+)["']""", 1))
+    declaration = F.regexp_extract(latin, r"^[^<]*<\?xml\s[^>]*\?>", 0)
+    declared = F.upper(F.regexp_extract(declaration, """encoding\\s*=\\s*["']([^"']+)["']""", 1))
     text = F.when(declared.isin(*LATIN_1), latin).otherwise(
         F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), latin)
     )
     tags = F.regexp_extract_all(text, F.lit(r"""(?s)<outline\b(?:"[^"]*"|'[^']*'|[^>"'])*>"""), F.lit(0))
     outlines = files.select("path", F.posexplode(tags).alias("pos", "tag"))
     # Some writers put the attribute names in lower case.
-    misspelt = F.col("tag").rlike(r"\sxmlurl=")
     fixed = F.regexp_replace(F.regexp_replace("tag", r"\sxmlurl=", " xmlUrl="), r"\shtmlurl=", " htmlUrl=")
     closed = F.regexp_replace(fixed, r"\s*/?>$", "/>")
     return (
         outlines.withColumn("o", F.from_xml(closed, OUTLINE, {"attributePrefix": "_"}))
         .where(F.col("o._xmlUrl").isNotNull())
-        .withColumn("late", misspelt)
-        .orderBy("path", "late", "pos")
         .select(
             F.col("o._xmlUrl").alias("xml_url"),
             F.coalesce("o._htmlUrl", F.lit("")).alias("html_url"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedloom import schema
-from feedloom.operators.ingest import ingest
+from feedloom.functions.scalars import as_of_column
+from feedloom.operators.ingest import first_guid, ingest
 from feedloom.operators.maintain import error_runs, last_rating
 from feedloom.operators.search import update_tokens
 from feedloom.session import durable
@@ -22,13 +23,48 @@ REFRESH_INTERVAL = "1 hour"
 SEEN_FOR = "24 hours"
 
 
-def dedup_stream(entries: DataFrame, delay: str = SEEN_FOR, seen_at: str = "seen_at") -> DataFrame:
-    """Entries of a stream without GUIDs already seen within ``delay``.
+SEEN = "feed_uid long, guid string, seen_at timestamp"
 
-    State is one key per (feed, guid), spread over all partitions. It only
-    saves work: the ingest still checks the stored items.
+
+def unseen_entries(batch: DataFrame, seen: DataFrame, as_of, keep: str = SEEN_FOR) -> tuple[DataFrame, DataFrame]:
+    """Entries of a batch with a GUID not seen within ``keep``, and the seen table after it.
+
+    Of the copies in a batch the one nearest the end of its document counts, before any
+    look at what was seen. Every sighting renews the time of a GUID, and what is
+    older than ``keep`` is forgotten, so ``seen`` (feed_uid, guid, seen_at) is bounded by
+    what the feeds list in that time. It only saves work: the ingest checks the stored items.
     """
-    return entries.withWatermark(seen_at, delay).dropDuplicatesWithinWatermark(["feed_uid", "guid"])
+    now = as_of_column(as_of)
+    live = seen.where(F.col("seen_at") >= now - F.expr(f"INTERVAL {keep}"))
+    once = first_guid(batch)
+    known = live.select(F.col("feed_uid").alias("k_feed"), F.col("guid").alias("k_guid"))
+    fresh = once.join(known, (F.col("feed_uid") == F.col("k_feed")) & F.col("guid").eqNullSafe(F.col("k_guid")), "left_anti")
+    sighted = once.select("feed_uid", "guid", now.alias("seen_at"))
+    return fresh, live.unionByName(sighted).groupBy("feed_uid", "guid").agg(F.max("seen_at").alias("seen_at"))
+
+
+def _with_seen(batch: DataFrame, batch_id: int, path: str, as_of) -> DataFrame:
+    """Fresh entries of a batch; keeps the seen table in ``seen/batch=n`` and drops the one before the last.
+
+    A replayed batch starts from the same table again.
+    """
+    spark = batch.sparkSession
+    before = f"{path}/seen/batch={batch_id - 1}"
+    seen = spark.read.schema(SEEN).parquet(before) if _exists(spark, before) else spark.createDataFrame([], SEEN)
+    fresh, after = unseen_entries(batch, seen, as_of)
+    after.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+    _remove(spark, f"{path}/seen/batch={batch_id - 2}")
+    return fresh
+
+
+def run_seen(entries: DataFrame, path: str, checkpoint: str, as_of, once: bool = True) -> StreamingQuery:
+    """Write the fresh entries of each batch to ``fresh/batch=n``."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        fresh = _with_seen(durable(batch), batch_id, path, as_of)
+        fresh.write.mode("overwrite").parquet(f"{path}/fresh/batch={batch_id}")
+
+    writer = entries.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return _trigger(writer, once, REFRESH_INTERVAL).start()
 
 
 def _trigger(writer, once: bool, interval: str):
@@ -42,14 +78,15 @@ def run_refresh(
 
     Tags go first: item ids follow from the stored items, so a replay after a
     crash between the two writes finds the same ids and adds the items only.
-    The oldest listed item of each feed goes to ``feed_marks``.
+    The oldest listed item of each feed goes to ``feed_marks``. GUIDs seen in the last day
+    are left out beforehand (:func:`unseen_entries`).
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Read once: positions given by the reader must not change between uses.
-        batch = durable(batch)
-        held = store.load(spark, path)
         now = as_of if as_of is not None else F.current_timestamp()
+        batch = durable(_with_seen(durable(batch), batch_id, path, now))
+        held = store.load(spark, path)
         done = ingest(batch, held.items, current_feeds(spark, path), held.rules, now)
         keys = ["tag_item_uid", "tag_name", "tag_by"]
         fresh_tags = done.new_tags.join(held.tags.select(*keys), keys, "left_anti")
@@ -84,6 +121,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def run_ratings(events: DataFrame, path: str, checkpoint: str, once: bool = True, interval: str = "10 seconds"):
     """Keep the last rating per item of each batch in ``ratings``.
 
@@ -123,6 +165,7 @@ def run_stats(changes: DataFrame, stats: DataFrame, path: str, checkpoint: str,
         spark = batch.sparkSession
         before = stats if batch_id == 0 else spark.read.parquet(f"{path}/feed_stats/batch={batch_id - 1}")
         merge_stats(before, batch).write.mode("overwrite").parquet(f"{path}/feed_stats/batch={batch_id}")
+        _remove(spark, f"{path}/feed_stats/batch={batch_id - 2}")
 
     writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _trigger(writer, once, "10 seconds").start()
@@ -151,6 +194,7 @@ def run_errors(
             (F.coalesce("b.suspended", F.lit(False)) | F.coalesce("r.suspended", F.lit(False))).alias("suspended"),
         )
         merged.write.mode("overwrite").parquet(f"{path}/feed_errors/batch={batch_id}")
+        _remove(spark, f"{path}/feed_errors/batch={batch_id - 2}")
 
     writer = fetches.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
     return _trigger(writer, once, "10 seconds").start()
@@ -162,6 +206,7 @@ def run_tokens(changes: DataFrame, tokens: DataFrame, path: str, checkpoint: str
         spark = batch.sparkSession
         before = tokens if batch_id == 0 else spark.read.parquet(f"{path}/tokens/batch={batch_id - 1}")
         update_tokens(before, batch).write.mode("overwrite").parquet(f"{path}/tokens/batch={batch_id}")
+        _remove(spark, f"{path}/tokens/batch={batch_id - 2}")
 
     writer = changes.writeStream.foreachBatch(retokenise).option("checkpointLocation", checkpoint)
     return _trigger(writer, once, "10 seconds").start()

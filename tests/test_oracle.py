@@ -43,4 +43,4 @@ def test_query(spark, con, name):
 
 def test_every_query_has_a_column_list(spark):
     assert set(ORACLE) <= set(catalog.queries())
-    assert set(catalog.queries()) - set(ORACLE) == {"purge_reload", "refresh_stream"}
+    assert set(catalog.queries()) == set(ORACLE)

@@ -270,3 +270,68 @@ def test_highlight(spark, small):
     assert rows[1]["item_title"] == f"Clouds over {span}Oracle</span>"
     assert rows[2]["item_content"] == f"{span}nothing</span> here"
     assert rows[3]["item_content"] == "exempt feed"
+
+
+def expression(spark, text, title="He runs home", tags=("it", "net")):
+    items = spark.createDataFrame(
+        [(1, 7, title, "some content", "http://a/", "g", "me")],
+        "item_uid long, item_feed_uid long, item_title string, item_content string, item_link string, item_guid string, item_creator string")
+    feeds = spark.createDataFrame([(7, False, "A feed")], "feed_uid long, feed_exempt boolean, feed_title string")
+    rules = spark.createDataFrame(
+        [(1, "python", None, text), (2, "python", None, "length(title) > 3")], "rule_uid long, rule_type string, rule_feed_uid long, rule_text string")
+    owned = spark.createDataFrame([(1, t) for t in tags], "tag_item_uid long, tag_name string")
+    found = {r["rule_uid"] for r in R.match_expr(R.scope_keys(items, feeds), feeds, rules, tags=owned).collect()}
+    assert 2 in found  # a bad rule hurts no other
+    return 1 in found
+
+
+@pytest.mark.parametrize("text", [
+    "title rlike '('", "raise_error('x') is null", "count(1) > 0", "explode(array(1, 2)) = 1", "row_number() over (order by title) > 0",
+    "title rlike author", "(select max(1)) = 1", "assert_true(false) is null", "rand() < 2", "cast(title as int) > 0", "nothing = 1", "title >",
+])
+def test_rules_that_never_match(spark, text):
+    assert not expression(spark, text)
+
+
+@pytest.mark.parametrize("text", [
+    "array_contains(category, 'it')", "item_tags = array('it', 'net')", "any_word(title_words, array('run'))",
+    "any_word(title_words_exact, array('runs')) and not any_word(title_words_exact, array('run'))",
+    "any_word(union_words, array('content'))", "title rlike '^He r.ns'", "feed_title = 'A feed'",
+])
+def test_rules_that_match(spark, text):
+    assert expression(spark, text)
+
+
+def test_check_of_rules_before_storing(spark):
+    items = spark.createDataFrame([], "item_uid long, item_title string, item_content string, item_link string, item_guid string, item_creator string")
+    rules = spark.createDataFrame(
+        [(1, "python", "title rlike '('"), (2, "python", "# a note\ntitle = 'x'"), (3, "title_word", "(")], "rule_uid long, rule_type string, rule_text string")
+    assert [r["rule_uid"] for r in R.check_rules(rules, R.with_rule_fields(items)).collect()] == [1]
+
+
+@pytest.mark.parametrize("kind, text, html, want", [
+    ("content_word", "running", "<p>He runs home</p>", "<p>He [runs] home</p>"),
+    ("content_word", "cloud", '<a href="http://cloud.com/">The Clouds</a>', '<a href="http://cloud.com/">The [Clouds]</a>'),
+    ("content_exactword", "art", "smart artful art", "smart artful [art]"),
+    ("content_all", "happy class", "Classes of happiness", "[Classes] of [happiness]"),
+    ("content_word", "span", "a span of spanning", "a [span] of spanning"),
+    ("content_phrase", "a b", '<i title="a b">a b</i>', '<i title="a b">[a b]</i>'),
+    ("content_exactword", "cafe", "Le CAFÉ noir", "Le [CAFÉ] noir"),
+])
+def test_highlight_outside_tags_on_words(spark, kind, text, html, want):
+    view = spark.createDataFrame(
+        [(1, "t", html, -2, 9, "content")],
+        "item_uid long, item_title string, item_content string, item_rating int, item_rule_uid long, item_rule_side string")
+    rules = spark.createDataFrame([(9, kind, text)], "rule_uid long, rule_type string, rule_text string")
+    (row,) = R.highlight(view, rules).collect()
+    assert row["item_content"] == want.replace("[", '<span class="filter-highlight">').replace("]", "</span>")
+
+
+def test_report_of_a_rule_with_large_ids(spark):
+    items = spark.createDataFrame(
+        [(3_000_000_000 + i, 5, "2024-01-30 00:00:00") for i in range(3)], "item_uid long, item_rule_uid long, item_created string"
+    ).withColumn("item_created", F.col("item_created").cast("timestamp"))
+    rules = spark.createDataFrame([(5, "tag", "x", None)], "rule_uid long, rule_type string, rule_text string, rule_feed_uid long")
+    feeds = spark.createDataFrame([(1, "f")], "feed_uid long, feed_title string")
+    (row,) = A.rule_stats(rules, items, feeds, "2024-01-31 00:00:00").collect()
+    assert (row["first_item"], row["last_item"]) == (3_000_000_000, 3_000_000_002)
