@@ -190,3 +190,17 @@ def test_sql_helpers(spark):
 def test_age_is_exact(spark):
     then = dt.datetime(2024, 1, 30, 12)
     assert one(spark, S.age_days(F.lit(str(then)).cast("timestamp"), AS_OF)) == 0.5
+
+
+@pytest.mark.parametrize("base", ["http://a.com/x/y", "http://a.com/x/y/", "http://a.com", "http://a.com/x/y?q=1/2#f"])
+def test_resolve_url_as_urljoin(spark, base):
+    from urllib.parse import urljoin
+
+    refs = [
+        "../rss.xml", "./rss.xml", "../../rss.xml", "../../../rss.xml", "a/../b", "a/./b/", "..", ".", "../", "/a/../b?x=../y", "/../a",
+        "rss.xml?u=a/../b", "//b.com/x/../y", "http://b.com/x/../y", "?q=2", "#top", "", "...", "a..b/c",
+    ]
+    rows = spark.createDataFrame([(r,) for r in refs], "r string").select("r", H.resolve_url(F.lit(base), F.col("r")).alias("u")).collect()
+    for row in rows:
+        if row["r"] not in ("", "//b.com/x/../y"):
+            assert row["u"] == urljoin(base, row["r"]), row

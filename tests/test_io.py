@@ -204,3 +204,24 @@ def test_client_sync(m):
     assert {r["item_uid"] for r in client.collect()} <= ids and {i for i in ids if i % 2} == {
         r["item_uid"] for r in newer.where("item_uid % 2 = 1").where(F.col("updated") > F.lit(mark)).collect()}
     assert I.client_unread(after).where("item_rating <> 0").count() == 0
+
+
+def test_entries_without_guid_link_or_title(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        "<rss><channel><title>t</title><item><description>only this</description></item>"
+        "<item><title>only a title</title></item><item/></channel></rss>")
+    (tmp_path / "b.xml").write_text("<rss><channel><item><title>cut off</channel>")
+    (tmp_path / "c.xml").write_text("<html><body>no feed</body></html>")
+    rows = {r["content"]: r for r in S.read_entries(spark.read, f"{tmp_path}/a.xml").collect()}
+    assert set(rows) == {"only this", ""} and all(r["guid"] for r in rows.values())
+    assert len({r["guid"] for r in rows.values()}) == 2
+    found = {r["document"].rsplit("/", 1)[1]: r["reason"] for r in S.rejected_documents(spark, str(tmp_path)).collect()}
+    assert found == {"b.xml": "malformed", "c.xml": "no feed"}
+
+
+def test_declared_encoding_far_into_the_file(spark, tmp_path):
+    outline = '<opml><body><outline xmlUrl="http://a/" title="{}"/></body></opml>'
+    head = '<?xml version="1.0" ' + " " * 300 + 'encoding="ISO-8859-1"?>'
+    (tmp_path / "far.opml").write_bytes((head + outline.format("Ã©")).encode("latin-1"))
+    (tmp_path / "text.opml").write_bytes(('<?xml version="1.0"?><!-- encoding="ISO-8859-1" -->' + outline.format("é")).encode())
+    assert {r["title"] for r in O.read_opml(spark, str(tmp_path)).collect()} == {"Ã©", "é"}
