@@ -9,7 +9,7 @@ for the codewords of the perfect binary Golay code within four bits of it,
 one bit apart share that codeword.
 
 Fingerprints that share a key are compared, bit by bit, in buckets of up to
-``BUCKET``. Members of larger buckets take an exact way that needs no pairs:
+``BUCKET``, which give a spanning forest of their links. Members of larger buckets take an exact way that needs no pairs:
 two fingerprints are within two bits just if they share a fingerprint one bit or less from
 both, and at most 65 fingerprints share one, so each is listed under its 65
 neighbours and joined to the smallest on each list.
@@ -166,7 +166,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SE
 
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) of nodes whose fingerprints differ in two bits or fewer, or that a third fingerprint joins.
+    """Links (a, b) of nodes whose fingerprints differ in two bits or fewer; they join all such nodes.
 
     ``nodes`` has distinct fingerprints: kind (int), print, node (long); only
     fingerprints of one kind are compared. It should be cheap to read twice.
@@ -183,8 +183,10 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     keys = nodes.select("kind", "print", "node").mapInArrow(keyed, "key long, kind int, print long, node long")
     sizes = by_size(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = durable(keys.join(sizes, "key"))
-    small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("print", "node")).alias("own"))
+    # Keys are cheap to make again, and many: they are joined twice rather than written.
+    small = keys.join(sizes.where(F.col("n") <= bucket), "key").groupBy("key").agg(
+        F.collect_list(F.struct("print", "node")).alias("own")
+    )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,17 +196,16 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
             node = own.values.field("node").to_numpy()
             found_a, found_b = [], []
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                a, b = _pairs(hi - lo)
-                near = np.bitwise_count(prints[lo:hi][a] ^ prints[lo:hi][b]) <= 2
-                if near.any():
-                    found_a.append(node[lo:hi][a[near]])
-                    found_b.append(node[lo:hi][b[near]])
+                a, b = nearest_links(prints[lo:hi])
+                if a:
+                    found_a.append(node[lo:hi][a])
+                    found_b.append(node[lo:hi][b])
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
     pairs = small.select("own").mapInArrow(compared, "a long, b long")
 
-    large = shared.where(F.col("n") > bucket).select("kind", "print", "node").distinct()
+    large = keys.join(sizes.where(F.col("n") > bucket), "key").select("kind", "print", "node").distinct()
     near = F.expr("concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i)))")
     # At most 65 different fingerprints can be on a list.
     lists = large.select("kind", "node", F.explode(near).alias("near")).groupBy("kind", "near").agg(
@@ -214,9 +215,31 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionAll(stars)
 
 
-@functools.lru_cache(maxsize=32)
-def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
+def nearest_links(prints: np.ndarray, most: int = 2) -> tuple[list[int], list[int]]:
+    """Places (a, b) of a shortest spanning forest of the fingerprints, over distances up to ``most``.
+
+    It joins what all pairs within that distance join, by fewer links than there are fingerprints.
+    """
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    found_a: list[int] = []
+    found_b: list[int] = []
+    if np.count_nonzero(apart <= most) == len(prints):
+        return found_a, found_b
+    outside = np.full(len(prints), 255, np.uint8)  # distance to the forest
+    parent = np.zeros(len(prints), np.int64)
+    inside = np.zeros(len(prints), bool)
+    for _ in range(len(prints)):
+        new = int(np.argmin(np.where(inside, 255, outside)))
+        if inside[new]:  # none left within reach: the next tree begins with the first one outside
+            new = int(np.argmin(inside))
+        elif outside[new] <= most:
+            found_a.append(int(parent[new]))
+            found_b.append(new)
+        inside[new] = True
+        closer = apart[new] < outside
+        outside[closer] = apart[new][closer]
+        parent[closer] = new
+    return found_a, found_b
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:

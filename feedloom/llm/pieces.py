@@ -262,22 +262,25 @@ def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (ids as little-endian 32-bit integers), decoded_sha256, and whether the text came back."""
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
     names = ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "exact"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = load(model)
         for batch in batches:
-            ids = list(_lists(batch.column(2)))
             texts = batch.column(1).to_pylist()
-            decoded = batch.column(3).to_pylist()
+            sizes, sums, digests, same = [], [], [], []
+            for text, ids in zip(texts, _lists(batch.column(2)), strict=True):
+                decoded = decoder.decode(ids.tolist())
+                sizes.append(len(ids))
+                sums.append(zlib.crc32(np.ascontiguousarray(ids, "<u4")))
+                digests.append(hashlib.sha256(decoded.encode()).hexdigest())
+                same.append(decoded == (text or ""))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                pa.array([(a or "") == b for a, b in zip(texts, decoded, strict=True)], pa.bool_()),
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(digests, pa.string()),
+                pa.array(same, pa.bool_()),
             ], names)
 
-    return both.select("doc_id", "text", "ids", "decoded").mapInArrow(
+    return encode(docs.select("doc_id", "text"), model).select("doc_id", "text", "ids").mapInArrow(
         run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, exact boolean"
     )
 

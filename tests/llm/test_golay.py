@@ -70,12 +70,21 @@ def test_links_of_prints(spark, bucket):
     found = {tuple(sorted(r)) for r in golay.links(df, bucket).collect()}
     near = {(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2}
     assert found <= near
-    if bucket == 64:
-        assert found == near
     ids = range(len(prints))
     assert roots(ids, found) == roots(ids, near)
 
 
+def test_forest_joins_what_all_pairs_join():
+    rng = random.Random(7)
+    for n in (1, 2, 3, 30, 200):
+        centre = [rng.getrandbits(64) for _ in range(3)]
+        prints = sorted({rng.choice(centre) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 4))) for _ in range(n)})
+        a, b = golay.nearest_links(np.array(prints, np.uint64))
+        assert all((prints[i] ^ prints[j]).bit_count() <= 2 for i, j in zip(a, b, strict=True)) and len(a) < len(prints)
+        near = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2]
+        assert roots(range(len(prints)), zip(a, b, strict=True)) == roots(range(len(prints)), near)
+
+
 def test_code():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 1 << 23, 500).astype(np.uint32)
