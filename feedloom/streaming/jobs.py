@@ -15,7 +15,7 @@ from feedloom.functions.scalars import as_of_column
 from feedloom.operators.ingest import first_guid, ingest
 from feedloom.operators.maintain import error_runs, last_rating
 from feedloom.operators.search import update_tokens
-from feedloom.session import durable
+from feedloom.session import durable, scratch
 from feedloom.sources import tables as store
 from feedloom.streaming.incremental import merge_stats
 
@@ -60,8 +60,9 @@ def _with_seen(batch: DataFrame, batch_id: int, path: str, as_of) -> DataFrame:
 def run_seen(entries: DataFrame, path: str, checkpoint: str, as_of, once: bool = True) -> StreamingQuery:
     """Write the fresh entries of each batch to ``fresh/batch=n``."""
     def keep(batch: DataFrame, batch_id: int) -> None:
-        fresh = _with_seen(durable(batch), batch_id, path, as_of)
-        fresh.write.mode("overwrite").parquet(f"{path}/fresh/batch={batch_id}")
+        with scratch(batch.sparkSession):
+            fresh = _with_seen(durable(batch), batch_id, path, as_of)
+            fresh.write.mode("overwrite").parquet(f"{path}/fresh/batch={batch_id}")
 
     writer = entries.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return _trigger(writer, once, REFRESH_INTERVAL).start()
@@ -79,9 +80,14 @@ def run_refresh(
     Tags go first: item ids follow from the stored items, so a replay after a
     crash between the two writes finds the same ids and adds the items only.
     The oldest listed item of each feed goes to ``feed_marks``. GUIDs seen in the last day
-    are left out beforehand (:func:`unseen_entries`).
+    are left out beforehand (:func:`unseen_entries`). A batch leaves nothing in the shared
+    folder but what it stores.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
+        with scratch(batch.sparkSession):
+            store_batch(batch, batch_id)
+
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Read once: positions given by the reader must not change between uses.
         now = as_of if as_of is not None else F.current_timestamp()

@@ -1,5 +1,6 @@
 """Feed documents, subscription lists, exports and streaming jobs."""
 
+import os
 import tempfile
 
 import pytest
@@ -9,7 +10,7 @@ from feedloom.operators import maintain as M
 from feedloom.operators import search as Q
 from feedloom.operators import stats as A
 from feedloom.plans.model import AS_OF
-from feedloom.session import durable
+from feedloom.session import durable, shared_folder
 from feedloom.sources import exports as X
 from feedloom.sources import feeds as S
 from feedloom.sources import opml as O
@@ -120,7 +121,10 @@ def stream(spark, df, path, files=2):
 
 def test_refresh_stream(spark, m, lake):
     entries = stream(spark, m.entries.where("feed_uid < 6"), f"{lake}/landing")
+    shared = os.path.dirname(shared_folder(spark).removeprefix("file:"))
+    folders = set(os.listdir(shared))
     J.run_refresh(entries, lake, f"{lake}/cp", AS_OF).awaitTermination()
+    assert set(os.listdir(shared)) == folders
     held = store.load(spark, lake)
     guids = held.items.groupBy("item_feed_uid", "item_guid").count()
     assert guids.where("count > 1").count() == 0 and held.items.count() > m.stored.count()
