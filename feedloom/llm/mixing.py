@@ -192,3 +192,50 @@ def mix(
     if "n_chars" in docs.columns:
         values["n_chars"] = F.length("__text").cast(docs.schema["n_chars"].dataType)
     return rows.select(*[values.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def oracle_sql() -> str:
+    """``taken`` in SQL, with every quotient listed."""
+    def number(*parts: str) -> str:
+        text = " || ':' || ".join(parts)
+        return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+
+    seed, b = f"'{SEED}'", BLOCK_WORDS
+    doc, source = "coalesce(doc_id::VARCHAR, '')", "coalesce(source, '')"
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
+n AS (SELECT greatest(1, ceil(count(*) / {SHARD_ROWS}.0))::BIGINT AS n FROM d),
+h AS (SELECT d.*, {number(seed, "'shard'", doc)} % n AS shard, {number(seed, doc)} AS ord FROM d, n),
+cells AS (SELECT source, shard, sum(size)::BIGINT AS cell_size FROM h GROUP BY ALL),
+s1 AS (SELECT source, sum(cell_size)::BIGINT AS source_size FROM cells GROUP BY ALL),
+s2 AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM s1),
+s3 AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, weight, source NULLS LAST) AS nth FROM s2),
+s4 AS (SELECT *, (sum(source_size) OVER () - {MOST_TIMES} * coalesce(sum(source_size) OVER before, 0))::DOUBLE
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS share
+       FROM s3 WINDOW before AS (ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT arg_min(share, nth) AS share FROM s4 WHERE share * weight < {MOST_TIMES} * source_size),
+s5 AS (SELECT source, source_size, least(({MOST_TIMES} * source_size)::DOUBLE, coalesce(f.share, 'inf'::DOUBLE) * weight) AS target
+       FROM s4, f),
+s6 AS (SELECT *, floor(target / greatest(source_size, 1))::BIGINT AS whole FROM s5),
+s7 AS (SELECT *, greatest(0, target - whole * source_size) AS rest FROM s6),
+q1 AS (SELECT source, rest, unnest(range(0, floor(rest / {b})::BIGINT + 3)) AS k FROM s7 WHERE rest > 0),
+q2 AS (SELECT *, row_number() OVER (ORDER BY rest / (2 * k + 1) DESC, source NULLS LAST, k) AS place FROM q1),
+seats AS (SELECT source, count(*) AS seats FROM q2 WHERE place <= (SELECT round(sum(rest) / {b}) FROM s7) GROUP BY ALL),
+c1 AS (SELECT c.*, coalesce(t.seats, 0) AS seats, s.source_size FROM cells c JOIN s7 s ON c.source IS NOT DISTINCT FROM s.source
+       LEFT JOIN seats t ON t.source IS NOT DISTINCT FROM c.source),
+r1 AS (SELECT *, unnest(range(0, floor(cell_size * seats / greatest(source_size, 1))::BIGINT + 3)) AS k FROM c1 WHERE cell_size > 0),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cell_size / (2 * k + 1) DESC, shard, k) AS place FROM r1),
+quotas AS (SELECT source, shard, count(*) AS quota FROM r2 WHERE place <= seats GROUP BY ALL),
+c2 AS (SELECT c1.*, ceil(c1.cell_size / {b})::BIGINT AS blocks, coalesce(quota, 0) AS quota FROM c1
+       LEFT JOIN quotas t ON t.source IS NOT DISTINCT FROM c1.source AND t.shard = c1.shard),
+c3 AS (SELECT *, {number(seed, "'start'", source, "shard::VARCHAR")} % greatest(blocks, 1) AS start FROM c2),
+c4 AS (SELECT source, shard, start * {b} AS a, least(least(start + least(quota, blocks), blocks) * {b}, cell_size) AS b,
+         greatest(start + least(quota, blocks) - blocks, 0) * {b} AS d FROM c3),
+line AS (SELECT h.*, coalesce(sum(size) OVER (PARTITION BY source, shard ORDER BY ord, doc_id NULLS LAST, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM h),
+j AS (SELECT l.*, s.source_size, s.target, s.whole, greatest(0, least(l.size, c.d - l.at)) AS head,
+        greatest(0, least(l.size, c.a - l.at)) AS lo, greatest(0, least(l.size, c.b - l.at)) AS hi
+      FROM line l JOIN c4 c ON c.source IS NOT DISTINCT FROM l.source AND c.shard = l.shard
+      JOIN s7 s ON s.source IS NOT DISTINCT FROM l.source)
+SELECT doc_id, size, source_size, target, (whole * size + head + greatest(lo, hi) - lo)::BIGINT AS taken FROM j
+"""

@@ -66,4 +66,6 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, nth)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_radix_dedup": OP8_SQL, "op10_entropy_secrets": entropy.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op8_radix_dedup": OP8_SQL, "op9_sainte_lague_mix": mixing.oracle_sql(), "op10_entropy_secrets": entropy.oracle_sql(),
+}
