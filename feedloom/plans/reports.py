@@ -11,7 +11,7 @@ from feedloom.functions import scalars as S
 from feedloom.operators import stats as A
 from feedloom.operators import view as V
 from feedloom.operators.ordered import number_rows
-from feedloom.plans.model import AS_OF, NOW, age_sql, ago, ts_text, with_model
+from feedloom.plans.model import AS_OF, NOW, ago, ts_text, with_model
 from feedloom.sources import exports as X
 from feedloom.sources import opml as O
 
