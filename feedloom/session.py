@@ -73,9 +73,24 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _WRITTEN.reset(token)
-        for path in written:
-            location = spark._jvm.org.apache.hadoop.fs.Path(path)
-            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+        _remove(spark, written)
+
+
+def next_scratch(spark: SparkSession, last: bool = False) -> None:
+    """For jobs of steps that each read only what the last one wrote out: remove the tables of the step before.
+
+    To be called at the start of every step, when the result of the one before it is written. From the
+    ``last`` step on tables stay again.
+    """
+    before = _WRITTEN.get() or []
+    _WRITTEN.set(None if last else [])
+    _remove(spark, before)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        location = spark._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
