@@ -6,7 +6,6 @@ import sentencepiece
 
 import corpus_pipeline
 from feedloom.llm import mixing
-from feedloom.session import durable
 from tests.llm.conftest import documents
 from tests.llm.test_golay import shingle_set
 from tests.llm.test_repetition import plain
@@ -26,7 +25,7 @@ def test_stages_one_by_one(spark):
         "quality rules", "exact dedup", "SimHash near-dedup", "mixing sources to target weights", "SentencePiece encoding and decoding"]
 
     def run(name, docs):
-        out = durable(stages[name](spark, docs, SF))
+        out = corpus_pipeline.written(stages[name](spark, docs, SF))
         return out, [r.asDict() for r in out.collect()]
 
     rows = [r.asDict() for r in docs.collect()]
