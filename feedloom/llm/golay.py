@@ -17,10 +17,15 @@ neighbours and joined to the smallest on each list.
 Different texts with one fingerprint are one node; nodes are named by their
 smallest id. Groups are connected components (``components``).
 
-``near_duplicates`` finds texts alike in five-word shingles: eight fingerprints
+``near_duplicates`` finds texts alike in five-word shingles. Eight fingerprints
 of the words (a changed word changes five shingles but one word, so
-fingerprints of words stay close), linked as above in any of them, and links
-checked by the Jaccard similarity of the shingle sets.
+fingerprints of words stay close), linked as above in any of them, join most
+copies. They miss appended, cut and short ones, and their forests keep links of
+fingerprints, not of what the check leaves. So the shingle sets have minima
+under ``BANDS`` x ``ROWS`` hash functions too: sets of similarity 0.8 agree in a
+whole band but for three pairs in a million, whatever their length and wherever
+they differ. Texts of a band that are still apart are compared with each other;
+every link is checked by the Jaccard similarity of the shingle sets.
 
 Defined cases: a null or empty text has no word and fingerprint zero; a text of
 fewer words than a shingle is one shingle; rows with equal doc_id are one
@@ -264,8 +269,28 @@ def _hash_sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int,
         ]
 
 
+#: A pair of similarity s has no common band with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8, 3e-9 at 0.85.
+BANDS, ROWS = 24, 4
+_FUNCTIONS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Keys of the bands of minima (rows, bands) of sets of hashes, given one after the other; empty sets are alike."""
+    keys = np.zeros((len(counts), BANDS), np.uint64)
+    rows = np.flatnonzero(counts)
+    own = np.empty((len(rows), BANDS), np.uint64)
+    own[:] = np.arange(1, BANDS + 1, dtype=np.uint64)
+    starts = (np.cumsum(counts) - counts)[rows]
+    for i, (mask, factor) in enumerate(_FUNCTIONS if len(rows) else ()):
+        least = np.minimum.reduceat((hashes ^ mask) * factor, starts)
+        key = (own[:, i // ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+        own[:, i // ROWS] = key ^ (key >> np.uint64(32))
+    keys[rows] = own
+    return keys
+
+
 def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
-    """__uid, n (different shingles) and two 64-bit SimHashes of the shingle set."""
+    """__uid, n (different shingles), two 64-bit SimHashes and the band keys of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,12 +300,14 @@ def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
                 mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
                 prints = majority_bits(np.stack([hashes, mixed], axis=1), counts).view(np.int64)
+                keys = band_keys(hashes, counts).view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array(counts), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())],
-                    ["__uid", "n", "s0", "s1"],
+                    [batch.column(0).slice(start, end - start), pa.array(counts), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), lists],
+                    ["__uid", "n", "s0", "s1", "keys"],
                 )
 
-    return texts.mapInArrow(run, "__uid long, n long, s0 long, s1 long")
+    return texts.mapInArrow(run, "__uid long, n long, s0 long, s1 long, keys array<long>")
 
 
 def _alike(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -307,14 +334,76 @@ def _alike(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 PROFILE_BITS = 42
 
 
+#: Rounds in which a band's texts are compared with one of them, before those still apart are with each other.
+ROUNDS = 2
+#: Texts of a band that one task compares with as many others.
+BLOCK = 1024
+
+
+def _still_apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those ``rows`` (key, __uid, n, s0, s1) whose key has texts of several groups, with the ``root`` of each."""
+    rows = rows.join(roots.select(F.col("node").alias("__uid"), "root"), "__uid", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "__uid"))
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return durable(rows.join(by_size(open_keys.where("lo < hi").select("key", "size")), "key"))
+
+
+def _with_one(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each text with one of its band, another one every turn."""
+    fields = ("__uid", "n", "s0", "s1", "root")
+    least = F.min(F.struct(F.xxhash64("key", "__uid", F.lit(turn)).alias("order"), *fields)).alias("one")
+    one = by_size(rows.groupBy("key").agg(least).select("key", *[F.col(f"one.{c}").alias(f"{c}_1") for c in fields]))
+    bits = F.bit_count(F.col("s0").bitwiseXOR(F.col("s0_1"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_1")))
+    near = (bits <= PROFILE_BITS) & (F.least("n", "n_1") >= similarity * F.greatest("n", "n_1"))
+    return rows.join(one, "key").where((F.col("root") != F.col("root_1")) & near).select(
+        F.least("__uid", "__uid_1").alias("a"), F.greatest("__uid", "__uid_1").alias("b")
+    )
+
+
+def _with_all(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of the texts of a band that are apart. Large bands are cut into blocks, each pair of them a group."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("__uid"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    groups = rows.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(
+        F.collect_list(F.struct("__uid", "n", "s0", "s1", "root", "own")).alias("all")
+    )
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0)
+            ends = own.offsets.to_numpy().tolist()
+            uid, n, s0, s1, root, part = (own.values.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                found_a, found_b = [], []
+                two = bool((part[lo:hi] != part[lo]).any())
+                for i in range(lo, hi):
+                    j = slice(i + 1, hi)
+                    good = root[j] != root[i]
+                    if two:
+                        good &= part[j] != part[i]
+                    good &= np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])
+                    good &= np.bitwise_count((s0[j] ^ s0[i]).view(np.uint64)).astype(np.int16) + np.bitwise_count(
+                        (s1[j] ^ s1[i]).view(np.uint64)) <= PROFILE_BITS
+                    b = uid[j][good]
+                    found_a.append(np.minimum(b, uid[i]))
+                    found_b.append(np.maximum(b, uid[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+
+    # Of one block with itself p = q; a group of two blocks may hold only one of them, and then no pair.
+    small = groups.where("p = q or (exists(all, x -> x.own = p) and exists(all, x -> x.own = q))")
+    return small.select("all").mapInArrow(compared, "a long, b long")
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_prints: int = 8, bucket: int = 512
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, n_prints: int = 8, bucket: int = 512, block: int = BLOCK
 ) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the one with the smallest doc_id stays.
 
-    Candidates whose set sizes or 128-bit set fingerprints rule the similarity out are left aside. Then every
-    text is compared with its closest earlier candidate; that joins most of each group, and only candidates
-    between what is still apart are compared after it.
+    Candidates whose set sizes or 128-bit set fingerprints rule the similarity out are left aside. Every text is
+    compared with its closest earlier SimHash candidate first; that joins most of each group. What is still apart is
+    compared with the other candidates and with one text of each of its bands, by turns, and at last all texts of a
+    band that are still apart with each other, so that no link within a band is missing.
     """
     base = durable(docs.select(F.monotonically_increasing_id().alias("__uid"), F.struct(*docs.columns).alias("__doc")))
     texts = base.select("__uid", F.col("__doc.text").alias("text"))
@@ -333,13 +422,23 @@ def near_duplicates(
     )
     closest = durable(near.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("best")).select("best.a", "b"))
     first = _alike(closest, texts, shingle, similarity)
-    roots = by_size(components(first))
-    apart = near.select("a", "b").join(closest, ["a", "b"], "left_anti")
-    for c in "ab":
-        root = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        apart = apart.join(root, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    second = _alike(durable(apart.where("ra != rb").select("a", "b")), texts, shingle, similarity)
-    groups = components(first.unionAll(second))
+    groups, tried = components(first), closest
+    rows = profiles.select("__uid", "n", "s0", "s1", F.explode("keys").alias("key"))
+    for turn in range(ROUNDS + 1):
+        rows = _still_apart(rows, roots := by_size(groups))
+        pairs = _with_one(rows, turn, similarity) if turn < ROUNDS else _with_all(rows, similarity, block)
+        if turn == 0:
+            apart = near.select("a", "b")
+            for c in "ab":
+                root = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+                apart = apart.join(root, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+            pairs = pairs.unionAll(apart.where("ra != rb").select("a", "b"))
+        pairs = durable(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            groups = components(groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(
+                _alike(pairs, texts, shingle, similarity)))
+        tried = tried.unionAll(pairs)
+        rows = rows.drop("root", "size")
     members = groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct())
     ids = base.select(F.col("__uid").alias("node"), F.col("__doc.doc_id").alias("doc_id")).join(members, "node")
     stays = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))

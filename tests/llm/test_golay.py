@@ -136,3 +136,36 @@ def test_near_duplicates(spark, edge_docs, no_docs):
     for r in rows:
         own = sets[r["doc_id"]]
         assert any(own == sets[k["doc_id"]] or len(own & sets[k["doc_id"]]) >= 0.8 * len(own | sets[k["doc_id"]]) for k in kept)
+
+
+def kept_of(texts, similarity=0.8):
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return sorted(set(roots(range(len(texts)), pairs).values())), len(pairs)
+
+
+def test_near_duplicates_appended_cut_and_short(spark):
+    """Copies with a passage appended, the end cut, or one word changed in a short text: none may be missed."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
+
+    def prose(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    texts = []
+    for n in [20, 24, 30, 40, 60, 100, 200, 300] * 5:
+        words = prose(n)
+        texts.append(words)
+        for share in (0.05, 0.1, 0.15, 0.2):
+            texts.append(words + prose(int(n * share)))
+            if rng.random() < 0.5:
+                texts.append(prose(int(n * share)) + words)
+        texts += [words[: n - int(n * share)] for share in (0.05, 0.1, 0.15)]
+        words = prose(n)
+        texts.append(words)
+        texts.append(["changed", *words[1:]])
+    texts = [" ".join(words) for words in texts]
+    want, planted = kept_of(texts)
+    assert planted > 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in golay.near_duplicates(docs).collect()) == want
