@@ -169,3 +169,26 @@ def test_near_duplicates_appended_cut_and_short(spark):
     assert planted > 500
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in golay.near_duplicates(docs).collect()) == want
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_links_left_after_the_check(spark, block):
+    """Texts of the same words in another order have one fingerprint; those alike are found behind one that is not."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
+    texts = []
+    for n in (60, 200, 400):
+        words = [rng.choice(vocabulary) for _ in range(n)]
+        for _ in range(4):
+            mixed = rng.sample(words, n)
+            texts.append(mixed)
+            texts.append(mixed[n // 2 :] + mixed[: n // 2])
+        # A template: half of the words are common, and some of the texts have a copy.
+        for _ in range(12):
+            own = [rng.choice(vocabulary) for _ in range(n // 6)]
+            texts.append(words + own)
+            texts += [words + own + ["end"]] * rng.randrange(2)
+    texts = [" ".join(words) for words in texts]
+    want, _ = kept_of(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in golay.near_duplicates(docs, block=block).collect()) == want
