@@ -335,3 +335,19 @@ def test_report_of_a_rule_with_large_ids(spark):
     feeds = spark.createDataFrame([(1, "f")], "feed_uid long, feed_title string")
     (row,) = A.rule_stats(rules, items, feeds, "2024-01-31 00:00:00").collect()
     assert (row["first_item"], row["last_item"]) == (3_000_000_000, 3_000_000_002)
+
+
+def test_measured_bytes_counts_what_values_hold(spark):
+    from pyspark.sql import functions as F
+
+    from feedloom.llm.common import by_size
+    from feedloom.operators.sizing import measured_bytes
+
+    long = spark.range(100).select(F.repeat(F.lit("x"), 3000).cast("binary").alias("b"))
+    assert measured_bytes(long) == 100 * 3016
+    assert measured_bytes(long.select(F.array("b", "b").alias("a"))) == 100 * (16 + 2 * 3016)
+    assert measured_bytes(long.select(F.struct("b").alias("s"))) == 100 * (16 + 3016)
+    assert measured_bytes(long.select(F.lit(None).cast("array<binary>").alias("n"))) == 1600
+    assert measured_bytes(long.select(F.create_map(F.lit("k"), "b").alias("m"))) == 100 * (16 + 17 + 3016)
+    plans = [by_size(long, limit)._jdf.queryExecution().analyzed().toString() for limit in (100 * 3016, 100 * 3015)]
+    assert ["strategy=broadcast" in p for p in plans] == [True, False]
