@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every row of the mixed corpus."""
+    """Piece ids of every row of the mixed corpus, and whether they decode to its text."""
     next_scratch(spark, last=True)
     return pieces.ids_of(docs, public_tokenizers.path("piece_bpe_32k.model"))
 

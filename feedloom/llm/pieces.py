@@ -286,5 +286,21 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
 
 def ids_of(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, source, n_ids and ids: what a training run reads."""
-    return encode(docs, model).select("doc_id", "source", F.size("ids").alias("n_ids"), "ids")
+    """doc_id, source, n_ids and ids: what a training run reads; and whether the ids, decoded, give the text back."""
+    rows = encode(docs.select("doc_id", "source", "text"), model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = load(model)
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            own = list(zip(texts, _lists(batch.column(3)), strict=True))
+            sizes = pa.array([len(ids) for _, ids in own], pa.int32())
+            exact = pa.array([decoder.decode(ids.tolist()) == (text or "") for text, ids in own], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), sizes, batch.column(3), exact], ["doc_id", "source", "n_ids", "ids", "exact"])
+
+    fields = rows.schema
+    return rows.mapInArrow(run, T.StructType([
+        fields["doc_id"], fields["source"], T.StructField("n_ids", T.IntegerType()), fields["ids"],
+        T.StructField("exact", T.BooleanType()),
+    ]))

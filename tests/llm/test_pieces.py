@@ -99,3 +99,15 @@ def test_forgetting_changes_nothing(monkeypatch, known):
         model = pieces.Model(file.read())
     texts = [" ".join(["the", "theory", "there", "a" * k, "is"]) for k in range(1, 40)]
     assert [encoded(model, [t])[0] for t in texts] == encoded(pieces.load(FILE), texts)
+
+
+def test_ids_are_decoded_too(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    texts = [None, "", "one two", " a  b ", "line\nline\ttab", "gämma 中文 🙂", "a▁b", "x" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source", "1 as other")
+    found = pieces.ids_of(docs, FILE).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[r["doc_id"]] or ""
+        assert r["ids"] == library.encode(text) and r["exact"] == (library.decode(r["ids"]) == text)
+    assert {r["exact"] for r in found} == {True, False}
