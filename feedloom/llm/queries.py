@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import dac, entropy, golay, hosts, merkle, mixing, pieces, radix, repeats, repetition, ring, transducer
+from feedloom.llm import alignment, dac, entropy, golay, hosts, merkle, mixing, pieces, radix, repeats, repetition, ring, transducer
 from feedloom.llm.common import documents
 from feedloom.session import shared_folder
 
@@ -56,6 +56,13 @@ def op10_entropy_secrets(spark: SparkSession, path: str) -> DataFrame:
     return entropy.scan(documents(spark, path))
 
 
+def op11_token_alignment(spark: SparkSession, path: str) -> DataFrame:
+    return alignment.align(
+        documents(spark, path), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op12_bpe_transducer(spark: SparkSession, path: str) -> DataFrame:
     return transducer.round_trip(documents(spark, path), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -68,7 +75,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_repetition, op2_ring_shards, op3_dac_tokens, op4_host_words, op5_suffix_repeats, op6_golay_simhash, op7_piece_round_trip,
-        op8_radix_dedup, op9_sainte_lague_mix, op10_entropy_secrets, op12_bpe_transducer, op13_merkle_manifest,
+        op8_radix_dedup, op9_sainte_lague_mix, op10_entropy_secrets, op11_token_alignment, op12_bpe_transducer,
+        op13_merkle_manifest,
     )
 }
 #: Texts are equal after white space is deleted.
