@@ -13,12 +13,14 @@ from feedloom.functions import scalars as S
 from feedloom.functions import text as T
 from feedloom.functions.stemming import stem_phrases, with_stem
 from feedloom.operators import search as Q
+from feedloom.operators import token_index as TI
 from feedloom.operators import view as V
 from feedloom.plans.model import (
     AS_OF, age_sql, ago, token_text_sql, tokens_sql, ts_text, with_model, words_sql,
 )
 from feedloom.plans.reports import since_sql
 from feedloom.plans.stem_sql import stem_ctes
+from feedloom.session import shared_folder
 from feedloom.sources import exports as X
 from feedloom.streaming import incremental as I
 
@@ -47,9 +49,36 @@ def _orders(m):
     ])
 
 
+ALL_SEARCHES = [(query, scope) for query in SEARCHES for scope in ("title", "both")]
+
+
 def _searches(m):
-    searches = [(query, scope) for query in SEARCHES for scope in ("title", "both")]
-    return Q.search_many(m.texts, searches).select(
+    return _named(Q.search_many(m.texts, ALL_SEARCHES))
+
+
+def _index_searches(m):
+    """The same searches on a positional index."""
+    path = shared_folder(m.spark)
+    TI.build(m.texts, path)
+    return _named(TI.search_many(m.spark, path, ALL_SEARCHES))
+
+
+def _updated_index(m):
+    """An index after two batches and a compaction of them: uninteresting articles go, filtered ones lose their content
+    in the second batch, which also brings the unread ones."""
+    path = shared_folder(m.spark)
+    TI.build(m.texts.where("item_rating <> 0"), path)
+    changed = m.texts.select("item_uid", "item_title", "item_content", "item_rating", (F.col("item_rating") == -1).alias("deleted"))
+    TI.update(changed.where("item_rating IN (-2, -1)"), path, 1)
+    blank = F.when(F.col("item_rating") == -2, F.lit("")).otherwise(F.col("item_content"))
+    TI.update(changed.where("item_rating IN (-2, 0)").withColumn("item_content", blank), path, 2)
+    TI.compact(m.spark, path, first=False)
+    TI.drop_replaced(m.spark, path)
+    return TI.token_rows(m.spark, path)
+
+
+def _named(found):
+    return found.select(
         (F.col("search") / 2).cast("int").alias("query"),
         F.when(F.col("search") % 2 == 0, "title").otherwise("both").alias("scope"), "item_uid",
     )
@@ -98,6 +127,13 @@ def _client(m):
     return old.select("item_uid", "item_rating", "item_title", "updated")
 
 
+UPDATED_TOKENS_SQL = with_model(f"""SELECT DISTINCT item_uid, field, token FROM (
+  SELECT item_uid, 'title' AS field, unnest({tokens_sql('item_title')}) AS token FROM items WHERE item_rating <> -1
+  UNION ALL SELECT item_uid, 'content', unnest({tokens_sql('item_content')}) FROM items
+  WHERE item_rating NOT IN (-1, -2))""", "items")
+SEARCH_SQL = with_model(
+    _search_sql(), "items",
+    extra=f"toks AS (SELECT item_uid, {token_text_sql('item_title')} AS tt, {token_text_sql('item_content')} AS ct FROM items)")
 SHARE_SQL = """SELECT item_uid, item_guid, item_creator, item_title, item_link, item_content, feed_title,
   strftime(item_created, '%Y-%m-%dT%H:%M:%SZ') AS created, feed_title || ': ' || item_title AS entry_title,
   CASE WHEN item_creator = 'Unknown' THEN feed_title ELSE item_creator END AS entry_author
@@ -135,9 +171,8 @@ QUERIES = {
             V.search_like(m.items, "ON ", "title").select("item_uid")),
         with_model("""SELECT item_uid FROM items WHERE contains(lower(item_content), 'für')
         UNION ALL SELECT item_uid FROM items WHERE contains(lower(item_title), 'on ')""", "items")),
-    "search_tokens": (_searches, with_model(
-        _search_sql(), "items",
-        extra=f"toks AS (SELECT item_uid, {token_text_sql('item_title')} AS tt, {token_text_sql('item_content')} AS ct FROM items)")),
+    "search_tokens": (_searches, SEARCH_SQL),
+    "search_index": (_index_searches, SEARCH_SQL),
     "token_table": (
         lambda m: Q.token_table(m.texts),
         with_model(f"""SELECT DISTINCT item_uid, field, token FROM (
@@ -151,10 +186,8 @@ QUERIES = {
                 "item_uid", "item_title",
                 F.when(F.col("item_rating") == -2, F.lit("")).otherwise(F.col("item_content")).alias("item_content"),
                 (F.col("item_rating") == -1).alias("deleted"))),
-        with_model(f"""SELECT DISTINCT item_uid, field, token FROM (
-          SELECT item_uid, 'title' AS field, unnest({tokens_sql('item_title')}) AS token FROM items WHERE item_rating <> -1
-          UNION ALL SELECT item_uid, 'content', unnest({tokens_sql('item_content')}) FROM items
-          WHERE item_rating NOT IN (-1, -2))""", "items")),
+        UPDATED_TOKENS_SQL),
+    "update_index": (_updated_index, UPDATED_TOKENS_SQL),
     "article_view": (
         lambda m: _flat_view(V.article_view(V.filter_rating(m.items), m.feeds, m.stats, m.tags, AS_OF)),
         with_model(_view_sql("item_rating = 0", "", 200), "stats", "tags")),

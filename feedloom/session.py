@@ -73,7 +73,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _WRITTEN.reset(token)
-        _remove(spark, written)
+        remove(spark, written)
 
 
 def next_scratch(spark: SparkSession, last: bool = False) -> None:
@@ -84,10 +84,11 @@ def next_scratch(spark: SparkSession, last: bool = False) -> None:
     """
     before = _WRITTEN.get() or []
     _WRITTEN.set(None if last else [])
-    _remove(spark, before)
+    remove(spark, before)
 
 
-def _remove(spark: SparkSession, paths: list[str]) -> None:
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, where they exist."""
     for path in paths:
         location = spark._jvm.org.apache.hadoop.fs.Path(path)
         location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

@@ -12,9 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedloom import schema
 from feedloom.functions.scalars import as_of_column
+from feedloom.operators import token_index
 from feedloom.operators.ingest import first_guid, ingest
 from feedloom.operators.maintain import error_runs, last_rating
-from feedloom.operators.search import update_tokens
 from feedloom.session import durable, scratch
 from feedloom.sources import tables as store
 from feedloom.streaming.incremental import merge_stats
@@ -206,13 +206,18 @@ def run_errors(
     return _trigger(writer, once, "10 seconds").start()
 
 
-def run_tokens(changes: DataFrame, tokens: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the search token table in step with a stream of item changes."""
-    def retokenise(batch: DataFrame, batch_id: int) -> None:
+def run_tokens(changes: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep the token index at ``path`` in step with a stream of item changes.
+
+    Batch ``n`` is generation ``n + 1`` of the index: it writes its own items only. When more than a few
+    generations have come together they are compacted; what the compaction before that replaced is removed then.
+    """
+    def index(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = tokens if batch_id == 0 else spark.read.parquet(f"{path}/tokens/batch={batch_id - 1}")
-        update_tokens(before, batch).write.mode("overwrite").parquet(f"{path}/tokens/batch={batch_id}")
-        _remove(spark, f"{path}/tokens/batch={batch_id - 2}")
+        token_index.update(batch, path, batch_id + 1)
+        if len(token_index.spans(spark, path)) > token_index.MOST_SPANS + 1:
+            token_index.drop_replaced(spark, path)
+            token_index.compact(spark, path, first=False)
 
-    writer = changes.writeStream.foreachBatch(retokenise).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     return _trigger(writer, once, "10 seconds").start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import maintain as M
 from feedloom.operators import search as Q
+from feedloom.operators import token_index as TI
 from feedloom.operators import stats as A
 from feedloom.plans.model import AS_OF
 from feedloom.session import durable, shared_folder
@@ -193,8 +194,10 @@ def test_token_stream(spark, m, lake):
     items = m.texts.select("item_uid", "item_title", "item_content")
     changes = items.where("item_uid < 20").withColumns({
         "item_title": F.lit("changed words"), "deleted": F.col("item_uid") % 2 == 0})
-    J.run_tokens(stream(spark, changes, f"{lake}/ch", 1), Q.token_table(items), lake, f"{lake}/cp").awaitTermination()
-    got = spark.read.parquet(f"{lake}/tokens/batch=0").select("item_uid", "field", "token")
+    TI.build(items, f"{lake}/index", buckets=8)
+    J.run_tokens(stream(spark, changes, f"{lake}/ch", 3), f"{lake}/index", f"{lake}/cp").awaitTermination()
+    got = TI.token_rows(spark, f"{lake}/index")
+    assert len(TI.spans(spark, f"{lake}/index")) == 4
     want = Q.token_table(items.where("item_uid >= 20").unionByName(changes.where(~F.col("deleted")).drop("deleted")))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
