@@ -15,7 +15,7 @@ class Known:
     was used most stays, so memory is bounded and frequent words are not encoded again.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[Sequence[int]]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.numbers: dict[str, int] = {}
         #: Ids of word i: ids[ends[i]:ends[i + 1]]; how often it was asked for: uses[i].

@@ -141,12 +141,14 @@ class Transducer:
             if ended is None and token >= 0 and self.follows(left, token):
                 ended = (0, token, (*waiting, token))
         after.append(ended)
-        agreed = min(len(h[2]) for h in after)
         first = after[0][2]
+        agreed = len(first)
         for _, _, waiting in after:
             while waiting[:agreed] != first[:agreed]:
                 agreed -= 1
-        made = (self._state(tuple((node, left, waiting[agreed:]) for node, left, waiting in after)), first[:agreed])
+        if agreed:
+            after = [(node, left, waiting[agreed:]) for node, left, waiting in after]
+        made = (self._state(tuple(after)), first[:agreed])
         self.moves[state << 8 | byte] = made
         return made
 
@@ -155,8 +157,26 @@ class Transducer:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        stream = Stream(self)
-        return stream.feed(word) + stream.end()
+        state, out = self.run(0, word)
+        out += self.last[state]
+        return out
+
+    def run(self, state: int, part: bytes) -> tuple[int, list[int]]:
+        """The state after some bytes, and the tokens that they decide."""
+        out: list[int] = []
+        moves = self.moves
+        for byte in part:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                if len(moves) > self.kept or len(self.pairs) > self.kept:
+                    held = self.states[state]
+                    self._forget()
+                    moves, state = self.moves, self._state(held)
+                move = self._move(state, byte)
+            state, written = move
+            if written:
+                out += written
+        return state, out
 
 
 class Stream:
@@ -167,20 +187,7 @@ class Stream:
 
     def feed(self, part: bytes) -> list[int]:
         """The tokens that these bytes decide."""
-        machine, state, out = self.machine, self.state, []
-        moves = machine.moves
-        for byte in part:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if len(moves) > machine.kept or len(machine.pairs) > machine.kept:
-                    held = machine.states[state]
-                    machine._forget()
-                    moves, state = machine.moves, machine._state(held)
-                move = machine._move(state, byte)
-            state, written = move
-            if written:
-                out += written
-        self.state = state
+        self.state, out = self.machine.run(self.state, part)
         return out
 
     @property
@@ -280,6 +287,10 @@ class Decoder:
     def decode(self, ids: np.ndarray) -> str:
         return "".join(self.stream(ids))
 
+    def decode_bytes(self, ids: np.ndarray, raw: bytes) -> str:
+        """The same where the bytes are at hand: closed tokens only need no machine."""
+        return raw.decode() if self.closed[ids].all() else self.decode(ids)
+
 
 class Coder:
     """What a worker keeps: the machine, words known by now, and the decoder."""
@@ -289,6 +300,7 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.known = Known(lambda words: [self.machine.encode(w.encode()) for w in words])
         self.decoder = Decoder(self.machine.bytes_of)
+        self.decimal = [str(i) for i in range(self.machine.none)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -348,7 +360,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
-        decimal = functools.cache(str)
+        decimal = own.decimal.__getitem__
         for batch in batches:
             for start, end, data, offsets in text_pieces(batch, 1, PIECE):
                 texts = _texts(data, offsets)
@@ -357,9 +369,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 sums, digests, same = [], [], []
                 for text, a, b in zip(texts, (ends - counts).tolist(), ends.tolist(), strict=True):
                     one = ids[a:b].tolist()
+                    raw = own.decoder.bytes(one)
                     sums.append(hashlib.sha256(" ".join(map(decimal, one)).encode()).hexdigest())
-                    digests.append(hashlib.sha256(own.decoder.bytes(one)).hexdigest())
-                    same.append(own.decoder.decode(ids[a:b]) == text)
+                    digests.append(hashlib.sha256(raw).hexdigest())
+                    same.append(own.decoder.decode_bytes(ids[a:b], raw) == text)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(start, end - start), pa.array(counts), pa.array(sums, pa.string()),
                     pa.array(digests, pa.string()), pa.array(same, pa.bool_()),
