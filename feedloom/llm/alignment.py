@@ -27,20 +27,18 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import by_size, small_batches, text_pieces
-from feedloom.llm.known import Known
+from feedloom.llm.known import Known, Lines, library, splitter, words_of
 from feedloom.session import durable
 
 MARK = "▁"
@@ -51,20 +49,53 @@ PIECE = 1 << 20
 BLOCK = 8 << 20
 
 
-class ByteSide:
-    """A byte-level tokenizer file."""
+class Side:
+    """One tokenizer: its words, and for every text the ids and whether their bytes are the text's.
 
-    def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
-        from tokenizers import Tokenizer
+    A new word whose ids don't give its bytes back is remembered, and a text with such a word is not good.
+    """
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
+    #: Of each id.
+    bytes: list[bytes]
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[Sequence[int]]]):
+        self.split, self.bad = split, set()
+
+        def checked(words: list[str]) -> list[Sequence[int]]:
+            found = encode(words)
+            table = self.bytes
+            for word, ids in zip(words, found, strict=True):
+                parts = [table[i] for i in ids]
+                if b"".join(parts) != self.raw(word) or not all(parts):
+                    self.bad.add(word)
+            return found
+
+        self.known = Known(checked)
+
+    def raw(self, word: str) -> bytes:
+        return word.encode()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, how many each has, and whether they are its bytes."""
+        words, counts = words_of(texts, self.split)
+        ids, sizes = self.known.words_of(words, counts)
+        good = np.ones(len(texts), bool)
+        if self.bad:
+            wrong = np.fromiter(map(self.bad.__contains__, words), bool, len(words))
+            good[np.repeat(np.arange(len(texts)), counts)[wrong]] = False
+        if sum(map(len, words)) != sum(map(len, texts)):
+            ends = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            good &= [sum(map(len, words[a:b])) == len(t) for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+        return ids, sizes, good
 
-        def encode(words: list[str]) -> list[list[int]]:
-            return [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)]
 
-        self.known, self.split = Known(encode), regex.compile(pattern).findall
+class ByteSide(Side):
+    """A byte-level tokenizer file."""
+
+    def __init__(self, path: str, pattern: str):
+        model = library(path)
+        model.encode_special_tokens = True
+        super().__init__(splitter(pattern), Lines(model))
         byte_of = self._byte_of()
         self.bytes = [b""] * model.get_vocab_size()
         for token, i in model.get_vocab(with_added_tokens=False).items():
@@ -77,11 +108,8 @@ class ByteSide:
         rest = [b for b in range(256) if b not in printable]
         return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.known.texts(texts, self.split)
 
-
-class PieceSide:
+class PieceSide(Side):
     """A piece model that marks spaces and puts one in front."""
 
     def __init__(self, path: str):
@@ -94,19 +122,20 @@ class PieceSide:
             found = model.encode([w[1:] for w in words], num_threads=1)
             return [ids if len(w) > 1 else [model.piece_to_id(MARK)] for w, ids in zip(words, found, strict=True)]
 
-        self.known = Known(encode)
+        super().__init__(lambda text: MARKED.findall(text.replace(" ", MARK)), encode)
         self.bytes = [
             bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i)
             else p.replace(MARK, " ").encode()
             for i, p in ((i, model.id_to_piece(i)) for i in range(model.vocab_size()))
         ]
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        return MARKED.findall(text.replace(" ", MARK))
+    def raw(self, word: str) -> bytes:
+        return word.replace(MARK, " ").encode()
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.known.texts(texts, self.split)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes, good = super().encode(texts)
+        # A mark in the text itself comes back as a space.
+        return ids, sizes, good & [MARK not in t for t in texts]
 
 
 class Aligner:
@@ -119,22 +148,9 @@ class Aligner:
         #: A's ids with a comma, A's with a bar, B's with a comma, B's with a semicolon.
         self.words = [f"{i}{end}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for end in ends for i in range(n)]
 
-    def _tiled(self, side: int, texts: list[str], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their numbers; none for a text whose bytes they don't give."""
-        own = (self.a, self.b)[side]
-        ids, counts = own.encode(texts)
-        ends = np.cumsum(counts)
-        table = own.bytes
-        same = [
-            b"".join(map(table.__getitem__, ids[x:y].tolist())) == want and bool((self.sizes[side][ids[x:y]] > 0).all())
-            for x, y, want in zip((ends - counts).tolist(), ends.tolist(), raw, strict=True)
-        ]
-        return ids, counts, np.array(same, bool)
-
     def align(self, texts: list[str]) -> Aligned:
         """Texts as they are tiled (with the space in front)."""
-        raw = [t.encode() for t in texts]
-        (a, n_a, good_a), (b, n_b, good_b) = (self._tiled(side, texts, raw) for side in range(2))
+        (a, n_a, good_a), (b, n_b, good_b) = self.a.encode(texts), self.b.encode(texts)
         good = good_a & good_b
         if not good.all():
             a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]

@@ -33,12 +33,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from feedloom.llm.common import small_batches, text_pieces
-from feedloom.llm.known import Known
+from feedloom.llm.known import Known, splitter
 
 #: Text bytes encoded at a time.
 PIECE = 1 << 20
@@ -297,7 +296,7 @@ class Coder:
 
     def __init__(self, path: str, pattern: str):
         self.machine = Transducer(read_ranks(path))
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.known = Known(lambda words: [self.machine.encode(w.encode()) for w in words])
         self.decoder = Decoder(self.machine.bytes_of)
         self.decimal = [str(i) for i in range(self.machine.none)]

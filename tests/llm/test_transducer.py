@@ -168,3 +168,20 @@ def test_query(spark, library):
     found = [tuple(r) for r in queries.op12_bpe_transducer(spark, "/root/testdata/sf0.001").collect()]
     want = [plain(library, r["doc_id"], r["text"]) for r in documents(spark).collect()]
     assert sorted(found) == sorted(want)
+
+
+def test_splitter():
+    import regex
+
+    from feedloom.llm.known import _latin, splitter
+
+    rng = random.Random(8)
+    split, plain = splitter(PATTERN), regex.compile(PATTERN)
+    assert _latin(PATTERN) is not None and _latin(r"\d+|\w") is None and _latin(r"\p{Lu}") is None
+    for n in range(4000):
+        # Latin-1 with its odd letters, numbers and spaces; in every fourth text other characters too.
+        more = "日 ١Ⅳ" if n % 4 == 0 else ""
+        text = "".join(rng.choice("ab 's'll\n\t\x0b\x1c\x85\xa0ªµº²¼ÿ×é_-1" + more) for _ in range(rng.randrange(25)))
+        assert split(text) == plain.findall(text)
+    for c in map(chr, range(256)):
+        assert split(c * 2 + "a" + c + " " + c) == plain.findall(c * 2 + "a" + c + " " + c)
