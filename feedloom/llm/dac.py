@@ -19,6 +19,8 @@ levels, number of ids; then for each level: uint64 chunks; the chunks (uint8 or
 uint16); and, but for the last level, uint64 words, the bitmap (uint64) and the
 directory (uint32, one for each 8 words).
 
+Strings of the file's added tokens inside a text are these tokens, as the library has it by default.
+
 Defined cases: a null or empty text has the end id alone; rows with equal doc_id
 stand next to each other in order of their text (null first); a null doc_id
 comes first; an empty table gives no segment and no row.
@@ -27,12 +29,10 @@ comes first; an empty table gives no segment and no row.
 from __future__ import annotations
 
 import functools
-import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import small_batches, text_pieces
+from feedloom.llm.known import BYTE_LEVEL, Known, Lines, library, splitter
 
 MAGIC = b"DAC1"
 #: Bits in a block of the rank directory.
@@ -140,135 +141,46 @@ class Codes:
         return out
 
 
-class WordEncoder:
-    """Encodes texts with a byte-level tokenizer, each different word once.
+class Encoder:
+    """Ids of texts as the tokenizers library gives them for a byte-level file, each different word encoded once.
 
-    The tokenizer's first step cuts a text in front of a single space between two
-    characters that aren't white space, and no token goes across its cuts. A text is
-    cut at such spaces, which stay with the word that follows.
+    Added tokens of the file are found in texts first, as the library does, and what lies between them is cut into
+    words by the byte-level pattern; no token goes across its cuts.
     """
 
-    #: Words a worker keeps; beyond that it starts anew.
-    KNOWN = 800_000
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-    SPACE = re.compile(r"\s")
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.line_end = self.model.encode("\n", add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self) -> None:
-        #: Number of each known word: the first one of a text under its bytes, others, without their space, as they are.
-        self.numbers: dict[str | bytes, int] = {}
-        #: Ids of word i: ids[ends[i]:ends[i + 1]].
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+    def __init__(self, path: str, pattern: str = BYTE_LEVEL):
+        model = library(path)
+        if "ByteLevel(" not in repr(model.pre_tokenizer) or "add_prefix_space=False" not in repr(model.pre_tokenizer) or model.normalizer:
+            raise ValueError(f"{path} is no plain byte-level tokenizer")
+        self.added = {t.content: i for i, t in model.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for t in model.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that take white space along")
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        lines, self.words = Lines(model), splitter(pattern)
+
+        def encode(words: list[str]) -> list[list[int]]:
+            plain = iter(lines([w for w in words if w not in self.added]))
+            return [[self.added[w]] if w in self.added else next(plain) for w in words]
+
+        self.known = Known(encode)
+
+    def split(self, text: str) -> list[str]:
+        if not any(t in text for t in self.added):
+            return self.words(text)
+        out: list[str] = []
+        for part in self.cut.split(text):
+            out += [part] if part in self.added else self.words(part)
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        if len(self.numbers) > self.KNOWN:
-            self._forget()
-        words: list[str | bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = self.CUT.split(text)
-                own[0] = own[0].encode()
-                counts[i] = len(own)
-                words += own
-        numbers = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(numbers < 0)
-        if len(new):
-            missing = [words[i] for i in new.tolist()]
-            self._learn(list(dict.fromkeys(missing)))
-            numbers[new] = np.fromiter(map(self.numbers.__getitem__, missing), np.int64, len(missing))
-        ids, sizes = self._gathered(numbers)
-        text = np.repeat(np.arange(len(texts)), counts)
-        return ids, np.bincount(text, weights=sizes, minlength=len(texts)).astype(np.int64)
-
-    def _units(self, word: str) -> list[str | bytes] | None:
-        """The word as shorter ones that no token goes across, or None: lines, and punctuation after a letter."""
-        if word.isalpha():
-            return None
-        lines = word.split("\n")
-        if not all(lines) or self.SPACE.search(word.replace("\n", "")):
-            return None
-        units: list[str | bytes] = []
-        for i, line in enumerate(lines):
-            core = line.rstrip(",.;:!?")
-            tail = line[len(core) :] if core and core[-1].isalpha() else ""
-            core = line[: len(line) - len(tail)]
-            if i:
-                units.append(b"\n")
-            units.append(core.encode() if i else core)
-            if tail:
-                units.append(tail.encode())
-        return units
-
-    def _learn(self, words: list[str | bytes]) -> None:
-        """Add words: those made of others from their ids, the rest by encoding them."""
-        made, rest = {}, []
-        for word in words:
-            units = self._units(word) if isinstance(word, str) else None
-            if units and len(units) > 1:
-                made[word] = units
-            else:
-                rest.append(word)
-        needed = dict.fromkeys(chain(rest, chain.from_iterable(made.values())))
-        self._encode_new([w for w in needed if w not in self.numbers])
-        made = {w: u for w, u in made.items() if w not in self.numbers}
-        if made:
-            numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(made.values())), np.int64)
-            ids, sizes = self._gathered(numbers)
-            counts = np.fromiter(map(len, made.values()), np.int64, len(made))
-            self._add(list(made), [ids], [np.add.reduceat(sizes, np.cumsum(counts) - counts)])
-
-    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words, one after the other, and how many each has."""
-        starts = self.ends[numbers]
-        sizes = self.ends[numbers + 1] - starts
-        ends = np.cumsum(sizes)
-        gather = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-        return self.ids[gather], sizes
-
-    def _add(self, words: list[str | bytes], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
-        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
-
-    def _encode_new(self, words: list[str | bytes]) -> None:
-        """Encode words: those without white space many to a text, each on a line of its own.
-
-        The tokenizer cuts before and after a line end between characters that aren't, and gives it one
-        id, which no word without line ends has.
-        """
-        texts = [" " + w if isinstance(w, str) else w.decode() for w in words]
-        single = len(self.line_end) == 1
-        plain = [i for i, w in enumerate(words) if single and w and not self.SPACE.search(w if isinstance(w, str) else texts[i])]
-        odd = sorted(set(range(len(texts))) - set(plain))
-        ids, sizes = [], [np.zeros(0, np.int64)]
-        for k in range(0, len(plain), 5_000):
-            line = "\n".join([texts[i] for i in plain[k : k + 5_000]])
-            (found,) = self.model.encode_batch_fast([line], add_special_tokens=False)
-            own = np.array(found.ids, np.int32)
-            cuts = np.flatnonzero(own == self.line_end[0])
-            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(own)]])) - 1)
-            ids.append(np.delete(own, cuts))
-        for k in range(0, len(odd), 5_000):
-            own = [x.ids for x in self.model.encode_batch_fast([texts[i] for i in odd[k : k + 5_000]], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
-            ids.append(np.fromiter(chain.from_iterable(own), np.int32))
-        self._add([words[i] for i in plain + odd], ids, sizes)
+        return self.known.texts(texts, self.split)
 
 
 @functools.cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> Encoder:
     """One for each worker process, which runs many tasks."""
-    return WordEncoder(path)
+    return Encoder(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, bits: int = 8, parts: int | None = None) -> None:
@@ -363,22 +275,24 @@ def tokens_of(segments: DataFrame) -> DataFrame:
 
 
 def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
-    """The id at each global ``place`` (long), reading one code of the segment that has it."""
-    # Places and segments meet by the block of a million ids they lie in; a segment spans two or three.
+    """The id at each global ``place`` (long): the places of a segment are brought to it together, so no code is copied."""
+    segments = read(spark, path).select("part", "nth", "first", "n_ids", "codes")
+    # Where segments begin, in blocks of the size of a segment; one spans two or three.
     width = SEGMENT.bit_length() - 1
-    segments = read(spark, path).select("first", "n_ids", "codes").withColumn(
-        "block", F.explode(F.sequence(F.shiftright("first", width), F.shiftright(F.col("first") + F.col("n_ids") - 1, width)))
+    last = F.greatest(F.col("first"), F.col("first") + F.col("n_ids") - 1)
+    spans = segments.select(
+        "part", "nth", "first", "n_ids", F.explode(F.sequence(F.shiftright("first", width), F.shiftright(last, width))).alias("block")
     )
-    found = places.select("place", F.shiftright("place", width).alias("block")).join(segments, "block").where(
+    wanted = places.select("place", F.shiftright("place", width).alias("block")).join(spans, "block").where(
         (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n_ids"))
-    )
+    ).select("part", "nth", "place")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pylist()
-            ids = [Codes(r["codes"])[r["place"] - r["first"]] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["place"] for r in rows], pa.int64()), pa.array(ids, pa.int64())], ["place", "id"]
-            )
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        places = asked.column("place").to_pylist() if len(held) else []
+        if not places:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], ["place", "id"])
+        codes, first = Codes(held.column("codes")[0].as_buffer()), held.column("first")[0].as_py()
+        return pa.table([pa.array(places), pa.array([codes[p - first] for p in places], pa.int64())], ["place", "id"])
 
-    return found.select("place", "first", "codes").mapInArrow(run, "place long, id long")
+    codes = segments.select(F.col("part").alias("__part"), F.col("nth").alias("__nth"), "first", "codes")
+    return wanted.groupBy("part", "nth").cogroup(codes.groupBy("__part", "__nth")).applyInArrow(run, "place long, id long")

@@ -29,7 +29,6 @@ def test_codes(bits):
 
 def whole(rows):
     model = Tokenizer.from_file(FILE)
-    model.encode_special_tokens = True
     start, out, everything = 0, [], []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*model.encode(text or "", add_special_tokens=False).ids, 0]
@@ -67,13 +66,24 @@ def test_empty(spark, no_docs):
 
 def test_words_change_nothing():
     model = Tokenizer.from_file(FILE)
-    model.encode_special_tokens = True
     rng = random.Random(4)
     texts = ["".join(rng.choice(" \t\n\x1c\xa0 abé1.,'s日🤗") for _ in range(rng.randrange(80))) for _ in range(600)]
     texts += ["<|endoftext|> a <|endoftext|>", " lead", "trail ", "a  b", "it's we'll ' s", ""]
     texts += [" ".join(rng.choice(["the", "\x85", "a\nb", "é", "x\x1cy", "word", "Ċ"]) for _ in range(30)) for _ in range(50)]
-    encoder = dac.WordEncoder(FILE)
+    encoder = dac.Encoder(FILE)
     ids, counts = encoder.encode(texts)
     ends = np.cumsum(counts)
     found = [ids[a:b].tolist() for a, b in zip(ends - counts, ends, strict=True)]
     assert found == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_are_found(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "x<|endoftext|"), (4, "'<|endoftext|>s  <|endoftext|> ")]
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    found, _ = dac.Encoder(FILE).encode(["a <|endoftext|> b"])
+    assert found.tolist() == [64, 220, 50256, 275]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        dac.Encoder(public_tokenizers.path("word_bpe_49k.json"))
