@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.html import md5_hex
@@ -41,76 +42,90 @@ def first_guid(entries: DataFrame) -> DataFrame:
     return entries.join(last, same, "left_semi")
 
 
-def unseen(entries: DataFrame, items: DataFrame) -> DataFrame:
-    """Entries whose (feed, GUID) is not stored yet. Stored items never change."""
-    return _not_among(entries, items, "guid", "item_guid")
+#: Kinds of keys by which an entry can be held already: its column and that of stored items.
+KEY_KINDS = {"guid": "item_guid", "title": "item_title", "link": "item_link"}
+
 
+def _key_rows(rows: DataFrame, columns: dict[str, str], *keep: str) -> DataFrame:
+    """(kept columns, kind, key): a row for each key that isn't null; ``columns`` maps kinds to columns."""
+    keys = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("key")) for kind, column in columns.items()])
+    return rows.select(*keep, F.explode(keys).alias("k")).select(*keep, "k.kind", "k.key").where(F.col("key").isNotNull())
 
-def _not_among(entries: DataFrame, items: DataFrame, column: str, stored: str) -> DataFrame:
-    """Entries whose (feed, ``column``) no stored item has. Nulls match nothing.
 
-    The stored side is reduced by the batch's keys first, so that while these
-    are small the stored keys are not shuffled. Entries without the key take
-    no part in the join; they would all meet in one task.
+def held_entries(entries: DataFrame, items: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(feed_uid, position, kind): entries of which some item of the feed has the key of this kind. Nulls match nothing.
+
+    One scan of the stored items for all kinds, reduced at once by the batch's keys: while these are small, and broadcast,
+    nothing of the stored side is shuffled. Only keys move, no text.
     """
-    keys = ["feed_uid", column]
-    wanted = broadcast_if_small(entries.select(*keys).where(F.col(column).isNotNull()).distinct())
-    held = items.select(F.col("item_feed_uid").alias("feed_uid"), F.col(stored).alias(column))
-    held = broadcast_if_small(held.join(wanted, keys, "left_semi").distinct())
-    some = entries.where(F.col(column).isNotNull()).join(held, keys, "left_anti").select(*entries.columns)
-    return some.unionByName(entries.where(F.col(column).isNull()))
+    own = durable(_key_rows(entries, {k: k for k in kinds}, "feed_uid", "position"))
+    keys = ["feed_uid", "kind", "key"]
+    stored = _key_rows(
+        items.withColumn("feed_uid", F.col("item_feed_uid")), {k: KEY_KINDS[k] for k in kinds}, "feed_uid"
+    )
+    held = stored.join(broadcast_if_small(own.select(*keys).distinct()), keys, "left_semi").distinct()
+    return own.join(broadcast_if_small(held), keys, "left_semi").select("feed_uid", "position", "kind")
+
+
+def _without(entries: DataFrame, places: DataFrame) -> DataFrame:
+    return entries.join(broadcast_if_small(places.select("feed_uid", "position").distinct()), ["feed_uid", "position"], "left_anti")
+
+
+def unseen(entries: DataFrame, items: DataFrame) -> DataFrame:
+    """Entries whose (feed, GUID) is not stored yet. Stored items never change."""
+    return _without(entries, held_entries(entries, items, ("guid",)))
 
 
 def drop_stored_dups(entries: DataFrame, items: DataFrame) -> DataFrame:
-    """Drop entries that share title or link with a stored item of the feed.
+    """Drop entries that share title or link with a stored item of the feed."""
+    return _without(entries, held_entries(entries, items, ("title", "link")))
 
-    Two equi anti-joins: one join on "title or link" would pair every entry
-    of a feed with every item of it.
-    """
-    return _not_among(_not_among(entries, items, "title", "item_title"), items, "link", "item_link")
+
+#: Rounds by heads before the rest is taken for chains.
+HEAD_ROUNDS = 3
 
 
 def drop_batch_dups(entries: DataFrame) -> DataFrame:
     """Drop entries that share title or link with an *accepted* earlier entry of the feed.
 
-    Later positions are processed first. Whether an entry is accepted depends
-    on the entries before it, so the batch is decided in rounds: whoever has
-    no undecided predecessor sharing its title or link is accepted, whoever
-    shares with an accepted predecessor is rejected. A group of copies, of
-    whatever size, is decided in one round, and no group is ever collected.
+    Later positions are processed first. Whether an entry is accepted depends on the entries before it, so the batch
+    is decided in rounds: whoever has no undecided predecessor sharing its title or link is accepted, whoever
+    shares with an accepted predecessor is rejected. A group of copies, of whatever size, is decided in one round, and no
+    group is ever collected. What a few rounds leave are chains, in which each entry waits for the one before it; those are
+    decided by pointer doubling (:func:`_mark_chains`), in as many rounds as the chain's length has binary digits.
     ``final_link`` (default: the link) is what an accepted entry is stored under.
     """
     final = F.col("final_link") if "final_link" in entries.columns else F.col("link")
-    # Written, or each of the four groupings below would run the checks before it again.
+    # Written, or the groupings below would run the checks before it again.
     state = durable(entries.select("feed_uid", (-F.col("position")).alias("ord"), "title", "link", final.alias("final")))
-    by_title = state.groupBy("feed_uid", "title").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND title IS NOT NULL")
-
-    def users(column: str, key: str, n: str, first: str) -> DataFrame:
-        return state.groupBy("feed_uid", F.col(column).alias(key)).agg(
-            F.count(F.lit(1)).alias(n), F.min("ord").alias(first)
-        ).where(F.col(key).isNotNull())
-
-    def other(n: str, first: str):
-        return F.coalesce((F.col(n) > 1) | (F.col(first) != F.col("ord")), F.lit(False))
-
-    # Only entries that can be rejected, or have others rejected, take part in the rounds.
-    undecided = durable(
-        state.join(by_title.select("feed_uid", "title", F.lit(True).alias("shared")), ["feed_uid", "title"], "left")
-        .join(users("final", "link", "stored_n", "stored_first"), ["feed_uid", "link"], "left")
-        .join(users("link", "final", "named_n", "named_first"), ["feed_uid", "final"], "left")
-        .where(F.coalesce("shared", F.lit(False)) | other("stored_n", "stored_first") | other("named_n", "named_first"))
-        .select(*state.columns)
+    # Only entries that can be rejected, or have others rejected, take part: those with a key that several have.
+    keys = _key_rows(state, {"t": "title", "l": "link", "f": "final"}, "feed_uid", "ord").withColumn(
+        "kind", F.when(F.col("kind") == "t", "t").otherwise("l")
     )
-    rejected = None
+    shared = keys.groupBy("feed_uid", "kind", "key").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi")
+    contested = keys.join(broadcast_if_small(shared.select("feed_uid", "kind", "key")), ["feed_uid", "kind", "key"], "left_semi")
+    undecided = durable(state.join(broadcast_if_small(contested.select("feed_uid", "ord").distinct()), ["feed_uid", "ord"], "left_semi"))
+    firsts = _firsts(undecided)
+    copies = undecided.join(broadcast_if_small(firsts.select("feed_uid", "ord")), ["feed_uid", "ord"], "left_anti")
+    rejected = [copies.select("feed_uid", (-F.col("ord")).alias("position"))]
+    undecided, turn = durable(firsts), 0
     while not undecided.isEmpty():
-        marked = durable(_mark_round(undecided))
-        gone = marked.where("verdict = 'rejected'").select("feed_uid", "ord")
-        rejected = gone if rejected is None else rejected.unionByName(gone)
-        undecided = marked.where("verdict IS NULL").select(*state.columns)
-    if rejected is None:
-        return entries
-    positions = rejected.select("feed_uid", (-F.col("ord")).alias("position"))
-    return entries.join(positions, ["feed_uid", "position"], "left_anti")
+        turn += 1
+        mark = _mark_chains if turn > HEAD_ROUNDS and turn % 2 == 0 else _mark_round
+        marked = durable(mark(undecided))
+        rejected.append(marked.where("verdict = 'rejected'").select("feed_uid", (-F.col("ord")).alias("position")))
+        undecided = marked.where("verdict IS NULL").drop("verdict")
+    return _without(entries, reduce(DataFrame.unionByName, rejected))
+
+
+def _firsts(undecided: DataFrame) -> DataFrame:
+    """The first of each group of entries alike in title, link and stored link, where the others are rejected in any case.
+
+    If the first is accepted they share with it; if it is rejected, whatever it shares with is earlier than they are, too.
+    """
+    clash = F.col("title").isNotNull() | F.coalesce(F.col("link") == F.col("final"), F.lit(False))
+    first = undecided.where(clash).groupBy("feed_uid", "title", "link", "final").agg(F.min("ord").alias("ord"))
+    return first.select(*undecided.columns).unionByName(undecided.where(~clash))
 
 
 def _earliest(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -122,32 +137,94 @@ def _earliest(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return titles, links
 
 
-def _mark_round(undecided: DataFrame) -> DataFrame:
-    def beaten(name):
-        return F.coalesce(F.least(f"{name}_t", f"{name}_l") < F.col("ord"), F.lit(False))
+def _with_earliest(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    titles, links = _earliest(others, name)
+    return rows.join(titles, ["feed_uid", "title"], "left").join(links, ["feed_uid", "link"], "left")
+
+
+def _beaten(name: str) -> Column:
+    return F.coalesce(F.least(f"{name}_t", f"{name}_l") < F.col("ord"), F.lit(False))
 
-    def joined(rows, marks):
-        titles, links = marks
-        return rows.join(titles, ["feed_uid", "title"], "left").join(links, ["feed_uid", "link"], "left")
 
+def _mark_round(undecided: DataFrame) -> DataFrame:
+    """Adds the ``verdict`` of entries at the head of both their groups, and of those that share with such a head."""
     # An entry at the head of both its groups has nobody before it.
-    seen = joined(undecided, _earliest(undecided, "u")).withColumn("head", ~beaten("u"))
-    seen = durable(seen.select(*undecided.columns, "head"))
-    marks = _earliest(seen.where("head"), "a")
-    return joined(seen, marks).select(
+    seen = _with_earliest(undecided, undecided, "u").select(*undecided.columns, (~_beaten("u")).alias("head"))
+    return _with_earliest(seen, seen.where("head"), "a").select(
         *undecided.columns,
-        F.when(F.col("head"), "accepted").when(beaten("a"), "rejected").alias("verdict"),
+        F.when(F.col("head"), "accepted").when(_beaten("a"), "rejected").alias("verdict"),
+    )
+
+
+def _mark_chains(undecided: DataFrame) -> DataFrame:
+    """Adds the ``verdict`` of entries on chains that begin with a head.
+
+    An entry that waits for exactly one other is accepted if that one is rejected, and the other way round. It
+    points to it; every round lets pointers skip as far again, counting steps, until they end at entries that wait for none or
+    for several. Of a head's chain every other entry is accepted. The rest is left to the next round.
+    """
+    before = _predecessors(undecided)
+    several = F.col("n") > 1
+    nodes = durable(undecided.join(before, ["feed_uid", "ord"], "left").select(
+        "feed_uid", "ord", F.when(several | F.col("n").isNull(), F.col("ord")).otherwise(F.col("only")).alias("to"),
+        F.when(several | F.col("n").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("steps"),
+        F.col("n").isNull().alias("head"),
+    ))
+    while True:
+        ends = nodes.select("feed_uid", F.col("ord").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("head").alias("end"))
+        moved = durable(nodes.join(ends, ["feed_uid", "to"]).select(
+            "feed_uid", "ord", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), "head",
+            "end", (F.col("more") > 0).alias("moving"),
+        ))
+        nodes = moved.drop("end", "moving")
+        if moved.where("moving").isEmpty():
+            break
+    verdicts = moved.select("feed_uid", "ord", F.when(F.col("end"), F.when(F.col("steps") % 2 == 0, "accepted").otherwise("rejected")).alias("verdict"))
+    marked = undecided.join(verdicts, ["feed_uid", "ord"])
+    # Entries off the chains that share with an accepted one before them.
+    return _with_earliest(marked, marked.where("verdict = 'accepted'"), "a").select(
+        *undecided.columns, F.coalesce("verdict", F.when(_beaten("a"), "rejected")).alias("verdict")
     )
 
 
+def _predecessors(undecided: DataFrame) -> DataFrame:
+    """(feed_uid, ord, n, only): how many earlier undecided entries one waits for, and which one if it is one.
+
+    Of a group only the first and the second entry can wait for one other in it; whoever comes later has at least two before it.
+    """
+    def group(column: str, key: str, name: str) -> DataFrame:
+        own = undecided.where(F.col(column).isNotNull())
+        first = own.groupBy("feed_uid", F.col(column).alias(key)).agg(F.min("ord").alias(f"{name}1"))
+        later = own.withColumn(key, F.col(column)).join(first, ["feed_uid", key]).where(F.col("ord") > F.col(f"{name}1"))
+        second = later.groupBy("feed_uid", key).agg(F.min("ord").alias(f"{name}2"))
+        return first.join(second, ["feed_uid", key], "left")
+
+    def earlier(name: str) -> Column:
+        ord_ = F.col("ord")
+        return F.array_compact(F.array(*[F.when(F.col(f"{name}{i}") < ord_, F.col(f"{name}{i}")) for i in (1, 2)]))
+
+    found = (
+        undecided.select("feed_uid", "ord", "title", "link")
+        .join(group("title", "title", "t"), ["feed_uid", "title"], "left")
+        .join(group("final", "link", "l"), ["feed_uid", "link"], "left")
+        .withColumn("all", F.array_distinct(F.concat(earlier("t"), earlier("l"))))
+    )
+    return found.where(F.size("all") > 0).select("feed_uid", "ord", F.size("all").alias("n"), F.array_min("all").alias("only"))
+
+
 def drop_title_link_dups(entries: DataFrame, items: DataFrame, feeds: DataFrame) -> DataFrame:
     """Title / link duplicate check, for the feeds that ask for it."""
-    checked = feeds.where(F.col("feed_dupcheck")).select("feed_uid")
-    inside = entries.join(checked, "feed_uid", "left_semi")
-    outside = entries.join(checked, "feed_uid", "left_anti")
+    checked = _flagged(entries, feeds)
+    inside, outside = checked.where("__checked").drop("__checked"), checked.where("NOT __checked").drop("__checked")
     return drop_batch_dups(drop_stored_dups(inside, items)).unionByName(outside)
 
 
+def _flagged(entries: DataFrame, feeds: DataFrame) -> DataFrame:
+    """Adds ``__checked``: the feed asks for the title and link check."""
+    asked = feeds.where(F.col("feed_dupcheck")).select("feed_uid", F.lit(True).alias("__checked"))
+    return entries.join(asked, "feed_uid", "left").withColumn("__checked", F.coalesce("__checked", F.lit(False)))
+
+
 def oldest(entries: DataFrame, items: DataFrame) -> DataFrame:
     """Oldest item still in each feed document.
 
@@ -183,11 +260,18 @@ def accepted_entries(
 
     Runts never block a later entry, so they may go before the batch check.
     """
-    fresh = unseen(first_guid(entries), items).where(~F.coalesce("runt", F.lit(False)))
-    fresh = fresh.withColumn("final_link", F.col("link"))
+    once = _flagged(first_guid(entries).where(~F.coalesce("runt", F.lit(False))), feeds)
+    once = durable(once.withColumn("final_link", F.col("link")))
+    held = held_entries(once, items, ("guid", "title", "link")).join(
+        once.select("feed_uid", "position", "__checked"), ["feed_uid", "position"]
+    )
+    fresh = _without(once, held.where("kind = 'guid' OR __checked"))
     if redirects is not None:
         fresh = rewrite_links(fresh, redirects, "final_link")
-    return drop_title_link_dups(fresh, items, feeds)
+    # Written: the checked part is read several times.
+    fresh = durable(fresh)
+    inside, outside = (fresh.where(test).drop("__checked") for test in ("__checked", "NOT __checked"))
+    return drop_batch_dups(inside).unionByName(outside)
 
 
 def ingest(

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.html import md5_hex
+from feedloom.functions.rule_helpers import clean_rule
 from feedloom.functions.scalars import as_of_column, days_before
 from feedloom.operators.ingest import Ingested, ingest
 from feedloom.operators.ordered import failure_runs
-from feedloom.operators.rules import filtered_by_global
+from feedloom.operators.rules import check_rules, filtered_by_global, refused_texts, rule_fields
+from feedloom.operators.sizing import broadcast_if_small
 from feedloom.schema import (
     CLEAR_CONTENT_DAYS, EXPIRE_DAYS, MAX_ERRORS, OLDEST_MARGIN_DAYS, RATING_OPS, STATUS_ACTIVE,
     STATUS_SUSPENDED, UNINTERESTING, UNREAD,
@@ -188,8 +190,20 @@ def delete_rule(items: DataFrame, rules: DataFrame, rule_uid: int) -> tuple[Data
     return _back_to_unread(kept, items.columns), rules.where(F.col("rule_uid") != rule_uid)
 
 
+def refused_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """(rule_uid, rule_text, reason) of the ``changes`` to expression rules whose new text can't be a rule."""
+    own = changes.where(F.col("rule_text").isNotNull()).select("rule_uid", "rule_text").join(
+        rules.select("rule_uid", "rule_type"), "rule_uid"
+    )
+    return check_rules(own, rule_fields(rules.sparkSession))
+
+
 def update_rules(rules: DataFrame, changes: DataFrame) -> DataFrame:
-    """Change text and expiry of rules (``rule_uid``, ``rule_text``, ``rule_expires``)."""
+    """Change text and expiry of rules (``rule_uid``, ``rule_text``, ``rule_expires``).
+
+    A change to a text that can't be a rule is refused as a whole (:func:`refused_changes` says why).
+    """
+    changes = changes.join(broadcast_if_small(refused_changes(rules, changes).select("rule_uid")), "rule_uid", "left_anti")
     new = changes.select("rule_uid", F.col("rule_text").alias("t"), F.col("rule_expires").alias("e"), F.lit(True).alias("c"))
     joined = rules.join(new, "rule_uid", "left")
     return joined.withColumns({
@@ -207,8 +221,13 @@ PATCHABLE = (
 
 
 def patch_feeds(feeds: DataFrame, changes: DataFrame) -> DataFrame:
-    """Set feed attributes; null in ``changes`` means no change, a blank filter clears it."""
+    """Set feed attributes; null in ``changes`` means no change, a blank filter clears it.
+
+    A filter that can't be a rule is refused: the feed keeps the one it has.
+    """
     fields = [c for c in PATCHABLE if c in changes.columns]
+    if "feed_filter" in fields:
+        changes = _checked_filters(changes)
     new = changes.select("feed_uid", *[F.col(c).alias(f"new_{c}") for c in fields])
     joined = feeds.join(new, "feed_uid", "left")
     for name in fields:
@@ -221,6 +240,17 @@ def patch_feeds(feeds: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select(*feeds.columns)
 
 
+def _checked_filters(changes: DataFrame) -> DataFrame:
+    """``changes`` without the filters that can't be rules. The different new filter texts, which are code, come to the driver."""
+    texts = changes.where(F.trim("feed_filter") != "").select("feed_filter", clean_rule(F.col("feed_filter")).alias("text")).distinct()
+    bad = refused_texts([(r["text"], (r["feed_filter"],)) for r in texts.collect()], rule_fields(changes.sparkSession))
+    if not bad:
+        return changes
+    refused = changes.sparkSession.createDataFrame(bad, "feed_filter string, __reason string")
+    marked = changes.join(broadcast_if_small(refused), "feed_filter", "left")
+    return marked.withColumn("feed_filter", F.when(F.col("__reason").isNull(), F.col("feed_filter"))).select(*changes.columns)
+
+
 def clear_errors(feeds: DataFrame, fetch_log: DataFrame) -> DataFrame:
     """Feeds fetched without error: count back to 0, validators as fetched or null."""
     ok = (

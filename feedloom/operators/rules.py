@@ -10,30 +10,26 @@ the first rule per item with a mergeable ``min``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
-import ahocorasick
-import pandas as pd
-from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom import schema
 from feedloom.functions.html import highlight_pattern, java_quote
 from feedloom.functions.rule_helpers import clean_rule, register_helpers, rule_kind
 from feedloom.functions.scalars import as_of_column
 from feedloom.functions.stemming import stem, stem_start, with_stem
 from feedloom.functions.text import WORD, fold, fold_text, words
+from feedloom.operators.expressions import Compiler, Refused
 from feedloom.operators.links import link_seen
+from feedloom.operators.phrases import phrase_matches
 from feedloom.operators.sizing import broadcast_if_small
 from feedloom.schema import FILTERED, UNREAD
 from feedloom.session import durable
 
 SCOPE_GLOBAL, SCOPE_FEED, SCOPE_FEED_FILTER = 0, 1, 2
-#: Bytes of phrase text one matching pass may ship to the executors.
-PHRASE_BYTES_PER_PASS = 32 << 20
 
 MATCH_COLUMNS = ("item_uid", "scope", "rule_uid", "side")
 
@@ -220,72 +216,19 @@ def match_wordless(scoped: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _phrase_finder(phrases: list[tuple[int, str]]):
-    """Arrow UDF: numbers of the ``phrases`` (number, text) occurring in each text."""
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def find(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        # One pass over the text for all phrases; the automaton is built once a task.
-        machine = ahocorasick.Automaton()
-        for i, text in phrases:
-            if text:
-                machine.add_word(text, (*machine.get(text, ()), i))
-        machine.make_automaton()
-        always = {i for i, text in phrases if not text}
-
-        def hits(value: str | None) -> list[int] | None:
-            if value is None:
-                return None
-            found = set(always)
-            if len(machine):
-                for _, ids in machine.iter(value):
-                    found.update(ids)
-            return sorted(found)
-
-        for column in columns:
-            yield column.map(hits)
-
-    return find
-
-
 def match_phrases(scoped: DataFrame, rules: DataFrame, kinds: tuple[str, ...] = ("phrase", "phrase_lc")) -> DataFrame:
-    """Substring rules (``phrase_lc`` in the lower-cased text), all in one scan.
+    """Substring rules (``phrase_lc`` in the lower-cased text): candidates by the phrases' runs, confirmed in the text.
 
-    The rule texts travel in the function, so their size is measured first;
-    beyond ``PHRASE_BYTES_PER_PASS`` they are split over several scans. Text
-    and rules are never paired up.
+    See :mod:`feedloom.operators.phrases`. An empty phrase is in every text there is.
     """
-    spark = scoped.sparkSession
-    wanted = expand_targets(rules).where(F.col("match").isin(*kinds)).select(
-        "rule_uid", "rule_feed_uid", "side", "match", "rule_text"
+    wanted = expand_targets(rules).where(F.col("match").isin(*kinds) & F.col("rule_text").isNotNull()).select(
+        "rule_uid", "rule_feed_uid", "side", (F.col("match") == "phrase_lc").alias("lower"), F.col("rule_text").alias("phrase"),
+        F.monotonically_increasing_id().alias("phrase_id"),
     )
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("rule_text")), F.lit(0)).alias("b")).first()["b"]
-    passes = int(size // PHRASE_BYTES_PER_PASS) + 1
-    parts = []
-    for number in range(passes):
-        chunk = wanted.where(F.pmod(F.hash("rule_uid"), F.lit(passes)) == number) if passes > 1 else wanted
-        groups: dict[tuple, list] = {}
-        listed = []
-        for row in chunk.orderBy("rule_uid").collect():
-            groups.setdefault((row["side"], row["match"]), []).append((len(listed), row["rule_text"]))
-            listed.append((len(listed), row["rule_uid"], row["rule_feed_uid"], row["side"]))
-        if not listed:
-            continue
-        found = []
-        for (side, match), phrases in groups.items():
-            text = F.col(f"item_{side}")
-            found.append(_phrase_finder(phrases)(F.lower(text) if match == "phrase_lc" else text))
-        hits = scoped.select("item_uid", "item_feed_uid", "exempt", *[f.alias(f"h{i}") for i, f in enumerate(found)])
-        every = F.flatten(F.array_compact(F.array(*[f"h{i}" for i in range(len(found))])))
-        table = spark.createDataFrame(listed, "hit int, rule_uid long, rule_feed_uid long, side string")
-        parts.append(_matches(
-            hits.select("item_uid", "item_feed_uid", "exempt", F.explode(every).alias("hit")).join(
-                F.broadcast(table), "hit"  # one short row per phrase of this measured pass
-            )
-        ))
-    if not parts:
-        return spark.createDataFrame([], "item_uid long, scope int, rule_uid long, side string")
-    return reduce(DataFrame.unionByName, parts)
+    rows = scoped.select(F.col("item_uid").alias("id"), "item_feed_uid", "exempt", "item_title", "item_content")
+    texts = {side: F.col(f"item_{side}") for side in ("title", "content")}
+    hits = phrase_matches(rows, texts, wanted, ("item_feed_uid", "exempt"), in_scope())
+    return hits.select(F.col("id").alias("item_uid"), scope_rank().alias("scope"), "rule_uid", "side")
 
 
 def match_phrase(scoped: DataFrame, rules: DataFrame) -> DataFrame:
@@ -316,80 +259,53 @@ def match_author(scoped: DataFrame, rules: DataFrame) -> DataFrame:
     return _matches(keys.join(wanted, "author_lc"))
 
 
-@contextmanager
-def _lenient(spark: SparkSession):
-    """Expressions resolved in here give null where they would raise."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
-
-
-#: Expression classes a rule may not use: they change the rows, raise, or reach outside the article.
-REFUSED = frozenset(
-    "AggregateExpression WindowExpression ScalarSubquery Exists ListQuery RaiseError AssertTrue CallMethodViaReflection "
-    "TryReflect PythonUDF ScalaUDF InputFileName MonotonicallyIncreasingID SparkPartitionID Rand Randn Uuid Shuffle "
-    "RandStr Uniform".split()
-)
-#: Those that compile their second argument, which must be a constant for its errors to be known.
-PATTERNS = frozenset(
-    "RLike RegExpReplace RegExpExtract RegExpExtractAll RegExpInStr RegExpCount RegExpSubStr LikeAll LikeAny StringSplit".split()
-)
-
-
-def _fit(expression) -> bool:
-    """Whether neither an analysed expression nor a part of it is refused."""
-    name = expression.getClass().getSimpleName()
-    if name in REFUSED:
-        return False
-    parts = expression.children()
-    if name in PATTERNS and not parts.apply(1).foldable():
-        return False
-    return all(_fit(parts.apply(i)) for i in range(parts.size()))
-
-
-def _keeps_rows(plan, rows) -> bool:
-    """Whether only projections stand over ``rows``: aggregates, windows and generators have nodes of their own."""
-    while plan.nodeName() == "Project":
-        plan = plan.child()
-        if plan.equals(rows):
-            return True
-    return False
-
-
 def expr_rule(df: DataFrame, text: str) -> Column | None:
-    """A user's boolean expression as a column, or None if it can't be a rule.
+    """A user's boolean expression as a column that never raises, or None if it can't be a rule.
 
-    It must resolve, give one value for each article (no aggregates, windows, generators or
-    subqueries), raise nothing of its own accord and have constant patterns. It is tried on one
-    empty article, which brings out constant patterns that don't compile.
+    See :mod:`feedloom.operators.expressions` for what a rule may use.
     """
-    spark = df.sparkSession
+    return _compiled(Compiler(df), text)
+
+
+def _compiled(compiler: Compiler, text: str) -> Column | None:
     try:
-        with _lenient(spark):
-            column = F.coalesce(F.expr(text).cast("boolean"), F.lit(False))
-            plan = df.select(column.alias("test"))._jdf.queryExecution().analyzed()
-            test = plan.expressions().apply(0)
-            if not _keeps_rows(plan, df._jdf.queryExecution().analyzed()) or not _fit(test):
-                return None
-            empty = [F.lit("" if isinstance(f.dataType, T.StringType) else None).cast(f.dataType).alias(f.name) for f in df.schema]
-            spark.range(1).select(*empty).select(column).collect()
-        return column
-    except (AnalysisException, ParseException, PySparkException):
+        return compiler.compile(text)
+    except Refused:
         return None
 
 
 def check_rules(rules: DataFrame, fields: DataFrame) -> DataFrame:
-    """(rule_uid, rule_text) of the expression rules among ``rules`` that can't be stored: they would never match.
+    """(rule_uid, rule_text, reason) of the expression rules among ``rules`` that can't be stored: they would never match.
 
-    ``fields`` has the columns rules see (:func:`expression_fields`). Rules are code and are read by the driver.
+    ``fields`` has the columns rules see (:func:`expression_fields`, :func:`rule_fields`). Rules are code and are read by the driver.
     """
-    register_helpers(rules.sparkSession)
     rows = rules.where(F.col("rule_type") == "python").select("rule_uid", "rule_text", clean_rule(F.col("rule_text")).alias("text"))
-    bad = [(r["rule_uid"], r["rule_text"]) for r in rows.collect() if expr_rule(fields, r["text"]) is None]
-    return rules.sparkSession.createDataFrame(bad, "rule_uid long, rule_text string")
+    return rules.sparkSession.createDataFrame(
+        refused_texts([(r["text"], (r["rule_uid"], r["rule_text"])) for r in rows.collect()], fields),
+        "rule_uid long, rule_text string, reason string",
+    )
+
+
+def refused_texts(texts: list[tuple[str, tuple]], fields: DataFrame) -> list[tuple]:
+    """Of (text, key values) those that can't be a rule: the key values and the reason."""
+    register_helpers(fields.sparkSession)
+    compiler, out = Compiler(fields), []
+    for text, key in texts:
+        try:
+            compiler.compile(text)
+        except Refused as reason:
+            out.append((*key, str(reason)))
+    return out
+
+
+def rule_fields(spark: SparkSession) -> DataFrame:
+    """An empty table of all fields that rules may see, to check texts without any articles."""
+    items = spark.createDataFrame([], T.StructType([*schema.ITEMS.fields, T.StructField("exempt", T.BooleanType())]))
+    fields = expression_fields(items, spark.createDataFrame([], schema.FEEDS))
+    return fields.withColumns({
+        "link_already": F.lit(False), "page_text": F.lit(""), "item_tags": F.array().cast("array<string>"),
+        "category": F.array().cast("array<string>"),
+    })
 
 
 def _expression_hits(fields: DataFrame, conditions: list[tuple[int, int, Column]]) -> DataFrame:
@@ -398,14 +314,13 @@ def _expression_hits(fields: DataFrame, conditions: list[tuple[int, int, Column]
     if not conditions:
         schema = "item_uid long, scope int, rule_uid long, side string"
         return spark.createDataFrame([], schema)
-    with _lenient(spark):
-        hits = F.array(*[
-            F.when(test, F.struct(F.lit(scope).alias("scope"), F.lit(uid).cast("long").alias("rule_uid")))
-            for scope, uid, test in conditions
-        ])
-        found = fields.select("item_uid", F.array_compact(hits).alias("hs")).select(
-            "item_uid", F.explode_outer("hs").alias("h")
-        ).where(F.col("h").isNotNull())
+    hits = F.array(*[
+        F.when(test, F.struct(F.lit(scope).alias("scope"), F.lit(uid).cast("long").alias("rule_uid")))
+        for scope, uid, test in conditions
+    ])
+    found = fields.select("item_uid", F.array_compact(hits).alias("hs")).select(
+        "item_uid", F.explode_outer("hs").alias("h")
+    ).where(F.col("h").isNotNull())
     return found.select("item_uid", "h.scope", "h.rule_uid", F.lit(None).cast("string").alias("side"))
 
 
@@ -453,9 +368,9 @@ def match_expr(
     )
     texts = [r["text"] for r in rows]
     fields = with_lookups(expression_fields(scoped, feeds, texts), texts, links, pages, tags)
-    conditions = []
+    conditions, compiler = [], Compiler(fields)
     for row in rows:
-        test = expr_rule(fields, row["text"])
+        test = _compiled(compiler, row["text"])
         if test is not None:
             own = row["rule_feed_uid"]
             gate = ~F.col("exempt") if own is None else F.col("item_feed_uid") == own
@@ -481,9 +396,9 @@ def match_feed_filter(
     numbers = broadcast_if_small(filters.join(table, "text").select("item_feed_uid", "filter_number"))
     fields = with_lookups(expression_fields(scoped, feeds, texts), texts, links, pages, tags)
     fields = fields.join(numbers, "item_feed_uid")
-    conditions = []
+    conditions, compiler = [], Compiler(fields)
     for number, text in enumerate(texts):
-        test = expr_rule(fields, text)
+        test = _compiled(compiler, text)
         if test is not None:
             conditions.append((SCOPE_FEED_FILTER, 0, (F.col("filter_number") == number) & test))
     return _expression_hits(fields, conditions)

@@ -53,6 +53,11 @@ RULES: list[tuple] = [
     (30, "python", None, None, "explode(array(1, 2)) = 1"),
     (33, "python", None, None, "row_number() OVER (ORDER BY title) > 0"),
     (34, "python", 12, None, "array_contains(category, 'en') AND any_word(title_words, array('the', 'ere'))"),
+    # Rules that would raise on some title: an index of zero, a sequence that runs backwards, a pattern from the text.
+    (35, "python", None, None, "element_at(split(title, ' '), length(title) - 5) = 'qqq'"),
+    (36, "python", None, None, "size(sequence(1, length(title), -1)) > 0"),
+    (37, "python", None, None, "to_date(title, author) IS NULL"),
+    (38, "python", 18, None, "length(content) / (length(title) - length(title)) IS NULL AND element_at(split(title, ' '), 1) ILIKE 'th%'"),
     (26, "title_exactword", None, "2020-01-01 00:00:00", "of and"),
 ]
 

@@ -68,13 +68,16 @@ MATCHES = {
       JOIN tags ON tag_item_uid = item_uid JOIN live ON rule_type = 'tag' AND lower(rule_text) = tag_name WHERE {SCOPE}""",
     "author": f"""SELECT item_uid, {RANK} AS scope, rule_uid, CAST(NULL AS VARCHAR) AS side FROM scoped
       JOIN live ON rule_type = 'author' AND rule_text = lower(item_creator) WHERE {SCOPE}""",
-    # The texts of rules 22 and 23; rule 24 names an unknown field and rule 25 casts text that is no number.
+    # The texts of rules 22, 23, 34 and 38; rule 24 names an unknown field, rule 25 casts text that is no number, rule 35 takes
+    # the element number zero of some title, and rules 27 to 33, 36 and 37 are refused.
     "expr": f"""SELECT item_uid, 0 AS scope, 22 AS rule_uid, CAST(NULL AS VARCHAR) AS side FROM scoped
       WHERE NOT exempt AND length(item_content) > 20000
         AND item_uid IN (SELECT item_uid FROM stemmed WHERE side = 'title' AND stem IN ('the', 'of'))
       UNION ALL SELECT item_uid, 1, 34, NULL FROM scoped
       WHERE item_feed_uid = 12 AND item_uid IN (SELECT item_uid FROM stemmed WHERE side = 'title' AND stem IN ('the', 'ere'))
         AND item_uid IN (SELECT tag_item_uid FROM tags WHERE tag_name = 'en')
+      UNION ALL SELECT item_uid, 1, 38, NULL FROM scoped
+      WHERE item_feed_uid = 18 AND prefix(lower(split_part(item_title, ' ', 1)), 'th')
       UNION ALL SELECT item_uid, 1, 23, NULL FROM scoped
       WHERE item_feed_uid = 16 AND (contains(lower(item_title), 'ous') OR contains(lower(item_title), 'ent'))""",
     "feed_filter": """SELECT item_uid, 2 AS scope, 0 AS rule_uid, CAST(NULL AS VARCHAR) AS side
@@ -242,6 +245,10 @@ QUERIES = {
         with_model("""SELECT rule_uid, coalesce(text || '!', rule_text) AS rule_text,
           strftime(CASE WHEN text IS NOT NULL THEN TIMESTAMP '2024-06-01 00:00:00' ELSE rule_expires END, '%Y-%m-%d') AS rule_expires
         FROM rules LEFT JOIN benchmark ON rule_uid = item_id + 1000""", "rules")),
+    "check_rules": (
+        lambda m: R.check_rules(m.rules, R.rule_fields(m.spark)).select("rule_uid", "rule_text"),
+        with_model("""SELECT rule_uid, rule_text FROM rules WHERE rule_type = 'python' AND regexp_matches(rule_text,
+          'no_such_field|rlike .[(]|(raise_error|count|explode|row_number|sequence)[(]|to_date[(][^()]*,')""", "rules")),
     "active_rules": (
         lambda m: R.active_rules(m.rules, AS_OF).select("rule_uid", "rule_type"),
         with_model(f"SELECT rule_uid, rule_type FROM rules WHERE rule_expires IS NULL OR rule_expires > {NOW}", "rules")),

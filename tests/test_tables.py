@@ -52,6 +52,38 @@ def test_batch_dups_long_chain(spark):
     assert {(r["feed_uid"], r["position"]) for r in G.drop_batch_dups(df).collect()} == greedy(rows)
 
 
+def test_batch_dups_chain_in_few_rounds(spark, monkeypatch):
+    """A chain of 10,000, some of it with copies and branches, is decided in at most 20 rounds."""
+    rows = [(1, 100_000 - 3 * i, f"t{i // 2}", f"l{(i + 1) // 2}", f"l{(i + 1) // 2}") for i in range(10_000)]
+    rows += [(f, p - 1, t, link, final) for f, p, t, link, final in rows[::7]]
+    rows += [(1, -i, f"t{i * 50}", f"own{i}", f"own{i}") for i in range(100)]
+    rounds = []
+    for name in ("_mark_round", "_predecessors"):
+        monkeypatch.setattr(G, name, lambda x, f=getattr(G, name): (rounds.append(1), f(x))[1])
+    kept = G.durable
+    monkeypatch.setattr(G, "durable", lambda df: (rounds.append("moving" in df.columns), kept(df))[1])
+    df = spark.createDataFrame(rows, "feed_uid long, position long, title string, link string, final_link string")
+    assert {(r["feed_uid"], r["position"]) for r in G.drop_batch_dups(df).collect()} == greedy(rows)
+    assert sum(rounds) <= 20
+
+
+def test_batch_without_dups(spark):
+    rows = [(1, i, f"t{i}", None, f"l{i}") for i in range(5)] + [(2, 1, None, None, None), (2, 2, None, None, None)]
+    df = spark.createDataFrame(rows, "feed_uid long, position long, title string, link string, final_link string")
+    assert G.drop_batch_dups(df).count() == 7
+
+
+def test_stored_keys_in_one_scan(spark):
+    entries = spark.createDataFrame([(1, 1, "g", "a", "x"), (1, 2, "h", "b", "y"), (1, 3, "i", None, None), (2, 4, "g", "a", "x")],
+                                    "feed_uid long, position long, guid string, title string, link string")
+    items = spark.createDataFrame([(1, "g", "b", "z"), (1, None, None, None), (3, "g", "a", "x"), (2, "q", "q", "x")],
+                                  "item_feed_uid long, item_guid string, item_title string, item_link string")
+    held = G.held_entries(entries, items, ("guid", "title", "link"))
+    assert sorted(map(tuple, held.collect())) == [(1, 1, "guid"), (1, 2, "title"), (2, 4, "link")]
+    assert sorted(r["position"] for r in G.unseen(entries, items).collect()) == [2, 3, 4]
+    assert sorted(r["position"] for r in G.drop_stored_dups(entries, items).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_link_seen_is_bisect(spark, seed):
     rng = random.Random(seed)
@@ -245,8 +277,7 @@ def test_expired_rules(spark, small):
     assert [r["rule_uid"] for r in R.first_rule(R.match_rules(items, feeds, df, tags, AS_OF)).collect()] == [2]
 
 
-def test_phrases_in_several_passes(spark, small, monkeypatch):
-    monkeypatch.setattr(R, "PHRASE_BYTES_PER_PASS", 8)
+def test_several_phrases(spark, small):
     rules = [(i, "union_phrase", None, None, t) for i, t in enumerate(("Oracle", "Café", "nothing", "absent", "runn"), 1)]
     assert verdict(spark, small, rules) == {1: (1, "title"), 2: (2, "title")}
 
@@ -351,3 +382,72 @@ def test_measured_bytes_counts_what_values_hold(spark):
     assert measured_bytes(long.select(F.create_map(F.lit("k"), "b").alias("m"))) == 100 * (16 + 17 + 3016)
     plans = [by_size(long, limit)._jdf.queryExecution().analyzed().toString() for limit in (100 * 3016, 100 * 3015)]
     assert ["strategy=broadcast" in p for p in plans] == [True, False]
+
+
+RAISING = [
+    "element_at(split(title,' '), length(title)-5) = 'x'", "size(sequence(1, length(title), -1)) > 0", "to_date(title, author) is null",
+    "1 / (length(title) - 8) > 5", "cast(title as int) = 1", "length(title) * 9223372036854775807 > 0", "title > 3", "title rlike '(a|b)*'",
+    "split(title, ' ')[length(title)] = 'x'", "array(1, 2)[-1] = 1", "abs(-9223372036854775808) > 0", "year(title) = 1", "title rlike author",
+    "regexp_extract(title, 'a', 3) = 'x'", "regexp_replace(title, 'a', '$3') = 'x'", "title like '%\\\\'", "map('a', 1, 'a', 2)['a'] = 1",
+    "exists(split(title, ' '), w -> cast(w as int) / 0 > 1)", "cast(content as timestamp) > '2020'", "date_format(updated, title) = 'x'",
+    "left(title, title) = 'x'", "repeat(title, 2000000000) = 'x'", "(select max(title)) = 'x'", "java_method('java.lang.System', 'exit', 1) = 'x'",
+    "(SELECT 1 = 1)", "title in (select 1)", "sum(1) over () > 0", "rand() >= 0", "content.x = 1", "length(title, 2) = 1", "named_struct('a', 1).a = 1",
+]
+
+
+def rule_items(spark):
+    rows = [(i, 1, t, c, "a", True) for i, (t, c) in enumerate([
+        ("He runs home", "more content"), ("12 ab", "9"), ("", ""), (None, None), ("a b c d e f", "x" * 40), ("short", "100%"), ("abababab", "ü")])]
+    items = spark.createDataFrame(
+        [(i, f, t, c, "http://x/", "g", a) for i, f, t, c, a, _ in rows],
+        "item_uid long, item_feed_uid long, item_title string, item_content string, item_link string, item_guid string, item_creator string")
+    return items.withColumn("updated", F.lit("2024-01-01").cast("timestamp"))
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_rules_that_would_raise_hurt_no_other(spark, ansi):
+    feeds = spark.createDataFrame([(1, "http://f", "A feed", False)], "feed_uid long, feed_xml string, feed_title string, feed_exempt boolean")
+    rules = [(i, "python", None, text) for i, text in enumerate(RAISING)] + [(1000, "python", None, "title ilike 'he%' and length(content) > 3")]
+    rules = spark.createDataFrame(rules, "rule_uid long, rule_type string, rule_feed_uid long, rule_text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        found = R.match_expr(R.scope_keys(rule_items(spark), feeds), feeds, rules).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert {(r["item_uid"], r["rule_uid"]) for r in found if r["rule_uid"] == 1000} == {(0, 1000)}
+    assert {r["rule_uid"] for r in found} <= {1000}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("title = 'short' or title = '12 ab'", {1, 5}), ("length(title) between 5 and 8", {1, 5, 6}), ("title in ('short', 'x')", {5}),
+    ("title not in ('short') and title <> ''", {0, 1, 4, 6}), ("title is null", {3}), ("title <=> null", {3}), ("coalesce(title, 'z') = 'z'", {3}),
+    ("content like '100\\\\%'", {5}), ("content ilike 'X%'", {4}), ("title rlike '^[a-f ]+$'", {4, 6}), ("not title rlike 'h'", {1, 2, 4, 6}),
+    ("case when length(title) > 10 then 'long' when length(title) > 6 then 'mid' else 'small' end = 'mid'", {6}), ("if(content > 50, false, content > 5)", {1}),
+    ("substring(title, 1, 2) = 12", {1}), ("substring(title from 1 for 2) = 12", {1}), ("instr(title, 'runs') = 4", {0}), ("position('b' in title) = 2", {6}),
+    ("regexp_extract(title, '([0-9]+) ', 1) * 2 = 24", {1}), ("regexp_count(title, 'ab') = 4", {6}), ("size(split(title, ' ')) = 6", {4}),
+    ("exists(split(title, ' '), w -> w = 'runs' or w = 'f')", {0, 4}), ("array_contains(split(title, ' '), 'ab')", {1}),
+    ("size(filter(split(title, ' '), w -> length(w) = 1)) > 2", {4}), ("split(title, ' ')[1] = 'runs'", {0}), ("element_at(split(title, ' '), -1) = 'home'", {0}),
+    ("concat(title, '!', content) = 'short!100%' or title || content = '12 ab9'", {1, 5}), ("trim(both 'a' from title) = 'bababab'", {6}),
+    ("updated < timestamp'2024-01-02 00:00:00' and updated + interval 1 day > '2024-01-01' and title = 'short'", {5}), ("year(updated) = 2024 and title = ''", {2}),
+    ("length(title) % 5 = 0 and length(title) > 0", {1, 5}), ("length(title) div 4 = 3", {0}), ("-length(title) + 8 = 0", {6}), ("feed_title = 'A feed' and title = ''", {2}),
+    ("any_in(title, array('run', 'zz'))", {0}), ("any_word(title_words_exact, array('runs'))", {0}), ("TITLE = 'short'", {5}), ("try_cast(content as int) = 9", {1}),
+    ("nullif(title, '') is null", {2, 3}), ("greatest(length(title), 9) = 9", {1, 2, 3, 5, 6}), ("'true' and title = ''", {2}),
+])
+def test_what_rules_can_say(spark, text, want):
+    feeds = spark.createDataFrame([(1, "http://f", "A feed", False)], "feed_uid long, feed_xml string, feed_title string, feed_exempt boolean")
+    rules = spark.createDataFrame([(1, "python", None, text)], "rule_uid long, rule_type string, rule_feed_uid long, rule_text string")
+    assert {r["item_uid"] for r in R.match_expr(R.scope_keys(rule_items(spark), feeds), feeds, rules).collect()} == want
+
+
+def test_refused_texts_are_not_saved(spark):
+    rules = spark.createDataFrame([(1, "python", None, "title = 'a'", None), (2, "title_word", None, "x", None), (3, "python", None, "title = 'b'", None)],
+                                  "rule_uid long, rule_type string, rule_feed_uid long, rule_text string, rule_expires timestamp")
+    changes = spark.createDataFrame([(1, "rand() > 0", None), (2, "rand() > 0", None), (3, "title = 'c'", None)], "rule_uid long, rule_text string, rule_expires timestamp")
+    assert {r["rule_uid"]: r["rule_text"] for r in M.update_rules(rules, changes).collect()} == {1: "title = 'a'", 2: "rand() > 0", 3: "title = 'c'"}
+    assert [(r["rule_uid"], r["reason"]) for r in M.refused_changes(rules, changes).collect()] == [(1, "function rand can't be used")]
+    feeds = spark.createDataFrame([(i, "t", "title = 'a'") for i in range(4)], "feed_uid long, feed_title string, feed_filter string")
+    patches = spark.createDataFrame([(0, "T", "nonsense ("), (1, None, " "), (2, None, "length(content) > 3"), (3, "U", None)],
+                                    "feed_uid long, feed_title string, feed_filter string")
+    assert {r["feed_uid"]: (r["feed_title"], r["feed_filter"]) for r in M.patch_feeds(feeds, patches).collect()} == {
+        0: ("T", "title = 'a'"), 1: ("t", None), 2: ("t", "length(content) > 3"), 3: ("U", "title = 'a'")}
