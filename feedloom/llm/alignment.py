@@ -47,6 +47,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of text aligned at a time, and text bytes in a block of documents.
 PIECE = 1 << 20
 BLOCK = 8 << 20
+#: Words that a worker keeps of either side.
+KNOWN = 500_000
 
 
 class Side:
@@ -70,7 +72,7 @@ class Side:
                     self.bad.add(word)
             return found
 
-        self.known = Known(checked)
+        self.known = Known(checked, KNOWN)
 
     def raw(self, word: str) -> bytes:
         return word.encode()
