@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,22 +84,3 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
-
-
-def joined_ids(words: list[str], counts: np.ndarray, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of texts given as words: all ids one after the other, and how many each text has.
-
-    ``counts`` has the number of words of each text, ``known`` the ids of every word.
-    """
-    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    lists = [known[w] for w in index]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
-    places = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-    own = sizes[places]
-    ends = np.cumsum(own)
-    total = int(ends[-1]) if len(ends) else 0
-    gather = np.arange(total) + np.repeat(starts[places] - (ends - own), own)
-    text = np.repeat(np.arange(len(counts)), counts)
-    return flat[gather], np.bincount(text, weights=own, minlength=len(counts)).astype(np.int64)

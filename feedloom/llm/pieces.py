@@ -1,8 +1,8 @@
 """Operator 7, SentencePiece encoding and decoding by shared-prefix Viterbi.
 
 A text is marked as the model's library does it (a mark for every space and one
-in front) and split where a mark follows something else; no piece of a model
-trained with splitting by white space goes across such a place, so marked words
+in front) and split where a mark follows something else, and its words further where no piece
+of the model has the two characters side by side; no piece goes across such places, so these units
 are encoded on their own. Each task keeps the words it knows. New words of a
 batch are sorted, which lays them out as a trie in depth-first order: going from one
 word to the next keeps the forward states of their common prefix and computes the rest.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import joined_ids, small_batches, text_pieces
+from feedloom.llm.common import small_batches, text_pieces
+from feedloom.llm.known import Known
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -74,43 +76,66 @@ class Model:
         ]
         self.text[self.unknown] = proto.trainer_spec.unk_surface.encode()
         self.ranks = {p: -self.scores[i] for p, i in self.ids.items()}
-        self._known: dict[str, list[int]] = {}
+        #: What a piece can begin with; other texts need not be looked at further.
+        self.begins = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: Neighbours inside a piece. Between any other two characters every encoding has a border.
+        self.joins = {p[n : n + 2] for p in self.ids for n in range(len(p) - 1)}
+        self.known = Known(self.encode_words, KNOWN)
+        self._units: dict[str, list[int]] = {}
         #: By left piece, then right piece: whether the one may follow the other.
         self._pairs: dict[str, dict[str, bool]] = {}
         self._n_pairs = 0
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each word, known ones first; the others in sorted order with shared forward states."""
-        if len(self._known) > KNOWN:
-            self._known.clear()
+    def units(self, word: str) -> list[str]:
+        """The word cut where no piece goes across."""
+        joins, out, start = self.joins, [], 0
+        for at in range(1, len(word)):
+            if word[at - 1 : at + 1] not in joins:
+                out.append(word[start:at])
+                start = at
+        out.append(word[start:])
+        return out
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each of these words, by those of their units."""
+        if len(self._units) > KNOWN:
+            self._units.clear()
+        known, cut = self._units, [self.units(w) for w in words]
+        self._encode_units(sorted({u for own in cut for u in own if u not in known}))
+        return [known[own[0]] if len(own) == 1 else [i for u in own for i in known[u]] for own in cut]
+
+    def _encode_units(self, units: list[str]) -> None:
+        """Ids of different units in sorted order: as a trie is visited depth first, with the forward states of shared prefixes."""
         if self._n_pairs > KNOWN:
             self._pairs.clear()
             self._n_pairs = 0
-        new = sorted({w for w in words if w not in self._known})
+        known, ids = self._units, self.ids
         step = self._forward_unigram if self.unigram else self._forward_bpe
-        states: list = [(0.0, "")]
+        states: list = [(0.0, "", ())]
         before = ""
-        for word in new:
-            if not self.unigram and word.startswith(MARK * 2):
+        for unit in units:
+            if not self.unigram and unit.startswith(MARK * 2):
                 # Runs of marks have pieces of equal score; ties are for the merges themselves.
-                self._known[word] = [i for p in self.merge(word) for i in self._ids_of(p)]
+                known[unit] = [i for p in self.merge(unit) for i in self._ids_of(p)]
                 continue
-            shared = 0
-            for a, b in zip(before, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
+            shared = len(os.path.commonprefix((before, unit)))
             del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(step(word, end, states))
-            before = word
-            parts, end = [], len(word)
+            for end in range(shared + 1, len(unit) + 1):
+                states.append(step(unit, end, states))
+            before = unit
+            parts, end = [], len(unit)
             while end:
                 piece = states[end][1]
                 parts.append(piece)
                 end -= len(piece)
-            self._known[word] = [i for p in reversed(parts) for i in self._ids_of(p)]
-        return self._known
+            found: list[int] = []
+            for piece in reversed(parts):
+                own = ids.get(piece)
+                if own is None:
+                    found += self._ids_of(piece)
+                else:
+                    found.append(own)
+            known[unit] = found
 
     def _ids_of(self, piece: str) -> list[int]:
         found = self.ids.get(piece)
@@ -118,7 +143,7 @@ class Model:
             return [found]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
-    def _forward_unigram(self, word: str, end: int, states: list) -> tuple[float, str]:
+    def _forward_unigram(self, word: str, end: int, states: list) -> tuple[float, str, tuple]:
         """Best score of the prefix up to ``end`` and its last piece (the shortest of equals, as starts rise)."""
         best, last = None, ""
         for start in range(max(0, end - self.longest), end):
@@ -129,14 +154,19 @@ class Model:
             score = states[start][0] + (self.unknown_score if found is None else self.scores[found])
             if best is None or score > best:
                 best, last = score, piece
-        return best, last
+        return best, last, ()
 
-    def _forward_bpe(self, word: str, end: int, states: list) -> tuple[float, str]:
-        """The last piece of the encoding of the prefix up to ``end``."""
-        ids, pairs = self.ids, self._pairs
-        for start in range(max(0, end - self.longest), end):
+    def _forward_bpe(self, word: str, end: int, states: list) -> tuple[float, str, tuple[int, ...]]:
+        """The last piece of the encoding of the prefix up to ``end``, and the starts from which a piece may go on beyond it."""
+        ids, pairs, begins = self.ids, self._pairs, self.begins
+        last, going = None, []
+        for start in (*states[end - 1][2], end - 1):
             piece = word[start:end]
-            if piece in ids or end - start == 1:
+            if piece in begins:
+                going.append(start)
+            elif end - start > 1:
+                continue
+            if last is None and (piece in ids or end - start == 1):
                 left = states[start][1]
                 own = pairs.get(left)
                 if own is None:
@@ -146,8 +176,8 @@ class Model:
                     follows = own[piece] = self.merge(left + piece) == ([left, piece] if left else [piece])
                     self._n_pairs += 1
                 if follows:
-                    return 0.0, piece
-        raise AssertionError(word)
+                    last = piece
+        return 0.0, last, tuple(going)
 
     def merge(self, text: str) -> list[str]:
         """Pieces by the model's merges: the best-scored pair first, the leftmost of equals."""
@@ -197,16 +227,13 @@ class Model:
             offer(i)
         return [p for p in parts if p is not None]
 
+    def split(self, text: str) -> list[str]:
+        """The marked words of a text."""
+        return WORDS.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = WORDS.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
-                counts[i] = len(own)
-                words += own
-        return joined_ids(words, counts, self.encode_words(list(dict.fromkeys(words))))
+        return self.known.texts(texts, self.split)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
