@@ -7,8 +7,8 @@ probability (Viterbi), with the counts of all words of all pages, and ``10 / (n
 for a string that is no word of theirs.
 
 Nothing that grows goes to the driver or into a closure. Each different name is listed with its
-substrings (up to ``LONGEST`` letters), which are joined to the word counts; a name's known
-substrings then fill its lattice. Token weights are joined to the urls' tokens. Counts are combined
+substrings of the lengths that counted words have, which are joined to the word counts; a name's known
+substrings then fill its lattice. Words of any length are counted and found whole. Token weights are joined to the urls' tokens. Counts are combined
 before every shuffle, and a token of all urls is split by AQE like any hot key.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and has no
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import by_size
 from feedloom.session import durable
 
-LONGEST = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = r"\p{L}+"
 #: What isn't text of a page.
@@ -71,42 +70,56 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 def word_counts(pages: DataFrame) -> DataFrame:
     """word, n: how often each word (of letters, two or more, lower case) is in the texts of all pages."""
     text = F.regexp_replace(F.coalesce("html", F.lit("")), MARKUP, " ")
-    words = F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{2,{LONGEST}}}"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{2,}"), F.lit(0))
     return pages.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
     """name, words: each different name of ``names`` split into words."""
     total = max(1, int(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("name") - F.col("start") + 1))
+    names = durable(names.where("name != ''").distinct())
+    longest = names.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).alias("n")).first()["n"]
+    # Numbers up to the length of the longest name.
+    sizes = [r["size"] for r in counts.select(F.length("word").alias("size")).where(F.col("size") <= longest).distinct().collect()]
     parts = (
-        names.where("name != ''").distinct()
-        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name"))))
-        .withColumn("size", F.explode(lengths))
+        names.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name"))))
+        .withColumn("size", F.explode(F.array(*[F.lit(n) for n in sorted(sizes)]).cast("array<int>")))
+        .where(F.col("start") + F.col("size") <= F.length("name") + 1)
         .withColumn("word", F.substring("name", F.col("start"), F.col("size")))
     )
-    known = F.when(F.col("n").isNotNull(), F.struct("start", "size", "n"))
-    lattice = parts.join(counts, "word", "left").groupBy("name").agg(F.collect_list(known).alias("known"))
+    found = parts.join(counts, "word").groupBy("name").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))
+    lattice = names.join(found, "name", "left").select("name", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            words = [best_words(r["name"], {(k["start"] - 1, k["size"]): k["n"] for k in r["known"]}, total) for r in rows]
+            words = [best_words(r["name"], {(k["start"] - 1, k["size"]): k["n"] for k in r["known"] or ()}, total) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
 
     return lattice.mapInArrow(run, "name string, words array<string>")
 
 
 def best_words(name: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
-    """The split of highest probability; of equals the one whose last word is longest, and so on."""
+    """The split of highest probability; of equals the one whose last word is longest, and so on.
+
+    The cost of an unknown word falls by the same for each letter, so its best start for one end stays the best for the
+    next ones until a later start does better: one comparison an end, and as many as known words end there.
+    """
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for (start, size), n in known.items():
+        ends.setdefault(start + size, []).append((start, n))
+    letter, unknown = math.log(10), math.log(10 / total)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    open_start, open_score = 0, 0.0
     for end in range(1, len(name) + 1):
-        found = (-math.inf, 0)
-        for start in range(max(0, end - LONGEST), end):
-            n = known.get((start, end - start))
-            log = math.log(n / total) if n else math.log(10 / total) - (end - start) * math.log(10)
-            if best[start][0] + log > found[0]:
-                found = (best[start][0] + log, start)
+        # The start with the highest score before it, each letter from it on counted.
+        if best[end - 1][0] + (end - 1) * letter > open_score + 1e-9:
+            open_start, open_score = end - 1, best[end - 1][0] + (end - 1) * letter
+        found = (best[open_start][0] + (unknown - (end - open_start) * letter), open_start)
+        for start, n in sorted(ends.get(end, ())):
+            score = best[start][0] + math.log(n / total)
+            if score > found[0] or (score == found[0] and start < found[1]):
+                found = (score, start)
         best.append(found)
     words, end = [], len(name)
     while end:

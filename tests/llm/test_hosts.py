@@ -34,7 +34,7 @@ def plain(rows, rules):
     counts = Counter()
     for _, _, html in rows:
         text = re.sub(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;", " ", html or "").lower()
-        counts.update(re.findall(rf"[^\W\d_]{{2,{hosts.LONGEST}}}", text))
+        counts.update(re.findall(r"[^\W\d_]{2,}", text))
     total = sum(counts.values()) or 1
 
     def log(word):
@@ -112,3 +112,44 @@ def test_segmentation_by_listing_all_splits():
         found = hosts.best_words(name, known, total)
         assert "".join(found) == name
         assert math.isclose(log(found), max(log(s) for s in splits(name)), abs_tol=1e-9)
+
+
+def test_long_words_stay_whole(spark):
+    word = "donaudampfschifffahrtsgesellschaft"
+    pages = [(1, f"http://{word}.de/x", f"<p>{word.title()} {word} und und die die</p>"), (2, f"http://die{word}und.net/", None), (3, "http://org/", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["word"]: r["n"] for r in hosts.word_counts(df).collect()}[word] == 2
+    names = df.selectExpr("explode(array('die" + word + "und', '" + word + "', 'xy" + word + "')) AS name")
+    found = {r["name"]: r["words"] for r in hosts.segmented(names, hosts.word_counts(df)).collect()}
+    # With six words in all a string of one letter is likelier than one of two.
+    assert found == {f"die{word}und": ["die", word, "und"], word: [word], f"xy{word}": ["x", "y", word]}
+
+
+def test_split_of_a_very_long_name():
+    rng = random.Random(3)
+    name = "".join(rng.choice("abc") for _ in range(60_000))
+    known = {(i, 3): 5 for i in range(0, 59_000, 7)}
+    words = hosts.best_words(name, known, 1000)
+    assert "".join(words) == name and len(words) > 8_000
+
+
+def test_splits_against_all_starts():
+    """The plain lattice, which tries every start for every end."""
+    rng = random.Random(4)
+    for _ in range(400):
+        name = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 30)))
+        total = rng.choice([1, 5, 11, 1000])
+        known = {(i, n): rng.randrange(1, total + 1) for i in range(len(name)) for n in range(2, 6) if i + n <= len(name) and rng.random() < 0.2}
+
+        def cost(start, end):
+            n = known.get((start, end - start))
+            return math.log(n / total) if n else math.log(10 / total) - (end - start) * math.log(10)
+
+        best = [0.0]
+        for end in range(1, len(name) + 1):
+            best.append(max(best[start] + cost(start, end) for start in range(end)))
+        words, at, score = hosts.best_words(name, known, total), 0, 0.0
+        for w in words:
+            score += cost(at, at + len(w))
+            at += len(w)
+        assert at == len(name) and abs(score - best[-1]) < 1e-6
