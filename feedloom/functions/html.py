@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import fold_table, strip_tags
+from feedloom.functions.text import fold_table
 
 NOT_MATCHED = "NOT MATCHED"
 HIGHLIGHT_OPEN = '<span class="filter-highlight">'
@@ -80,11 +80,51 @@ def resolve_url(base: Column, href: Column) -> Column:
     )
 
 
+#: A tag with its attributes, a word with the white space before it, a stray opening bracket, or white space at the end.
+MARKUP_TOKEN = r"""<!--[\s\S]*?-->|</?[A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>|\s*[^\s<]+|\s*<(?!/?[A-Za-z]|!--)|\s+|<"""
+# Fixed value: the elements of HTML that have no end tag.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+
+
 def truncate_html(html: Column, limit: int = 50, suffix: str = "...") -> Column:
-    """First ``limit`` words of the text without tags, plus a suffix if cut."""
-    tokens = F.filter(F.split(F.trim(strip_tags(F.coalesce(html, F.lit("")))), r"\s+"), lambda t: t != "")
-    return F.when(F.size(tokens) <= limit, F.array_join(tokens, " ")).otherwise(
-        F.concat(F.array_join(F.slice(tokens, 1, limit), " "), F.lit(suffix))
+    """The first ``limit`` words with their tags, plus a suffix if cut; what is open there is closed.
+
+    One fold over the tags and words with a stack of open elements. An end tag closes what was opened inside its element, and
+    is left out if nothing of its name is open; void elements are not closed; comments go; a bracket that opens no tag is escaped.
+    """
+    strings = "array<string>"
+    tokens = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(MARKUP_TOKEN), F.lit(0))
+    start = F.struct(
+        F.array().cast(strings).alias("out"), F.array().cast(strings).alias("open"), F.lit(0).alias("n"), F.lit(False).alias("cut")
+    )
+
+    def closing(names: Column) -> Column:
+        return F.array_join(F.transform(names, lambda name: F.concat(F.lit("</"), name, F.lit(">"))), "")
+
+    def step(state: Column, token: Column) -> Column:
+        def after(out=None, opened=None, n=None, cut=None) -> Column:
+            values = {"out": out, "open": opened, "n": n, "cut": cut}
+            return F.struct(*[(state[k] if v is None else v).alias(k) for k, v in values.items()])
+
+        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*)", 1))
+        inner = F.reverse(state["open"])
+        depth = F.array_position(inner, name).cast("int")
+        left = F.slice(state["open"], F.lit(1), F.size(state["open"]) - depth)
+        word = ~token.rlike(r"^\s*(?:<|$)")
+        return (
+            F.when(state["cut"], state)
+            .when(token.startswith("<!--"), state)
+            .when(token.startswith("</") & (depth > 0), after(F.array_append(state["out"], closing(F.slice(inner, F.lit(1), depth))), left))
+            .when(token.startswith("</") & (name != ""), state)
+            .when((name != "") & (name.isin(*VOID) | token.endswith("/>")), after(F.array_append(state["out"], token)))
+            .when(name != "", after(F.array_append(state["out"], token), F.array_append(state["open"], name)))
+            .when(word & (state["n"] >= limit), after(F.array_append(state["out"], F.lit(suffix)), cut=F.lit(True)))
+            .when(word, after(F.array_append(state["out"], token), n=state["n"] + 1))
+            .otherwise(after(F.array_append(state["out"], F.replace(token, F.lit("<"), F.lit("&lt;")))))
+        )
+
+    return F.aggregate(
+        tokens, start, step, lambda state: F.concat(F.array_join(state["out"], ""), closing(F.reverse(state["open"])))
     )
 
 

@@ -55,8 +55,8 @@ def required_literal(pattern: str, flags: str = "") -> str | None:
 def re_sub(text: Column, pattern: str, flags: str = "", sub: str = "", repeat: bool = False) -> Column:
     """Strip or rewrite by regex; ``repeat`` goes on until nothing matches.
 
-    Each round of a repeated filter shortens the text by one match at least,
-    so its number of rounds is bounded by the matches a first look counts.
+    Each round of a repeated filter shortens the text, so its length bounds the rounds. A pattern that begins with a tag and leaves
+    fewer of it than it takes has no more rounds than there are of these tags.
     """
     regex = java_regex(pattern, flags)
     template = java_template(sub)
@@ -67,7 +67,8 @@ def re_sub(text: Column, pattern: str, flags: str = "", sub: str = "", repeat: b
 
     def all_rounds(t: Column) -> Column:
         opening = required_opening(pattern)
-        rounds = F.regexp_count(t, F.lit(opening)) if opening else F.length(t)
+        fewer = opening.startswith("<") and pattern.count(opening) > sub.count(opening)
+        rounds = F.regexp_count(t, F.lit(opening)) if fewer else F.length(t)
         return F.when(t.rlike(regex), F.aggregate(
             F.sequence(F.lit(1), F.greatest(rounds, F.lit(1))), t,
             lambda acc, _: F.when(acc.rlike(regex), once(acc)).otherwise(acc),

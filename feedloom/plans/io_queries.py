@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import scalars as S
@@ -64,15 +67,31 @@ def _read_opml(m):
     return O.read_opml(m.spark, f"{path}/part-*")
 
 
+#: What is compared of each stored table.
+STORED = {
+    "feeds": ("feed_uid", "feed_xml", "feed_title", "feed_desc", "feed_errors", "feed_private", "feed_filter"),
+    "items": ("item_uid", "item_feed_uid", "item_guid", "item_link", "item_title", "item_content", "item_creator", "item_rating", "item_rule_uid"),
+    "rules": ("rule_uid", "rule_type", "rule_feed_uid", "rule_text"),
+    "tags": ("tag_item_uid", "tag_name", "tag_by"),
+}
+
+
 def _loaded(m):
+    """All rows of the four tables, saved and loaded again."""
     path = shared_folder(m.spark)
     store.save(path, feeds=m.feeds, items=m.items, rules=m.rules, tags=m.tags)
     held = store.load(m.spark, path)
-    return (
-        held.items.where("item_feed_uid = 5 AND item_rating = 0").select("item_uid", "item_title", "item_feed_uid")
-        .join(held.feeds.select(F.col("feed_uid").alias("item_feed_uid"), "feed_title"), "item_feed_uid")
-        .join(held.tags.where("tag_name = 'en'").select(F.col("tag_item_uid").alias("item_uid")), "item_uid", "left_semi")
-    )
+    return reduce(DataFrame.unionAll, [
+        getattr(held, name).select(F.lit(name).alias("name"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]).alias("row"))
+        for name, columns in STORED.items()
+    ])
+
+
+def _changed_url(m):
+    feeds, ingested = M.change_feed_url(m.feeds, m.stored, m.rules, m.entries, 11, "http://moved.example.com/feed", AS_OF)
+    return feeds.select(
+        F.lit("feed").alias("kind"), F.col("feed_xml").alias("name"), F.col("feed_status").alias("state"), F.col("feed_errors").alias("errors")
+    ).unionAll(ingested.new_items.select(F.lit("item"), F.concat_ws(" ", "item_guid", "item_title"), "item_rating", F.lit(0)))
 
 
 def _stream(m, df, files: int = 2):
@@ -136,8 +155,9 @@ QUERIES = {
     FROM items""", "items")),
     "read_opml": (_read_opml, with_model("""SELECT coalesce(feed_pubxml, feed_xml) AS xml_url, feed_html AS html_url, feed_title AS title,
       replace(feed_desc, '& ', '&amp; ') AS desc FROM feeds WHERE feed_status = 0 AND NOT feed_private""", "feeds")),
-    "load_tables": (_loaded, with_model("""SELECT item_uid, item_title, item_feed_uid, feed_title
-    FROM items JOIN feeds ON item_feed_uid = feed_uid WHERE item_feed_uid = 5 AND item_rating = 0 AND lang = 'en'""", "items", "feeds")),
+    "load_tables": (_loaded, with_model("\nUNION ALL ".join(
+        f"SELECT '{name}' AS name, concat_ws('|', {', '.join(f'coalesce(CAST({c} AS VARCHAR), {chr(39)}-{chr(39)})' for c in columns)}) AS row FROM {name}"
+        for name, columns in STORED.items()), *STORED)),
     "rating_stream": (_rating_stream, with_model(f"""SELECT i.item_uid,
       coalesce(CASE op WHEN 'promote' THEN 1 WHEN 'basic' THEN 0 WHEN 'demote' THEN -1 END, item_rating) AS item_rating,
       {ts_text('coalesce(ts, item_rated)')} AS item_rated
@@ -155,12 +175,11 @@ QUERIES = {
       UNION ALL SELECT item_guid, item_title, CASE WHEN rule_uid IS NULL THEN 0 ELSE -2 END
       FROM new_items LEFT JOIN first USING (item_uid)""", "rules", extra=INGEST_SQL)),
     "seen_stream": (_seen_stream, with_model("SELECT DISTINCT feed_uid, guid FROM entries", "entries")),
-    "change_feed_url": (
-        lambda m: M.change_feed_url(m.feeds, m.stored, m.rules, m.entries, 11, "http://moved.example.com/feed", AS_OF)[0]
-        .select("feed_uid", "feed_xml", "feed_status", "feed_errors"),
-        with_model("""SELECT feed_uid, CASE WHEN feed_uid = 11 THEN 'http://moved.example.com/feed' ELSE feed_xml END AS feed_xml,
-          CASE WHEN feed_uid = 11 THEN 0 ELSE feed_status END AS feed_status, CASE WHEN feed_uid = 11 THEN 0 ELSE feed_errors END AS feed_errors
-        FROM feeds""", "feeds")),
+    "change_feed_url": (_changed_url, batch_model("""SELECT 'feed' AS kind, CASE WHEN feed_uid = 11 THEN 'http://moved.example.com/feed' ELSE feed_xml END AS name,
+          CAST(CASE WHEN feed_uid = 11 THEN 0 ELSE feed_status END AS INTEGER) AS state,
+          CAST(CASE WHEN feed_uid = 11 THEN 0 ELSE feed_errors END AS INTEGER) AS errors FROM feeds
+        UNION ALL SELECT 'item', item_guid || ' ' || item_title, CASE WHEN rule_uid IS NULL THEN 0 ELSE -2 END, 0
+        FROM new_items LEFT JOIN first USING (item_uid) WHERE item_feed_uid = 11""", "rules", extra=INGEST_SQL)),
     "apply_fetch_log": (
         lambda m: M.apply_fetch_log(m.feeds, m.fetch_log, 12).select("feed_uid", "feed_errors", "feed_status", "feed_etag"),
         with_model("""SELECT f.feed_uid, coalesce(last, feed_errors) AS feed_errors,

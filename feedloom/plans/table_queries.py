@@ -85,6 +85,22 @@ def _swap(sql: str) -> str:
 INGEST_SQL = NEW_SQL + "," + _swap(",".join((LIVE_SQL, STEMS_SQL, ALL_MATCHES_SQL, FIRST_SQL)))
 
 
+#: A reader's own cleaning list, without the default one.
+OWN_FILTERS = [
+    ("strip", "<br */?>", "i", " ", False), ("strip", "the the ", "", "the ", True), ("limit", "xkcd", ("strip", "<p>", "", "<P>", False)),
+    ("first_link", "http://evanmiller.org/"),
+]
+
+
+def _keys_of(feeds, items, rules, tags):
+    """The keys of all rows of the four tables."""
+    def keys(name, df, key):
+        return df.select(F.lit(name).alias("name"), key.alias("id"))
+
+    return keys("feeds", feeds, F.col("feed_uid").cast("string")).unionAll(keys("items", items, F.col("item_uid").cast("string"))).unionAll(
+        keys("rules", rules, F.col("rule_uid").cast("string"))).unionAll(keys("tags", tags, F.concat_ws(" ", "tag_item_uid", "tag_name")))
+
+
 def _ingest(m):
     return G.ingest(m.entries, m.stored, m.feeds, m.rules, AS_OF)
 
@@ -330,11 +346,11 @@ QUERIES = {
             BATCH_SQL.strip(), "kept AS (SELECT * FROM items WHERE NOT (item_feed_uid = 3 AND item_rating = 0)),"
             + BATCH_SQL.replace("FROM stored", "FROM kept"))),
     "hard_purge": (
-        lambda m: _counts(dict(zip(("feeds", "items", "rules", "tags"), M.hard_purge(m.feeds, m.items, m.rules, m.tags, 4)))),
-        with_model("""SELECT 'feeds' AS name, count(*) AS n FROM feeds WHERE feed_uid <> 4
-        UNION ALL SELECT 'items', count(*) FROM items WHERE item_feed_uid <> 4
-        UNION ALL SELECT 'rules', count(*) FROM rules WHERE coalesce(rule_feed_uid, 0) <> 4
-        UNION ALL SELECT 'tags', count(*) FROM tags WHERE tag_item_uid IN (SELECT item_uid FROM items WHERE item_feed_uid <> 4)""",
+        lambda m: _keys_of(*M.hard_purge(m.feeds, m.items, m.rules, m.tags, 4)),
+        with_model("""SELECT 'feeds' AS name, CAST(feed_uid AS VARCHAR) AS id FROM feeds WHERE feed_uid <> 4
+        UNION ALL SELECT 'items', CAST(item_uid AS VARCHAR) FROM items WHERE item_feed_uid <> 4
+        UNION ALL SELECT 'rules', CAST(rule_uid AS VARCHAR) FROM rules WHERE coalesce(rule_feed_uid, 0) <> 4
+        UNION ALL SELECT 'tags', tag_item_uid || ' ' || tag_name FROM tags WHERE tag_item_uid IN (SELECT item_uid FROM items WHERE item_feed_uid <> 4)""",
                    "feeds", "items", "rules", "tags")),
     "patch_feeds": (
         lambda m: M.patch_feeds(m.feeds, _patches(m)).select("feed_uid", "feed_title", "feed_private", "feed_filter", "feed_status"),
@@ -434,6 +450,12 @@ QUERIES = {
         with_model("""SELECT page_id, guid, CASE WHEN page_id % 3 = 0 THEN link ELSE coalesce(item_link, url) END AS link FROM (
           SELECT a.page_id, a.link, p.url, CASE WHEN a.page_id % 2 = 0 THEN 'doc:' || a.page_id ELSE guid END AS guid
           FROM articles a JOIN pages p USING (page_id)) LEFT JOIN items ON item_guid = guid""", "pages", "items")),
+    "clean_own_filters": (
+        lambda m: C.clean(m.articles, OWN_FILTERS).select("page_id", "link", "title", "content"),
+        with_model("""SELECT page_id, CASE WHEN prefix(link, 'http://evanmiller.org/')
+            THEN coalesce(nullif(regexp_extract(c, '(?i)(?:href|src)="([^"]*)"', 1), ''), link) ELSE link END AS link, title, c AS content
+        FROM (SELECT *, CASE WHEN contains(link, 'xkcd') THEN regexp_replace(b, '<p>', '<P>', 'g') ELSE b END AS c
+          FROM (SELECT *, regexp_replace(regexp_replace(content, '(?i)<br */?>', ' ', 'g'), '(?:the )+', 'the ', 'g') AS b FROM articles))""", "pages")),
     "clean_articles": (lambda m: C.clean(m.articles).select("page_id", "link", "title", "content"), clean_sql()),
     "remove_scripts": (
         lambda m: m.articles.select("page_id", H.remove_scripts(F.col("content")).alias("content")),

@@ -140,6 +140,20 @@ SHARE_SQL = """SELECT item_uid, item_guid, item_creator, item_title, item_link,
 FROM items, feeds WHERE item_feed_uid = feed_uid AND item_rating = 1 AND NOT feed_private
 ORDER BY item_rated DESC NULLS LAST, item_uid DESC LIMIT 50"""
 
+SYNC_SCHEMA = (
+    "uid long, since_when string, creator string, loaded string, feed_uid long, title string, feed_html string, content string, "
+    "tag_info string, redirect string, feed_title string, feed_snr double, updated_ts long, rating int, feed_exempt boolean"
+)
+
+
+def _marked_up(items):
+    """Articles whose content is inside two elements after a break; what looks like a tag in it is none."""
+    content = F.concat(F.lit('<p class="a">Intro<br><b>'), F.replace("item_content", F.lit("<"), F.lit("(")), F.lit("</b></p>"))
+    return items.withColumn("item_content", content)
+
+
+NUMERIC_SQL = """array_to_string([CASE WHEN c >= chr(128) AND c <= chr(255) THEN '&#' || ord(c) || ';' ELSE c END
+  FOR c IN string_split({0}, '')], '')"""
 XML_SQL = """replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
   '''', '&apos;')"""
 
@@ -224,22 +238,21 @@ QUERIES = {
         with_model("SELECT item_title, item_content, item_link FROM items WHERE item_uid = 42", "items")),
     "share": (lambda m: X.share(m.items, m.feeds).drop("entry_content"), with_model(SHARE_SQL, "items", "feeds")),
     "share_xml": (
-        lambda m: X.share(m.items, m.feeds).select(
-            "item_uid", S.xml_text(F.col("item_title")).alias("title"), S.xml_text(F.col("entry_author")).alias("author"),
-            H.truncate_html(F.col("item_content")).alias("content")),
-        with_model(f"""SELECT item_uid, array_to_string([CASE WHEN c >= chr(128) AND c <= chr(255) THEN '&#' || ord(c) || ';' ELSE c END
-            FOR c IN string_split({XML_SQL.format('item_title')}, '')], '') AS title,
-          {XML_SQL.format('entry_author')} AS author,
-          array_to_string(list_slice(ws, 1, 50), ' ') || CASE WHEN len(ws) > 50 THEN '...' ELSE '' END AS content
-        FROM (SELECT *, [w FOR w IN regexp_split_to_array(trim(regexp_replace(item_content, '<[^>]*>', ' ', 'g')), '\\s+')
-          IF w <> ''] AS ws FROM ({SHARE_SQL}))""", "items", "feeds")),
+        lambda m: X.share_xml(X.share(_marked_up(m.items), m.feeds)),
+        with_model(f"""SELECT item_uid, '<entry><id>' || {XML_SQL.format('item_guid')} || '</id><title>' || {NUMERIC_SQL.format(XML_SQL.format('entry_title'))}
+          || '</title><updated>' || created || '</updated><author><name>' || {NUMERIC_SQL.format(XML_SQL.format('entry_author'))} || '</name></author>'
+          || '<content type="html">' || {NUMERIC_SQL.format(XML_SQL.format('content'))} || '</content><link rel="alternate" href="'
+          || {XML_SQL.format('item_link')} || '" /></entry>' AS entry
+        FROM (SELECT *, '<p class="a">Intro<br><b>' || CASE WHEN len(regexp_extract_all(t, '\\S+')) > 49
+            THEN regexp_extract(t, '^(?:\\s*\\S+){{49}}') || '...' ELSE t END || '</b></p>' AS content
+          FROM (SELECT *, replace(item_content, '<', '(') AS t FROM ({SHARE_SQL})))""", "items", "feeds")),
     "sync_json": (
-        lambda m: X.sync_rows(V.article_view(
+        lambda m: X.sync_json(V.article_view(
             V.select_items(m.items, updated="2024-01-01 00:00:00"), m.feeds, m.stats, m.tags, AS_OF)).select(
-            "uid", "since_when", "rating", "updated_ts", "tag_info", "feed_snr",
-            F.get_json_object(F.to_json(F.struct("title")), "$.title").alias("title")),
-        with_model(f"""SELECT item_uid AS uid, since_when, item_rating AS rating, epoch_us(CAST(updated AS TIMESTAMP)) AS updated_ts,
-          tag_info, snr AS feed_snr, item_title AS title
+            F.from_json("json", SYNC_SCHEMA).alias("j")).select("j.*"),
+        with_model(f"""SELECT item_uid AS uid, since_when, item_creator AS creator, item_loaded_text AS loaded, item_feed_uid AS feed_uid,
+          item_title AS title, feed_html, item_content AS content, tag_info, item_link AS redirect, feed_title, snr AS feed_snr,
+          epoch_us(CAST(updated AS TIMESTAMP)) AS updated_ts, item_rating AS rating, feed_exempt
         FROM ({_view_sql("updated > TIMESTAMP '2024-01-01 00:00:00'", "", 200)})""", "stats", "tags")),
     "client_sync": (
         lambda m: I.sync(_client(m).withColumn("item_rating", F.lit(0)), m.items).select("item_uid", "item_rating"),

@@ -163,8 +163,18 @@ def test_resolve_url(spark, base, href, expected):
 
 def test_truncate_and_scripts(spark):
     long = " ".join(f"w{i}" for i in range(60))
-    assert one(spark, H.truncate_html(F.lit(f"<p>{long}</p>"))) == " ".join(f"w{i}" for i in range(50)) + "..."
-    assert one(spark, H.truncate_html(F.lit("<p>short <b>text</b></p>"))) == "short text"
+    first = " ".join(f"w{i}" for i in range(50))
+    assert one(spark, H.truncate_html(F.lit(f"<p>{long}</p>"))) == f"<p>{first}...</p>"
+    assert one(spark, H.truncate_html(F.lit(f"<p><b>{long}"))) == f"<p><b>{first}...</b></p>"
+    assert one(spark, H.truncate_html(F.lit("<p>short <b>text</b></p>"))) == "<p>short <b>text</b></p>"
+    for html, want in [
+        ("a<br>b <img src='x>y'> c", "a<br>b <img src='x>y'> c"), ("<div><p>one <i>two</div> three</p>", "<div><p>one <i>two</i></p></div> three"),
+        ("</b>a < b <!-- <p> --> c", "a &lt; b  c"), ("<UL><li>x</LI></ul>", "<UL><li>x</li></ul>"), ("<hr/><x-y a=\"1\"/>", "<hr/><x-y a=\"1\"/>"),
+        ("", ""), ("  ", "  "), ("<p>", "<p></p>"),
+    ]:
+        assert one(spark, H.truncate_html(F.lit(html))) == want
+    assert one(spark, H.truncate_html(F.lit("<p><a href='u'>a b</a> <b>c <br>d e</b> f</p>"), 3)) == "<p><a href='u'>a b</a> <b>c <br>...</b></p>"
+    assert one(spark, H.truncate_html(F.lit(None).cast("string"))) == ""
     assert one(spark, H.remove_scripts(F.lit("a<script>x('</p>')</script >b<SCRIPT src=1>c"))) == "ab"
 
 
