@@ -14,10 +14,11 @@ from feedloom import schema
 from feedloom.functions.scalars import as_of_column
 from feedloom.operators import token_index
 from feedloom.operators.ingest import first_guid, ingest
-from feedloom.operators.maintain import error_runs, last_rating
-from feedloom.session import durable, scratch
+from feedloom.operators.maintain import last_rating
+from feedloom.session import durable, remove, scratch
 from feedloom.sources import tables as store
 from feedloom.streaming.incremental import merge_stats
+from feedloom.streaming.keyed import ERRORS, count_errors
 
 REFRESH_INTERVAL = "1 hour"
 SEEN_FOR = "24 hours"
@@ -43,17 +44,23 @@ def unseen_entries(batch: DataFrame, seen: DataFrame, as_of, keep: str = SEEN_FO
     return fresh, live.unionByName(sighted).groupBy("feed_uid", "guid").agg(F.max("seen_at").alias("seen_at"))
 
 
-def _with_seen(batch: DataFrame, batch_id: int, path: str, as_of) -> DataFrame:
-    """Fresh entries of a batch; keeps the seen table in ``seen/batch=n`` and drops the one before the last.
+def _with_seen(batch: DataFrame, batch_id: int, path: str, as_of, keep: str = SEEN_FOR) -> DataFrame:
+    """Fresh entries of a batch. Its sightings are added as ``seen/batch=n``; what is older than ``keep`` is removed.
 
-    A replayed batch starts from the same table again.
+    Only keys of the batch are written. A replayed batch looks at the batches before it only, so it finds the same again.
     """
     spark = batch.sparkSession
-    before = f"{path}/seen/batch={batch_id - 1}"
-    seen = spark.read.schema(SEEN).parquet(before) if _exists(spark, before) else spark.createDataFrame([], SEEN)
-    fresh, after = unseen_entries(batch, seen, as_of)
-    after.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
-    _remove(spark, f"{path}/seen/batch={batch_id - 2}")
+    seen = spark.createDataFrame([], SEEN)
+    if _exists(spark, f"{path}/seen"):
+        log = spark.read.schema(f"{SEEN}, batch long").parquet(f"{path}/seen").where(F.col("batch") < batch_id)
+        # One row a batch that is still there.
+        ages = log.groupBy("batch").agg((F.max("seen_at") < as_of_column(as_of) - F.expr(f"INTERVAL {keep}")).alias("old"))
+        remove(spark, [f"{path}/seen/batch={r['batch']}" for r in ages.where("old").collect()])
+        seen = spark.read.schema(f"{SEEN}, batch long").parquet(f"{path}/seen").where(F.col("batch") < batch_id).drop("batch")
+    fresh, _ = unseen_entries(batch, seen, as_of, keep)
+    fresh = durable(fresh)
+    sighted = batch.select("feed_uid", "guid").distinct().withColumn("seen_at", as_of_column(as_of))
+    sighted.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
     return fresh
 
 
@@ -127,11 +134,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
-
-
 def run_ratings(events: DataFrame, path: str, checkpoint: str, once: bool = True, interval: str = "10 seconds"):
     """Keep the last rating per item of each batch in ``ratings``.
 
@@ -171,7 +173,7 @@ def run_stats(changes: DataFrame, stats: DataFrame, path: str, checkpoint: str,
         spark = batch.sparkSession
         before = stats if batch_id == 0 else spark.read.parquet(f"{path}/feed_stats/batch={batch_id - 1}")
         merge_stats(before, batch).write.mode("overwrite").parquet(f"{path}/feed_stats/batch={batch_id}")
-        _remove(spark, f"{path}/feed_stats/batch={batch_id - 2}")
+        remove(spark, [f"{path}/feed_stats/batch={batch_id - 2}"])
 
     writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _trigger(writer, once, "10 seconds").start()
@@ -182,30 +184,23 @@ def run_errors(
 ) -> StreamingQuery:
     """Keep consecutive error counts per feed over a stream of fetch results.
 
-    Batch ``n`` writes ``feed_errors/batch=n`` from batch ``n - 1``. Runs are
-    counted by the batch operator, which splits a feed with very many fetches.
+    The counts are keyed state (:mod:`feedloom.streaming.keyed`), which a restart takes up from the checkpoint. Batch ``n``
+    writes the feeds it touched to ``feed_errors/batch=n``; :func:`feed_errors` reads the latest of each.
     """
-    def count(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = "feed_uid long, feed_errors long, longest long, suspended boolean"
-        before = (
-            spark.createDataFrame([], state) if batch_id == 0
-            else spark.read.schema(state).parquet(f"{path}/feed_errors/batch={batch_id - 1}")
-        )
-        runs = error_runs(batch, before, max_errors)
-        merged = before.alias("b").join(runs.alias("r"), "feed_uid", "full_outer").select(
-            "feed_uid",
-            F.coalesce("r.feed_errors", "b.feed_errors").alias("feed_errors"),
-            F.greatest("b.longest", "r.longest").alias("longest"),
-            (F.coalesce("b.suspended", F.lit(False)) | F.coalesce("r.suspended", F.lit(False))).alias("suspended"),
-        )
-        merged.write.mode("overwrite").parquet(f"{path}/feed_errors/batch={batch_id}")
-        _remove(spark, f"{path}/feed_errors/batch={batch_id - 2}")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/feed_errors/batch={batch_id}")
 
-    writer = fetches.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    writer = count_errors(fetches, max_errors).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
     return _trigger(writer, once, "10 seconds").start()
 
 
+def feed_errors(spark: SparkSession, path: str) -> DataFrame:
+    """feed_uid, feed_errors, longest and suspended as the last batch that touched a feed left them."""
+    log = spark.read.schema(f"{ERRORS}, batch long").parquet(f"{path}/feed_errors")
+    last = log.groupBy("feed_uid").agg(F.max_by(F.struct("feed_errors", "longest", "suspended"), "batch").alias("s"))
+    return last.select("feed_uid", "s.feed_errors", "s.longest", "s.suspended")
+
+
 def run_tokens(changes: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keep the token index at ``path`` in step with a stream of item changes.
 

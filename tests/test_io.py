@@ -185,11 +185,39 @@ def test_error_stream(spark, m, lake):
         reader = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{lake}/log")
         J.run_errors(reader, lake, f"{lake}/cp", max_errors=6).awaitTermination()
     got = {r["feed_uid"]: (r["feed_errors"], r["longest"], r["suspended"])
-           for r in spark.read.parquet(f"{lake}/feed_errors/batch=1").collect()}
+           for r in J.feed_errors(spark, lake).collect()}
     want = {r["feed_uid"]: (r["feed_errors"], r["longest"], r["suspended"]) for r in M.error_runs(log, None, 6).collect()}
     assert got == want
 
 
+def test_error_stream_writes_touched_feeds_only(spark, lake):
+    columns = "feed_uid long, ts timestamp, seq long, ok boolean"
+    batches = [[(1, 1, False), (2, 2, False), (1, 3, False)], [(1, 4, True), (1, 5, False)], [(3, 6, True)], [(2, 8, False), (2, 7, False)]]
+    touched = []
+    for n, batch in enumerate(batches):
+        rows = spark.createDataFrame([(f, None, s, ok) for f, s, ok in batch], columns).withColumn("ts", F.timestamp_seconds("seq"))
+        rows.coalesce(1).write.mode("append").parquet(f"{lake}/log")
+        J.run_errors(spark.readStream.schema(columns).parquet(f"{lake}/log"), lake, f"{lake}/cp", max_errors=2).awaitTermination()
+        touched.append({r["feed_uid"] for r in spark.read.parquet(f"{lake}/feed_errors/batch={n}").collect()})
+    assert touched == [{1, 2}, {1}, {3}, {2}]
+    got = {tuple(r) for r in J.feed_errors(spark, lake).collect()}
+    assert got == {(1, 1, 2, False), (2, 3, 3, True), (3, 0, 0, False)}
+
+
+def test_seen_batches_write_their_own_keys(spark, lake):
+    columns = "feed_uid long, position long, guid string, title string"
+    for n, (day, rows) in enumerate([
+        ("2024-01-01 00:00:00", [(1, 1, "a", "t"), (1, 2, "a", "last"), (1, 3, "b", "t")]), ("2024-01-01 20:00:00", [(1, 1, "a", "again"), (2, 1, "b", "t")]),
+        ("2024-01-02 10:00:00", [(1, 1, "a", "renewed"), (1, 2, "b", "forgotten")]),
+    ]):
+        batch = spark.createDataFrame(rows, columns)
+        for _ in range(2):  # the second time as after a crash
+            fresh = J._with_seen(batch, n, lake, day)
+            assert {r["title"] for r in fresh.collect()} == [{"last", "t"}, {"t"}, {"forgotten"}][n]
+        assert {(r["feed_uid"], r["guid"]) for r in spark.read.parquet(f"{lake}/seen/batch={n}").collect()} == {(r[0], r[2]) for r in rows}
+    assert not J._exists(spark, f"{lake}/seen/batch=0") and J._exists(spark, f"{lake}/seen/batch=1")
+
+
 def test_token_stream(spark, m, lake):
     items = m.texts.select("item_uid", "item_title", "item_content")
     changes = items.where("item_uid < 20").withColumns({
