@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions import scalars as S
@@ -20,45 +20,81 @@ from feedloom.streaming import incremental as I
 from feedloom.streaming import jobs as J
 
 
+#: Entries of a written document.
+A_DOCUMENT = 50
+
+
+def _written(m, df, tag: str, start: str, end: str) -> str:
+    """A file for each document of some entries, in order of ``item_uid``. Links go without a scheme, which the document's base has."""
+    path = f"{shared_folder(m.spark)}/{tag}"
+    entry = F.to_xml(F.struct(*[c for c in df.columns if c != "item_uid"]), {"rowTag": tag, "attributePrefix": "_", "valueTag": "_VALUE"})
+    documents = df.select("item_uid", entry.alias("entry")).groupBy(F.floor(F.col("item_uid") / A_DOCUMENT)).agg(
+        F.array_sort(F.collect_list(F.struct("item_uid", "entry"))).alias("entries"))
+    text = F.concat(F.lit(start), F.array_join(F.col("entries.entry"), "\n"), F.lit(end))
+    documents.select(text.alias("value")).write.format("text").option("maxRecordsPerFile", 1).save(path)
+    return f"{path}/part-*"
+
+
+BASE = 'xml:base="http://root.example.com/a/b"'
+
+
+def _relative():
+    return F.regexp_replace("item_link", "^http:", "")
+
+
+def _linked():
+    return F.concat(F.lit('<a href="'), _relative(), F.lit('?y">'), "item_content", F.lit('<img src="/z"></a>'))
+
+
 def _as_rss(m) -> str:
-    """Every article written as an RSS item."""
-    path = f"{shared_folder(m.spark)}/rss"
+    """Every article as an RSS item."""
     docs = m.texts.join(m.table("documents").select(F.col("doc_id").alias("item_uid"), "lang", "source"), "item_uid")
-    docs.select(
-        F.col("item_title").alias("title"), F.col("item_link").alias("link"),
+    return _written(m, docs.select(
+        "item_uid", F.col("item_title").alias("title"), _relative().alias("link"),
         F.struct(F.lit("false").alias("_isPermaLink"), F.col("item_guid").alias("_VALUE")).alias("guid"),
         F.array(F.upper("lang"), F.col("source"), F.col("lang")).alias("category"),
         F.col("item_creator").alias("author"),
         F.date_format("item_created", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"),
-        F.col("item_content").alias("description"),
-    ).write.format("xml").options(rowTag="item", rootTag="channel", attributePrefix="_", valueTag="_VALUE").save(path)
-    return path
+        _linked().alias("description"),
+    ), "item", f'<?xml version="1.0" encoding="UTF-8"?><rss {BASE}><channel><title>Root</title>', "</channel></rss>")
+
+
+def _compared(entries, *more):
+    """What is compared of entries: also whether positions follow the order in which the document has them."""
+    place = F.regexp_extract("guid", "([0-9]+)$", 1).cast("long")
+    before = F.lag(place).over(Window.partitionBy("document").orderBy("position"))
+    return entries.select(
+        "guid", "link", "title", "content", "author", S.datetime_text(F.col("created")).alias("created"), *more,
+        F.coalesce(before < place, F.lit(True)).alias("in_order"))
 
 
 def _read_feeds(m):
-    return R.read_entries(m.spark.read, f"{_as_rss(m)}/part-*").select(
-        "guid", "link", "author", S.datetime_text(F.col("created")).alias("created"),
-        F.array_join("tags", ",").alias("tags"), "runt")
+    _, entries = R.read_feeds(m.spark, _as_rss(m))
+    return _compared(entries, F.array_join("tags", ",").alias("tags"), "runt")
 
 
 def _as_atom(m) -> str:
-    path = f"{shared_folder(m.spark)}/atom"
-    m.texts.select(
+    docs = m.texts
+    return _written(m, docs.select(
+        "item_uid",
         F.col("item_guid").alias("id"), F.struct(F.lit("html").alias("_type"), F.col("item_title").alias("_VALUE")).alias("title"),
         F.array(F.struct(F.lit("self").alias("_rel"), F.lit("x").alias("_href")),
-                F.struct(F.lit("alternate").alias("_rel"), F.col("item_link").alias("_href"))).alias("link"),
+                F.struct(F.lit("alternate").alias("_rel"), _relative().alias("_href"))).alias("link"),
         F.struct(F.col("item_creator").alias("name")).alias("author"),
         F.date_format("item_created", "yyyy-MM-dd'T'HH:mm:ss'+02:00'").alias("published"),
         S.iso(F.coalesce("item_modified", "item_created")).alias("updated"),
-        F.struct(F.lit("html").alias("_type"), F.col("item_content").alias("_VALUE")).alias("content"),
-    ).write.format("xml").options(rowTag="entry", rootTag="feed", attributePrefix="_", valueTag="_VALUE").save(path)
-    return path
+        F.struct(F.lit("html").alias("_type"), _linked().alias("_VALUE")).alias("content"),
+    ), "entry", f'<feed {BASE}><title>Root</title>', "</feed>")
 
 
 def _read_atom(m):
-    return R.read_entries(m.spark.read, f"{_as_atom(m)}/part-*").select(
-        "guid", "link", "author", S.datetime_text(F.col("created")).alias("created"),
-        S.datetime_text(F.col("modified")).alias("modified"))
+    return _compared(R.read_entries(m.spark.read, _as_atom(m)), S.datetime_text(F.col("modified")).alias("modified"))
+
+
+READ_SQL = """item_guid AS guid, item_link AS link, item_creator AS author, TRUE AS in_order,
+  coalesce(nullif(replace(replace(trim(regexp_replace(regexp_replace(item_title, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '<', '&lt;'), '>', '&gt;'), ''),
+    'Untitled') AS title,
+  '<a href="' || item_link || '?y">' || item_content || '<img src="http://root.example.com/z"></a>' AS content"""
 
 
 def _read_opml(m):
@@ -152,11 +188,10 @@ def _seen_stream(m):
 
 
 QUERIES = {
-    "read_rss": (_read_feeds, with_model(f"""SELECT item_guid AS guid, item_link AS link, item_creator AS author,
-      {ts_text('item_created')} AS created, lang || ',' || source AS tags, FALSE AS runt FROM items""", "items")),
-    "read_atom": (_read_atom, with_model(f"""SELECT item_guid AS guid, item_link AS link, item_creator AS author,
-      {ts_text('item_created - INTERVAL 2 HOUR')} AS created, {ts_text('coalesce(item_modified, item_created)')} AS modified
+    "read_rss": (_read_feeds, with_model(f"""SELECT {READ_SQL}, {ts_text('item_created')} AS created, lang || ',' || source AS tags, FALSE AS runt
     FROM items""", "items")),
+    "read_atom": (_read_atom, with_model(f"""SELECT {READ_SQL}, {ts_text('item_created - INTERVAL 2 HOUR')} AS created,
+      {ts_text('coalesce(item_modified, item_created)')} AS modified FROM items""", "items")),
     "read_opml": (_read_opml, with_model("""SELECT coalesce(feed_pubxml, feed_xml) AS xml_url, feed_html AS html_url, feed_title AS title,
       replace(feed_desc, '& ', '&amp; ') AS desc FROM feeds WHERE feed_status = 0 AND NOT feed_private""", "feeds")),
     "load_tables": (_loaded, with_model("\nUNION ALL ".join(

@@ -241,6 +241,39 @@ def test_client_sync(m):
     assert I.client_unread(after).where("item_rating <> 0").count() == 0
 
 
+def test_traits_of_real_documents(spark, tmp_path):
+    """Bases at every level, several CDATA blocks, a feed's author, a named zone, RDF, and a document that breaks off."""
+    docs = {
+        "rss.xml": """<?xml version="1.0" encoding="utf-8"?>\n<rss version="2.0" xml:base="http://r.example.com/x/"><channel xml:base="sub/">\n<title>R</title>
+          <link>http://page.example.com/blog/</link><item xml:base="/deep/"><guid isPermaLink="false">r1</guid><link>a.html</link><title>one</title>
+          <description><![CDATA[<img src='p.png'>]]> and <![CDATA[<a href="#top" class=x>t</a> <a HREF="http://full/">f</a>]]></description>
+          <pubDate>Tue, 02 Jan 2024 03:04:05 EST</pubDate></item><item><guid isPermaLink="false">r2</guid><link>b.html</link><title>two</title></item></channel></rss>""",
+        "page.xml": """<rss><channel><title>P</title><link>http://page.example.com/blog/</link><item><link>../c?x=1</link><title>three</title>
+          <description>no link</description></item><item><link>//other.example.com/d</link><title>four</title></item></channel></rss>""",
+        "atom.xml": """<feed xmlns="http://www.w3.org/2005/Atom" xml:base="http://a.example.com/"><title>A</title><author><name>All of us</name></author><link href="/me"/>
+          <entry><id>a1</id><link href="e"/><title>five</title></entry><entry xml:base="y/"><id>a2</id><link href="e"/><title>six</title><author><name>Me</name></author></entry></feed>""",
+        "rdf.xml": """<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>D</title><link>http://d.example.com/</link></channel><item><title>seven</title><link>s</link>
+          <dc:creator>Dee</dc:creator><dc:date>2024-01-02T03:04:05Z</dc:date></item></rdf:RDF>""",
+        "none.xml": """<rss><channel><item><title>eight</title><link>stays/relative</link></item></channel></rss>""",
+        "cut.xml": """<rss><channel><item><title>nine</title></item><item><title>cut""",
+    }
+    for name, text in docs.items():
+        (tmp_path / name).write_text(text)
+    feeds, entries = S.read_feeds(spark, str(tmp_path))
+    rows = {r["title"]: r for r in entries.withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss")).collect()}
+    assert {t: r["link"] for t, r in rows.items()} == {
+        "one": "http://r.example.com/deep/a.html", "two": "http://r.example.com/x/sub/b.html", "three": "http://page.example.com/c?x=1",
+        "four": "http://other.example.com/d", "five": "http://a.example.com/e", "six": "http://a.example.com/y/e", "seven": "http://d.example.com/s",
+        "eight": "stays/relative"}
+    assert rows["one"]["content"] == """<img src='http://r.example.com/deep/p.png'> and <a href="http://r.example.com/deep/#top" class=x>t</a> <a HREF="http://full/">f</a>"""
+    assert rows["one"]["created"] == "2024-01-02 08:04:05" and rows["seven"]["created"] == "2024-01-02 03:04:05"
+    assert [rows[t]["author"] for t in ("five", "six", "seven", "two")] == ["All of us", "Me", "Dee", "Unknown"]
+    assert rows["one"]["position"] < rows["two"]["position"] and rows["three"]["guid"] == "../c?x=1"
+    assert {r["feed_title"]: r["feed_html"] for r in feeds.collect()} == {
+        "R": "http://page.example.com/blog/", "P": "http://page.example.com/blog/", "A": "http://a.example.com/me", "D": "http://d.example.com/"}
+    assert {r["document"].rsplit("/", 1)[1] for r in S.rejected_documents(spark, str(tmp_path)).collect()} == {"cut.xml"}
+
+
 def test_entries_without_guid_link_or_title(spark, tmp_path):
     (tmp_path / "a.xml").write_text(
         "<rss><channel><title>t</title><item><description>only this</description></item>"
