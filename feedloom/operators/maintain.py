@@ -43,6 +43,13 @@ def apply_ratings(items: DataFrame, events: DataFrame) -> DataFrame:
     }).select(*items.columns)
 
 
+def rating_changes(events: DataFrame) -> DataFrame:
+    """The same as changes for a store (:mod:`feedloom.sources.item_store`): no article is read."""
+    return last_rating(events).select(
+        "item_uid", F.col("rating").alias("item_rating"), F.col("rated").alias("item_rated"), F.col("rated").alias("updated")
+    )
+
+
 def catch_up(items: DataFrame, feed_uid: int) -> DataFrame:
     mine = (F.col("item_feed_uid") == feed_uid) & (F.col("item_rating") == UNREAD)
     return items.withColumn("item_rating", F.when(mine, UNINTERESTING).otherwise(F.col("item_rating")))
@@ -91,6 +98,13 @@ def dedupe(items: DataFrame, feed_uid: int | None = None) -> DataFrame:
     ).select(*items.columns)
 
 
+def dedupe_changes(items: DataFrame, feed_uid: int | None = None) -> DataFrame:
+    """The same as changes for a store. Only keys, titles and ratings are read, of one feed if it is named."""
+    narrow = items.select("item_uid", "item_feed_uid", "item_title", "item_rating")
+    mine = narrow if feed_uid is None else narrow.where(F.col("item_feed_uid") == feed_uid)
+    return same_title(mine).where(F.col("item_rating") == UNREAD).select("item_uid", F.lit(UNINTERESTING).alias("item_rating"))
+
+
 def dedupe_count(items: DataFrame, feed_uid: int | None = None) -> DataFrame:
     shared = same_title(items).where(F.col("item_rating") == UNREAD)
     if feed_uid is not None:
@@ -134,18 +148,35 @@ def clear_old_content(items: DataFrame, as_of, days: int = CLEAR_CONTENT_DAYS) -
     return items.withColumn("item_content", F.when(old, F.lit("")).otherwise(F.col("item_content")))
 
 
+def clear_changes(items: DataFrame, as_of, days: int = CLEAR_CONTENT_DAYS) -> DataFrame:
+    """The same as changes for a store; content is not read."""
+    old = (F.col("item_rating") < 0) & (F.col("item_created") < days_before(as_of, days))
+    return items.where(old).select("item_uid", F.lit(True).alias("cleared"))
+
+
 def expire_items(items: DataFrame, feeds: DataFrame, as_of, days: int = EXPIRE_DAYS) -> DataFrame:
     """Delete negatively rated items old enough and no longer in the feed.
 
     The bound is the earlier of ``days`` ago and a week before the oldest item
     the feed still lists. A feed whose oldest item is unknown loses nothing.
     """
+    gone = _expired(items, feeds, as_of, days)
+    return gone.where("NOT gone").select(*items.columns)
+
+
+def expiry_changes(items: DataFrame, feeds: DataFrame, as_of, days: int = EXPIRE_DAYS) -> DataFrame:
+    """The same as changes for a store: the articles to delete."""
+    narrow = items.select("item_uid", "item_feed_uid", "item_rating", "item_created")
+    return _expired(narrow, feeds, as_of, days).where("gone").select("item_uid", F.lit(True).alias("deleted"))
+
+
+def _expired(items: DataFrame, feeds: DataFrame, as_of, days: int) -> DataFrame:
     margin = F.timestamp_micros(F.unix_micros("feed_oldest") - F.lit(OLDEST_MARGIN_DAYS * 86_400_000_000))
     bound = feeds.where(F.col("feed_oldest").isNotNull()).select(
         F.col("feed_uid").alias("item_feed_uid"), F.least(days_before(as_of, days), margin).alias("bound")
     )
     gone = F.coalesce((F.col("item_rating") < 0) & (F.col("item_created") < F.col("bound")), F.lit(False))
-    return items.join(bound, "item_feed_uid", "left").where(~gone).select(*items.columns)
+    return items.join(bound, "item_feed_uid", "left").withColumn("gone", gone)
 
 
 def orphan_tags(tags: DataFrame, items: DataFrame) -> DataFrame:

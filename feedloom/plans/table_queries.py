@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from feedloom.operators.filter_list import DEFAULT_FILTERS
 from feedloom.operators.ordered import failure_runs
 from feedloom.plans.model import AS_OF, ago, sql_text, ts_text, with_model
 from feedloom.plans.rule_queries import ALL_MATCHES_SQL, FIRST_SQL, LIVE_SQL, STEMS_SQL
+from feedloom.session import shared_folder
+from feedloom.sources import item_store as IS
 from feedloom.sources import opml as O
 from feedloom.streaming import incremental as I
 
@@ -92,6 +95,32 @@ OWN_FILTERS = [
 ]
 
 
+def _item_store(m):
+    """Articles in a store: rated, deduplicated, cleared and expired by changes, compacted, and rated again in part."""
+    spark, path, name = m.spark, shared_folder(m.spark), f"s{uuid.uuid4().hex}"
+    store = IS.create(m.items, f"{name}a", path, buckets=8)
+    IS.add_changes(M.rating_changes(m.rating_events), store, 1)
+    IS.add_changes(M.dedupe_changes(IS.merged(spark, store)), store, 2)
+    IS.add_changes(M.clear_changes(IS.merged(spark, store), AS_OF), store, 3)
+    store = IS.compact(spark, store, f"{name}b", path)
+    IS.add_changes(M.expiry_changes(IS.merged(spark, store), m.feeds, AS_OF), store, 4)
+    return IS.merged(spark, store).select(
+        "item_uid", "item_rating", S.datetime_text(F.col("item_rated")).alias("item_rated"), S.datetime_text(F.col("updated")).alias("updated"),
+        "item_title", "item_content")
+
+
+ITEM_STORE_SQL = f"""SELECT item_uid, item_rating, {ts_text('item_rated')} AS item_rated, {ts_text('updated')} AS updated, item_title, item_content
+FROM (SELECT d.* REPLACE (CASE WHEN item_rating < 0 AND item_created < {ago('7')} THEN '' ELSE item_content END AS item_content), feed_oldest
+  FROM (SELECT * REPLACE (CASE WHEN item_rating = 0 AND item_title IS NOT NULL AND count(*) OVER (PARTITION BY item_feed_uid, item_title) > 1
+      THEN -1 ELSE item_rating END AS item_rating)
+    FROM (SELECT i.* REPLACE (coalesce(CASE op WHEN 'promote' THEN 1 WHEN 'basic' THEN 0 WHEN 'demote' THEN -1 END, item_rating) AS item_rating,
+        coalesce(ts, item_rated) AS item_rated, greatest(updated, ts) AS updated)
+      FROM items i LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_uid ORDER BY ts DESC, event_id DESC) AS n
+        FROM rating_events WHERE op IS NOT NULL) WHERE n = 1) e ON i.item_uid = e.item_uid)) d
+  LEFT JOIN feeds ON item_feed_uid = feed_uid)
+WHERE NOT coalesce(item_rating < 0 AND feed_oldest IS NOT NULL AND item_created < least({ago('180')}, feed_oldest - INTERVAL 7 DAY), FALSE)"""
+
+
 def _keys_of(feeds, items, rules, tags):
     """The keys of all rows of the four tables."""
     def keys(name, df, key):
@@ -362,6 +391,7 @@ QUERIES = {
         lambda m: M.clear_old_content(m.items, AS_OF).select("item_uid", "item_content"),
         with_model(f"""SELECT item_uid, CASE WHEN item_rating < 0 AND item_created < {ago('7')} THEN '' ELSE item_content END AS item_content
         FROM items""", "items")),
+    "item_store": (_item_store, with_model(ITEM_STORE_SQL, "items", "feeds", "events")),
     "expire_items": (
         lambda m: M.expire_items(m.items, m.feeds, AS_OF).select("item_uid"),
         with_model(f"""SELECT item_uid FROM items LEFT JOIN feeds ON item_feed_uid = feed_uid
