@@ -210,7 +210,8 @@ def match_wordless(scoped: DataFrame, rules: DataFrame) -> DataFrame:
     keys = F.when(F.col("exempt"), own).otherwise(F.array(F.lit(-1).cast("long"), "item_feed_uid"))
     return (
         scoped.select("item_uid", F.explode(keys).alias("scope_key"))
-        .join(lowest, "scope_key")
+        # A row a feed with such a rule, and one for the global ones, which all articles would meet in one task otherwise.
+        .join(broadcast_if_small(lowest), "scope_key")
         .select("item_uid", F.when(F.col("scope_key") == -1, SCOPE_GLOBAL).otherwise(SCOPE_FEED).alias("scope"),
                 F.col("r.rule_uid").alias("rule_uid"), F.col("r.side").alias("side"))
     )
@@ -339,20 +340,28 @@ def with_lookups(
 
     ``link_already``: the article's link is known among ``links``;
     ``page_text``: what ``pages`` (url, html) holds for the link, or nothing;
-    ``item_tags``, also called ``category``: the article's tags in order.
+    ``item_tags``, also called ``category``: the article's tags in order. What is looked up by link is found on (item_uid, link) and
+    brought to the articles by their id, measured for broadcast.
     """
-    if tags is not None and any("item_tags" in text or "category" in text for text in texts):
+    def named(*names: str) -> bool:
+        return any(name in text for text in texts for name in names)
+
+    narrow = fields.select("item_uid", "link")
+    if tags is not None and named("item_tags", "category"):
         own = tags.groupBy(F.col("tag_item_uid").alias("item_uid")).agg(F.array_sort(F.collect_set("tag_name")).alias("item_tags"))
         none = F.array().cast("array<string>")
         fields = fields.join(broadcast_if_small(own), "item_uid", "left").withColumn("item_tags", F.coalesce("item_tags", none))
         fields = fields.withColumn("category", F.col("item_tags"))
-    if links is not None and any("link_already" in text for text in texts):
-        seen = link_seen(fields.select(F.col("link").alias("url")), links).select(
-            F.col("url").alias("link"), F.lit(True).alias("link_already"))
-        fields = fields.join(seen, "link", "left").withColumn("link_already", F.coalesce("link_already", F.lit(False)))
-    if pages is not None and any("page_text" in text for text in texts):
-        known = pages.groupBy(F.col("url").alias("link")).agg(F.max("html").alias("page_text"))
-        fields = fields.join(known, "link", "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
+    if links is not None and named("link_already"):
+        seen = link_seen(narrow.select(F.col("link").alias("url")), links).select(F.col("url").alias("link"))
+        known = narrow.join(broadcast_if_small(seen), "link", "left_semi").select("item_uid", F.lit(True).alias("link_already"))
+        fields = fields.join(broadcast_if_small(known), "item_uid", "left")
+        fields = fields.withColumn("link_already", F.coalesce("link_already", F.lit(False)))
+    if pages is not None and named("page_text"):
+        wanted = pages.join(broadcast_if_small(narrow.select(F.col("link").alias("url")).distinct()), "url", "left_semi")
+        held = wanted.groupBy(F.col("url").alias("link")).agg(F.max("html").alias("page_text"))
+        texts_of = narrow.join(held, "link").select("item_uid", "page_text")
+        fields = fields.join(broadcast_if_small(texts_of), "item_uid", "left").withColumn("page_text", F.coalesce("page_text", F.lit("")))
     return fields
 
 
@@ -454,6 +463,16 @@ def rate(items: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
+def verdict_changes(first: DataFrame) -> DataFrame:
+    """The same as changes for a store (:mod:`feedloom.sources.item_store`): the filtered articles with their rules.
+
+    At any number of verdicts no text moves: the store merges them in equal buckets.
+    """
+    return first.select(
+        "item_uid", F.lit(FILTERED).alias("item_rating"), F.col("rule_uid").alias("item_rule_uid"), F.col("side").alias("item_rule_side")
+    )
+
+
 def make_rules(requests: DataFrame, items: DataFrame) -> DataFrame:
     """Rules from what a reader typed.
 

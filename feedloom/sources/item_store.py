@@ -18,8 +18,11 @@ from feedloom import schema
 
 BUCKETS = 32
 #: What a change can set; a null leaves a field as it is. ``cleared`` empties the content, ``deleted`` removes the article.
-CHANGES = "item_uid long, version long, item_rating int, item_rated timestamp, updated timestamp, cleared boolean, deleted boolean"
-FIELDS = ("item_rating", "item_rated", "updated", "cleared", "deleted")
+CHANGES = (
+    "item_uid long, version long, item_rating int, item_rated timestamp, item_rule_uid long, item_rule_side string, updated timestamp, "
+    "cleared boolean, deleted boolean"
+)
+FIELDS = ("item_rating", "item_rated", "item_rule_uid", "item_rule_side", "updated", "cleared", "deleted")
 
 
 class Store(NamedTuple):
@@ -79,7 +82,7 @@ def merged(spark: SparkSession, store: Store) -> DataFrame:
         F.max_by(f, F.when(F.col(f).isNotNull(), F.col("version"))).alias(f"new_{f}") for f in FIELDS
     ])
     joined = items.join(latest, "item_uid", "left").where(~F.coalesce("new_deleted", F.lit(False)))
-    values = {f: F.coalesce(f"new_{f}", f) for f in ("item_rating", "item_rated")}
+    values = {f: F.coalesce(f"new_{f}", f) for f in ("item_rating", "item_rated", "item_rule_uid", "item_rule_side")}
     values["updated"] = F.greatest("updated", "new_updated")
     values["item_content"] = F.when(F.coalesce("new_cleared", F.lit(False)), F.lit("")).otherwise(F.col("item_content"))
     return joined.select(*[values.get(c, F.col(c)).alias(c) for c in items.columns])

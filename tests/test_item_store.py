@@ -71,3 +71,15 @@ def test_attached_from_files(spark, store):
     again = IS.attach(spark, store.name, store.path, store.buckets)
     assert rows(IS.merged(spark, again)) == want
     assert IS.merged(spark, again).where(F.col("item_uid") == 5).isEmpty()
+
+
+def test_verdicts_of_rules(spark, m, tmp_path):
+    from feedloom.operators import rules as R
+
+    unread = m.items.withColumns({"item_rating": F.lit(0), "item_rule_uid": F.lit(None).cast("long")})
+    store = IS.create(unread, f"t{uuid.uuid4().hex}", str(tmp_path / "store"), buckets=4)
+    first = R.first_rule(R.match_tag(R.scope_keys(unread, m.feeds), m.tags, m.rules).unionByName(
+        R.match_exactword(R.item_words(R.scope_keys(unread, m.feeds)), m.rules)))
+    IS.add_changes(R.verdict_changes(first), store, 1)
+    want = R.rate(unread, first).drop("feed_filter_hit")
+    assert rows(IS.merged(spark, store).select(*want.columns)) == rows(want)
