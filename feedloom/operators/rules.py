@@ -27,7 +27,7 @@ from feedloom.operators.links import link_seen
 from feedloom.operators.phrases import phrase_matches
 from feedloom.operators.sizing import broadcast_if_small
 from feedloom.schema import FILTERED, UNREAD
-from feedloom.session import durable
+from feedloom.session import durable, together
 
 SCOPE_GLOBAL, SCOPE_FEED, SCOPE_FEED_FILTER = 0, 1, 2
 
@@ -421,15 +421,15 @@ def match_rules(
     live = active_rules(rules, as_of)
     scoped = scope_keys(items, feeds)
     tokens = item_words(scoped)
-    parts = [
-        match_keywords(tokens, live),
-        match_wordless(scoped, live),
-        match_phrases(scoped, live),
-        match_tag(scoped, tags, live),
-        match_author(scoped, live),
-        match_expr(scoped, feeds, live, links, pages, tags),
-        match_feed_filter(scoped, feeds, links, pages, tags),
-    ]
+    parts = together([
+        lambda: match_keywords(tokens, live),
+        lambda: match_wordless(scoped, live),
+        lambda: match_phrases(scoped, live),
+        lambda: match_tag(scoped, tags, live),
+        lambda: match_author(scoped, live),
+        lambda: match_expr(scoped, feeds, live, links, pages, tags),
+        lambda: match_feed_filter(scoped, feeds, links, pages, tags),
+    ])
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,3 +107,12 @@ def durable(df: DataFrame) -> DataFrame:
         written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def together(builds: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """The frames of several builds that write tables on their way, at the same time: their small jobs share the cluster.
+
+    They write into the ``scratch`` block of the caller, if there is one.
+    """
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [future.result() for future in [pool.submit(copy_context().run, build) for build in builds]]
