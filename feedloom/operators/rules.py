@@ -544,7 +544,7 @@ def highlight(view: DataFrame, rules: DataFrame) -> DataFrame:
             else:
                 patterns = [_word_pattern(w, False) for w in found]
         elif len(kind) == 2:
-            patterns = [(java_quote(text) if kind[1] == "phrase" else "(?i:" + java_quote(text) + ")") + OUTSIDE_TAGS]
+            patterns = [(java_quote(text) if kind[1] == "phrase" else "(?iu:" + java_quote(text) + ")") + OUTSIDE_TAGS]
         else:
             patterns = []
         side = kind[0] if len(kind) == 2 else None

@@ -131,13 +131,20 @@ def _probes(m):
         m.items.select(F.substring_index("item_link", "/", 3).alias("url")))
 
 
-def _marked(text: str, word: str) -> str:
-    """The first whole ``word`` outside tags wrapped: whatever comes before it is tags and other characters."""
+def _marked(text: str, word: str, begins: bool = False) -> str:
+    """The first whole ``word`` outside tags wrapped, or one that ``begins`` so: whatever comes before it is tags and other characters."""
     before = r"(?:(?:<[^>]*>|[^<])*?(?:<[^>]*>|[^\p{L}\p{N}<]))?"
-    pattern = f"(?s)^({before})({H.highlight_pattern(word)})([^\\p{{L}}\\p{{N}}]|$)"
+    rest = r"[\p{L}\p{N}]*" if begins else ""
+    pattern = f"(?s)^({before})({H.highlight_pattern(word)}{rest})([^\\p{{L}}\\p{{N}}]|$)"
     return f"regexp_replace({text}, {sql_text(pattern)}, '\\1<span class=\"filter-highlight\">\\2</span>\\3')"
 
 
+def _marked_all(text: str, *stems: str) -> str:
+    for stem in stems:
+        text = _marked(text, stem, True)
+    return text
+
+
 def _sides(target: str) -> tuple[str, ...]:
     return ("title", "content") if target == "union" else (target,)
 
@@ -189,24 +196,28 @@ QUERIES = {
           rule_uid AS item_rule_uid, side AS item_rule_side, coalesce(scope = 2, FALSE) AS feed_filter_hit
         FROM items LEFT JOIN first USING (item_uid)""", *NEEDS, extra=VERDICT_CTES)),
     "highlight": (
-        lambda m: R.highlight(R.rate(m.texts, R.first_rule(
-            R.match_tag(_scoped(m), m.tags, _live(m)).unionByName(R.match_author(_scoped(m), _live(m)))
-            .unionByName(R.match_phrase(_scoped(m), _live(m))).unionByName(R.match_exactword(_tokens(m), _live(m)))
-        )), m.rules).where("item_rating = -2").select("item_uid", "item_rule_uid", F.col("item_content").alias("content"),
+        # Every kind of rule that filters an article.
+        lambda m: R.highlight(R.rate(m.texts, R.first_rule(_match_all_rules(m))), m.rules).where("item_rating = -2").select(
+            "item_uid", F.coalesce("item_rule_uid", F.lit(0)).alias("item_rule_uid"), F.col("item_content").alias("content"),
             F.contains("item_title", F.lit('<span class="filter-highlight">')).alias("in_title")),
         with_model(f"""SELECT item_uid, f.rule_uid AS item_rule_uid,
-          CASE WHEN rule_type = 'tag' THEN item_content || '<br><p>Filtered for tag <span class="item tag highlighted">' || lower(rule_text) || '</span></p>'
+          CASE WHEN scope = 2 THEN item_content || '<br><p>Filtered by feed-specific rule</p>'
+            WHEN rule_type = 'python' THEN item_content || '<br><p>Filtered by rule ' || f.rule_uid || '</p>'
+            WHEN rule_type = 'tag' THEN item_content || '<br><p>Filtered for tag <span class="item tag highlighted">' || lower(rule_text) || '</span></p>'
             WHEN rule_type = 'author' THEN item_content || '<br><p>Filtered for author <span class="author tag highlighted">' || lower(rule_text) || '</span></p>'
-            WHEN rule_type LIKE '%phrase' AND side = 'content' THEN
-              left(item_content, strpos(item_content, rule_text) - 1) || '<span class="filter-highlight">' || rule_text || '</span>'
-                || substr(item_content, strpos(item_content, rule_text) + length(rule_text))
+            WHEN contains(rule_type, 'phrase') AND side = 'content' THEN
+              left(item_content, place - 1) || '<span class="filter-highlight">' || substr(item_content, place, length(rule_text)) || '</span>'
+                || substr(item_content, place + length(rule_text))
+            WHEN f.rule_uid = 2 THEN {_marked_all('item_content', 'disgust', 'ering')}
             WHEN f.rule_uid = 5 THEN {_marked(_marked('item_content', 'elle'), 'para')}
             WHEN f.rule_uid = 6 AND side = 'content' THEN {_marked('item_content', 'nicht')}
+            WHEN f.rule_uid = 8 THEN {_marked_all('item_content', 'ere', 'one', 'thes')}
+            WHEN f.rule_uid = 9 AND side = 'content' THEN {_marked_all('item_content', 'sich', 'und')}
             ELSE item_content END AS content,
-          coalesce(side = 'title', FALSE) AS in_title
-        FROM first f JOIN items USING (item_uid) JOIN rules r ON r.rule_uid = f.rule_uid""", *NEEDS,
-            extra=",".join((LIVE_SQL, STEMS_SQL, "matches AS (" + " UNION ALL ".join(
-                f"SELECT * FROM ({MATCHES[k]})" for k in ("tag", "author", "phrase", "exactword")) + ")", FIRST_SQL)))),
+          CASE WHEN f.rule_uid = 1 THEN item_title <> {_marked('item_title', 'one', True)} ELSE coalesce(side = 'title', FALSE) END AS in_title
+        FROM (SELECT f.*, i.*, r.rule_type, r.rule_text, CASE WHEN rule_type LIKE '%phrase' THEN strpos(item_content, rule_text)
+            WHEN rule_type LIKE '%phrase_lc' THEN strpos(lower(item_content), rule_text) END AS place
+          FROM first f JOIN items i USING (item_uid) LEFT JOIN rules r ON r.rule_uid = f.rule_uid) f""", *NEEDS, extra=VERDICT_CTES)),
     "make_rules": (
         lambda m: R.make_rules(_requests(m), m.items),
         with_model(f"""SELECT CASE WHEN match IN ('tag', 'author') THEN match ELSE 'title_' || match END AS rule_type,
