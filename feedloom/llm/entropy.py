@@ -21,11 +21,13 @@ rows give equal results; an empty table gives no rows; other columns take no par
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.binding import let
 from feedloom.llm.common import text_of
 
 NAMES = "password|passwd|secret|token|api_?key"
@@ -59,21 +61,50 @@ KINDS = ("assign", "access", "hex", "entropy")
 SPAN = "struct<start: int, kind: int, end: int>"
 
 
+#: Elements that are folded into one list before it is added to the others: adding to a list copies it.
+CHUNK = 256
+
+
+def _scanned(values: Column, carry: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """A scan: ``step`` gives the next carry and an array of results (of type ``kind``) for each of ``values``.
+
+    The list is worked on in chunks, so its cost grows with its length and not with the square of it.
+    """
+    lists, none = f"array<array<{kind}>>", F.array().cast(f"array<{kind}>")
+
+    def chunk(state: Column, own: Column) -> Column:
+        def one(inner: Column, value: Column) -> Column:
+            after, found = step(inner["carry"], value)
+            return F.struct(after.alias("carry"), F.concat(inner["out"], found).cast(f"array<{kind}>").alias("out"))
+
+        return F.aggregate(
+            own, F.struct(state["carry"].alias("carry"), none.alias("out")), one,
+            lambda done: F.struct(done["carry"].alias("carry"), F.array_append(state["out"], done["out"]).cast(lists).alias("out")),
+        )
+
+    def whole(bound: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(bound), F.lit(1)), F.lit(CHUNK))
+        chunks = F.transform(starts, lambda at: F.slice(bound, at, F.lit(CHUNK)))
+        return F.aggregate(
+            chunks, F.struct(carry.alias("carry"), F.array().cast(lists).alias("out")), chunk, lambda done: F.flatten(done["out"])
+        )
+
+    return let(values, whole)
+
+
 def places(text: Column, pattern: str) -> Column:
     """(start, end, found) of all matches of a pattern: the text is cut by it, and lengths are summed."""
     cut, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start: int, end: int, found: string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+    kind = "struct<start: int, end: int, found: string>"
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["0"])
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        begin = at + F.length(pair["0"])
         end = begin + F.length(pair["1"])
-        span = F.struct(begin.alias("start"), end.alias("end"), pair["1"].alias("found"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).cast(kind).alias("spans"))
+        return end, F.array(F.struct(begin.alias("start"), end.alias("end"), pair["1"].alias("found")))
 
-    pairs = F.zip_with(F.slice(cut, 1, F.size(found)), found, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    walked = F.aggregate(pairs, start, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(kind))
+    pairs = let(found, lambda own: F.zip_with(F.slice(cut, 1, F.size(own)), own, lambda a, b: F.struct(a.alias("0"), b.alias("1"))))
+    walked = _scanned(pairs, F.lit(0), kind, step)
+    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def entropy_spans(found: Column, kind: CharacterClass) -> Column:
@@ -155,8 +186,15 @@ def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow:
     rows = rows.withColumn("base", base).withColumn(
         "more", F.array_distinct(F.concat(*[of_class(k, c) for k, c in enumerate(classes)]))
     )
-    inside = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
-    everything = F.array_sort(F.concat("base", F.filter("more", lambda x: ~inside(x))))
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        """In order of start, base kinds first, a span lies in a base span if one before it reaches as far."""
+        is_base = x["kind"] < len(KINDS) - 1
+        stays = is_base | (x["end"] > reach)
+        return F.when(is_base, F.greatest(reach, x["end"])).otherwise(reach), F.when(stays, F.array(x)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    everything = F.when(F.size("more") == 0, F.col("base")).otherwise(
+        _scanned(F.array_sort(F.concat("base", "more")), F.lit(0), SPAN, step)
+    )
     return rows.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(everything).alias("spans"),

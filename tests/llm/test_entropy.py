@@ -88,3 +88,21 @@ def test_native_and_empty(spark, no_docs):
     assert entropy.scan(no_docs).count() == 0
     plan = entropy.scan(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_very_many_matches(spark):
+    """In chunks, and with time in proportion: 16,000 matches took most of a minute when every match copied the list."""
+    import time
+
+    rng = random.Random(9)
+    line = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(30))
+    texts = [" ".join(line() for _ in range(n)) for n in (1, 255, 256, 257, 600)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    took = []
+    for n in (4_000, 16_000):
+        docs = spark.createDataFrame([(1, " ".join(line() for _ in range(n)))], "doc_id long, text string")
+        begin = time.perf_counter()
+        (row,) = entropy.scan(docs).collect()
+        took.append(time.perf_counter() - begin)
+        assert row["n_hex"] == n
+    assert took[1] < 10 * took[0] + 5
