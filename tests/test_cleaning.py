@@ -1,6 +1,7 @@
 """Cleaning filters and discovery on inline HTML."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,24 @@ def test_strip(spark, content, filters, expected):
     assert clean(spark, filters, content)["content"] == expected
 
 
+@pytest.mark.parametrize("content,filters,expected", [
+    ("the " * 20000 + "b", [strip("the the ", "", "the ", True)], "the b"),
+    ("a" * 300 + "b" * 300 + "c", [strip("ab", "", "", True)], "c"),
+    ("xaab", [strip("a", "", "a", True)], "xaab"),
+])
+def test_repeated(spark, content, filters, expected):
+    assert clean(spark, filters, content)["content"] == expected
+
+
+def test_repeated_time(spark):
+    """A repeated filter doesn't search a long text once a character."""
+    texts = spark.range(200).selectExpr("'g' as guid", "'l' as link", "'t' as title", "concat('the the ', repeat('word ', 20000), id) as content")
+    start = time.perf_counter()
+    found = C.clean(texts, [strip("the the ", "", "the ", True)])
+    assert found.where("content like 'the word %'").count() == 200
+    assert time.perf_counter() - start < 60
+
+
 def test_limit(spark):
     spec = ("limit", "example.com", strip("<form.*?</form>", "si"))
     html = "x<form></form>y"
