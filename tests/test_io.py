@@ -10,6 +10,7 @@ from feedloom.operators import maintain as M
 from feedloom.operators import search as Q
 from feedloom.operators import token_index as TI
 from feedloom.operators import stats as A
+from feedloom.plans.io_queries import _stream
 from feedloom.plans.model import AS_OF
 from feedloom.session import durable, shared_folder
 from feedloom.sources import exports as X
@@ -136,6 +137,19 @@ def test_refresh_stream(spark, m, lake):
     assert J.current_feeds(spark, lake).count() == m.feeds.count()
 
 
+@pytest.mark.parametrize("partitions,files", [(7, [4, 3]), (1, [1, 1])])
+def test_stream_of_many_files(spark, m, lake, partitions, files):
+    """A table becomes two batches in the files it comes in: only one of too few is dealt to two tasks."""
+    found = []
+
+    def read(batch, _):
+        found.append([r["f"] for r in batch.select("id", F.input_file_name().alias("f")).collect()])
+
+    stream = _stream(m, spark.range(0, 1000, 1, partitions))
+    stream.writeStream.foreachBatch(read).option("checkpointLocation", f"{lake}/cp").trigger(availableNow=True).start().awaitTermination()
+    assert [len(set(b)) for b in found] == files and sum(len(b) for b in found) == 1000
+
+
 def test_unseen_entries(spark):
     """The last copy of a batch counts, sightings renew the time, a day later a GUID is forgotten."""
     def batch(*rows):
