@@ -218,6 +218,24 @@ def test_error_stream_writes_touched_feeds_only(spark, lake):
     assert got == {(1, 1, 2, False), (2, 3, 3, True), (3, 0, 0, False)}
 
 
+def test_seen_step_writes_no_text(spark, lake):
+    """What was seen is found by keys: beside the batch itself no copy of its text is written."""
+    rows = durable(spark.range(2000).select(
+        F.lit(1).cast("long").alias("feed_uid"), F.col("id").alias("position"), F.col("id").cast("string").alias("guid"),
+        F.concat(*[F.sha2(F.concat(F.col("id"), F.lit(f"-{i}")), 512) for i in range(20)]).alias("content")))
+    shared = os.path.dirname(shared_folder(spark).removeprefix("file:"))
+    before = set(os.listdir(shared))
+    fresh = J._with_seen(rows, 0, lake, AS_OF)
+    written = sum(os.path.getsize(os.path.join(at, f)) for d in set(os.listdir(shared)) - before for at, _, names in os.walk(f"{shared}/{d}") for f in names)
+    assert written < 500_000 and fresh.count() == 2000
+
+
+def test_entries_need_one_exchange_of_text(m):
+    """Articles and their tags come from one scan: labels are all that is joined."""
+    plan = m.entries.select("content", "tags")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # one for each half of the batch
+
+
 def test_seen_batches_write_their_own_keys(spark, lake):
     columns = "feed_uid long, position long, guid string, title string"
     for n, (day, rows) in enumerate([
