@@ -56,7 +56,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 GENERATOR = 0b110001110101
 #: Members of a bucket that are compared with each other.
 BUCKET = 64
-PIECE = 1 << 18
+#: Bytes of text worked on at once: the bits of a word are 64 bytes a fingerprint, eight fingerprints of them 60 times the text.
+PIECE = 1 << 16
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:

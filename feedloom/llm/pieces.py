@@ -46,7 +46,7 @@ MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Words and pairs of pieces a task keeps; beyond that it starts anew.
 KNOWN = 500_000
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class Model:
@@ -255,9 +255,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(model)
         for batch in batches:
-            for start, end, data, offsets in text_pieces(batch, at, PIECE):
-                texts = [str(data[a:b], "utf-8") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                ids, counts = encoder.encode(texts)
+            for start, end, _, ids, counts in _encoded(encoder, batch, at):
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
                 own = batch.slice(start, end - start)
@@ -266,6 +264,13 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def _encoded(encoder, batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """Runs of rows of the batch: first, end, texts (empty for null), their ids one after the other, and how many each has."""
+    for start, end, data, offsets in text_pieces(batch, at, PIECE):
+        texts = [str(data[a:b], "utf-8") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield start, end, texts, *encoder.encode(texts)
+
+
 def decode(rows: DataFrame, model: str) -> DataFrame:
     """``rows`` with the column ``decoded``, the text of their ``ids``."""
     small_batches(rows.sparkSession)
@@ -314,20 +319,23 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
 def ids_of(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, source, n_ids and ids: what a training run reads; and whether the ids, decoded, give the text back."""
-    rows = encode(docs.select("doc_id", "source", "text"), model)
+    rows = docs.select("doc_id", "source", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = load(model)
+        # Encoded and decoded by one worker, which holds the model and its words once.
+        encoder = load(model)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            own = list(zip(texts, _lists(batch.column(3)), strict=True))
-            sizes = pa.array([len(ids) for _, ids in own], pa.int32())
-            exact = pa.array([decoder.decode(ids.tolist()) == (text or "") for text, ids in own], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), sizes, batch.column(3), exact], ["doc_id", "source", "n_ids", "ids", "exact"])
-
-    fields = rows.schema
+            for start, end, texts, ids, counts in _encoded(encoder, batch, 2):
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
+                exact = [encoder.decode(x.tolist()) == text for text, x in zip(texts, _lists(lists), strict=True)]
+                own = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(1), pa.array(counts, pa.int32()), lists, pa.array(exact, pa.bool_())],
+                    ["doc_id", "source", "n_ids", "ids", "exact"])
+
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, T.StructType([
-        fields["doc_id"], fields["source"], T.StructField("n_ids", T.IntegerType()), fields["ids"],
-        T.StructField("exact", T.BooleanType()),
+        rows.schema["doc_id"], rows.schema["source"], T.StructField("n_ids", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType()),
     ]))

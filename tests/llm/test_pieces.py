@@ -111,3 +111,12 @@ def test_ids_are_decoded_too(spark):
         text = texts[r["doc_id"]] or ""
         assert r["ids"] == library.encode(text) and r["exact"] == (library.decode(r["ids"]) == text)
     assert {r["exact"] for r in found} == {True, False}
+
+
+def test_ids_of_uses_one_worker(spark):
+    """Ids and whether they decode to the text come from one pass: a task holds the model once."""
+    docs = spark.createDataFrame([(1, "a", "one two  three"), (2, None, ""), (3, "b", None)], "doc_id long, source string, text string")
+    found = pieces.ids_of(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert all(r["exact"] and r["n_ids"] == len(r["ids"]) for r in rows.values()) and [rows[i]["n_ids"] > 0 for i in (1, 2, 3)] == [True, False, False]
