@@ -10,7 +10,8 @@ from feedloom.functions import html as H
 from feedloom.functions import rule_helpers as RH
 from feedloom.functions import scalars as S
 from feedloom.functions import text as T
-from feedloom.functions.stemming import stem_start, with_stem
+from feedloom.functions.stemming import any_stem, stem_start, with_stem
+from feedloom.operators import rules as R
 from feedloom.operators import search as Q
 from feedloom.operators.stats import decay_weight
 
@@ -214,3 +215,20 @@ def test_resolve_url_as_urljoin(spark, base):
     for row in rows:
         if row["r"] not in ("", "//b.com/x/../y"):
             assert row["u"] == urljoin(base, row["r"]), row
+
+
+def test_any_stem_stems_few_words(spark):
+    """The same as the overlap of all stems; the words that are stemmed begin like a stem that is wanted."""
+    words = [*STEMS, "aing", "a's", "ied", "yed", "'tis", "ying", "dying", "skies", "x", "'s", "it's", "ünder", "a"]
+    stems = {**STEMS, **{r["word"]: r["stem"] for r in with_stem(spark.createDataFrame([(w,) for w in words], "word string")).collect()}}
+    df = spark.createDataFrame([(w, [w, "zzz"]) for w in words], "word string, ws array<string>")
+    for wanted in (["sky", "die", "hop"], ["a", "ti", "tis", "'s"], ["x", "The", "ünder", ".", "(?"], [""], []):
+        got = {r["word"]: r["hit"] for r in df.select("word", any_stem(F.col("ws"), wanted).alias("hit")).collect()}
+        assert got == {w: stems[w] in wanted for w in words}
+
+
+def test_membership_helpers_leave_most_words_unstemmed(m):
+    """Stemming all words of all texts was most of the work: the words are taken as they are and only near ones stemmed."""
+    df = R.with_rule_fields(m.texts).select(RH.any_of("union", "words", ["tion", "er"]).alias("hit"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(filter(" in plan and "transform(array_distinct(" not in plan
