@@ -451,3 +451,30 @@ def test_refused_texts_are_not_saved(spark):
                                     "feed_uid long, feed_title string, feed_filter string")
     assert {r["feed_uid"]: (r["feed_title"], r["feed_filter"]) for r in M.patch_feeds(feeds, patches).collect()} == {
         0: ("T", "title = 'a'"), 1: ("t", None), 2: ("t", "length(content) > 3"), 3: ("U", "title = 'a'")}
+
+
+def test_any_word_stems_few_words(spark):
+    """A list of literals is compared with the stems of the words that begin like it; all words of a text were stemmed."""
+    assert expression(spark, "any_word(title_words, array('absent', 'run'))", title="Running home")
+    assert expression(spark, "NOT any_word(title_words, array('running'))", title="Running home")
+    assert not expression(spark, "any_word(title_words, array('run', null)) IS NULL", title="Running home")
+    fields = R.rule_fields(spark)
+    plan = fields.select(R.expr_rule(fields, "any_word(title_words, array('run'))"))._jdf.queryExecution().analyzed().toString()
+    assert "arrays_overlap" not in plan
+
+
+def test_rules_reach_words_by_their_beginning(spark, small):
+    """Words are narrowed by two letters before they are kept: exceptions, stems of a letter and short words stay in reach."""
+    _, feeds, tags = small
+    titles = ["Dying skies", "a's aing", "x", "it's ties", "zebra", "Running"]
+    items = spark.createDataFrame(
+        [(i, 1, t, "none", "Unknown", "http://a") for i, t in enumerate(titles)],
+        "item_uid long, item_feed_uid long, item_title string, item_content string, item_creator string, item_link string")
+    rules = spark.createDataFrame([
+        (1, "title_word", None, None, "die"), (2, "title_word", None, None, "a"), (3, "title_exactword", None, None, "x"),
+        (4, "title_all", None, None, "it tie"), (5, "title_word", None, None, "runs")], RULE_SCHEMA)
+    tokens = R.item_words(R.scope_keys(items, feeds))
+    kept = R._beginning(tokens, rules, R.KEYWORD_KINDS)
+    assert {r["word"] for r in kept.collect()} == {"dying", "a's", "aing", "x", "it's", "ties", "running"}
+    narrowed, whole = (sorted(map(tuple, R.match_keywords(tokens, rules, v).collect())) for v in (None, R.vocabulary(tokens)))
+    assert narrowed == whole and {(r[0], r[2]) for r in narrowed} == {(0, 1), (1, 2), (2, 3), (3, 4), (5, 5)}
