@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import by_size, small_batches, text_pieces
 from feedloom.llm.components import components
-from feedloom.session import durable
+from feedloom.session import TEXT, durable
 
 SEED = 42
 #: First bit and width of the segments.
@@ -171,11 +171,45 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SE
     return docs.select(F.col(key), F.col("text")).mapInArrow(run, f"{key} long, prints array<long>")
 
 
+#: Columns of what ``links`` finds: members of large buckets (kind, print, node), and links (a, b).
+FOUND = ["kind", "print", "a", "b"]
+
+
+def _joined(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, several small ones together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(held[0].num_columns)]
+            held = []
+    if held:
+        yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(held[0].num_columns)]
+
+
+def _met(key: np.ndarray, prints: np.ndarray, node: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The links of the rows of each run [start, end)."""
+    prints = prints.view(np.uint64)
+    two = starts[ends - starts == 2]
+    two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= 2]
+    found_a, found_b = [node[two]], [node[two + 1]]
+    more = ends - starts > 2
+    for lo, hi in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
+        a, b = nearest_links(prints[lo:hi])
+        if a:
+            found_a.append(node[lo:hi][a])
+            found_b.append(node[lo:hi][b])
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], FOUND)
+
+
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of nodes whose fingerprints differ in two bits or fewer; they join all such nodes.
 
     ``nodes`` has distinct fingerprints: kind (int), print, node (long); only
-    fingerprints of one kind are compared. It should be cheap to read twice.
+    fingerprints of one kind are compared.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,35 +217,33 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
             kind, prints, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             place, keys = keys_of(prints.view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys | kind[place].astype(np.int64) << 36), pa.array(kind[place]), pa.array(prints[place]), pa.array(node[place])],
-                ["key", "kind", "print", "node"],
+                [pa.array(keys | kind[place].astype(np.int64) << 36), pa.array(prints[place]), pa.array(node[place])],
+                ["key", "print", "node"],
             )
 
-    keys = nodes.select("kind", "print", "node").mapInArrow(keyed, "key long, kind int, print long, node long")
-    sizes = by_size(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    # Keys are cheap to make again, and many: they are joined twice rather than written.
-    small = keys.join(sizes.where(F.col("n") <= bucket), "key").groupBy("key").agg(
-        F.collect_list(F.struct("print", "node")).alias("own")
-    )
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0)
-            ends = own.offsets.to_numpy()
-            prints = own.values.field("print").to_numpy().view(np.uint64)
-            node = own.values.field("node").to_numpy()
-            found_a, found_b = [], []
-            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                a, b = nearest_links(prints[lo:hi])
-                if a:
-                    found_a.append(node[lo:hi][a])
-                    found_b.append(node[lo:hi][b])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-
-    pairs = small.select("own").mapInArrow(compared, "a long, b long")
-
-    large = keys.join(sizes.where(F.col("n") > bucket), "key").select("kind", "print", "node").distinct()
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of key. Of a key that goes on in the next batch no more than ``bucket`` rows are held."""
+        held, large_key = tuple(np.zeros(0, np.int64) for _ in range(3)), None
+        for rows in _joined(batches):
+            key, prints, node = (np.concatenate(x) for x in zip(held, rows, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            large = (ends - starts > bucket) | (key[starts] == large_key)
+            large_key = int(key[-1]) if large[-1] else None
+            held = tuple(x[len(x) if large[-1] else starts[-1] :] for x in (key, prints, node))
+            yield from _met(key, prints, node, starts[:-1][~large[:-1]], ends[:-1][~large[:-1]])
+            of = np.repeat(large, ends - starts)
+            if of.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key[of] >> 36).astype(np.int32)), pa.array(prints[of]), pa.array(node[of]), pa.nulls(int(of.sum()), pa.int64())], FOUND)
+        if len(held[0]):
+            yield from _met(*held, np.array([0]), np.array([len(held[0])]))
+
+    keys = nodes.select("kind", "print", "node").mapInArrow(keyed, "key long, print long, node long")
+    # Keys are many: they are moved once, and rows that meet follow each other.
+    found = durable(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "kind int, print long, a long, b long"))
+    pairs = found.where("print is null").select("a", "b")
+    large = found.where("print is not null").select("kind", "print", F.col("a").alias("node")).distinct()
     near = F.expr("concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i)))")
     # At most 65 different fingerprints can be on a list.
     lists = large.select("kind", "node", F.explode(near).alias("near")).groupBy("kind", "near").agg(
@@ -311,8 +343,8 @@ def _profiles(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "__uid long, n long, s0 long, s1 long, keys array<long>")
 
 
-def _alike(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the edges (a, b) whose shingle sets have the Jaccard similarity. Shingles are 32-bit hashes here."""
+def _sets(texts: DataFrame, uids: DataFrame, shingle: int) -> DataFrame:
+    """__uid and the shingle set of the texts ``uids``. Shingles are sorted 32-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,8 +354,12 @@ def _alike(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(low)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), lists], ["__uid", "shingles"])
 
-    ends = edges.select(F.col("a").alias("__uid")).unionAll(edges.select(F.col("b").alias("__uid"))).distinct()
-    sets = durable(texts.join(by_size(ends), "__uid").select("__uid", "text").mapInArrow(run, "__uid long, shingles array<int>"))
+    return durable(texts.join(by_size(uids.distinct()), "__uid").select("__uid", "text").mapInArrow(run, "__uid long, shingles array<int>"))
+
+
+def _alike(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the edges (a, b) whose shingle sets have the Jaccard similarity."""
+    sets = _sets(texts, edges.select(F.col("a").alias("__uid")).unionAll(edges.select(F.col("b").alias("__uid"))), shingle)
     left, right = (sets.select(F.col("__uid").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - both
@@ -337,8 +373,8 @@ PROFILE_BITS = 42
 
 #: Rounds in which a band's texts are compared with one of them, before those still apart are with each other.
 ROUNDS = 2
-#: Texts of a band that one task compares with as many others.
-BLOCK = 1024
+#: Texts of a band that one task compares with as many others, and shingles of one, where their sets are compared.
+BLOCK, BLOCK_SHINGLES = 1024, 4096
 
 
 def _still_apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -361,39 +397,125 @@ def _with_one(rows: DataFrame, turn: int, similarity: float) -> DataFrame:
     )
 
 
-def _with_all(rows: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) of the texts of a band that are apart. Large bands are cut into blocks, each pair of them a group."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (key, __uid, size, weight, ...) in groups (key, p, q): large bands are cut into blocks, each pair of them a group."""
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / (block * BLOCK_SHINGLES))).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("__uid"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    groups = rows.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(
+    return rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("size", "weight", "other")
+
+
+def _may_be(i: int, j: slice, n: np.ndarray, s0: np.ndarray, s1: np.ndarray, root: np.ndarray, part: np.ndarray, two: bool, similarity: float) -> np.ndarray:
+    """Which of the rows ``j`` row ``i`` is apart from, of the other block where there are two, and may be alike."""
+    good = root[j] != root[i]
+    if two:
+        good &= part[j] != part[i]
+    good &= np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])
+    good &= np.bitwise_count((s0[j] ^ s0[i]).view(np.uint64)).astype(np.int16) + np.bitwise_count(
+        (s1[j] ^ s1[i]).view(np.uint64)) <= PROFILE_BITS
+    return good
+
+
+def _with_a_chance(rows: DataFrame, similarity: float, block: int) -> DataFrame:
+    """The ``rows`` that may be alike to another one of their band that they are apart from."""
+    groups = _in_blocks(rows.withColumn("weight", F.lit(0)), block).groupBy("key", "p", "q").agg(
         F.collect_list(F.struct("__uid", "n", "s0", "s1", "root", "own")).alias("all")
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0)
+            key, own = batch.column(0).to_numpy(), batch.column(1)
             ends = own.offsets.to_numpy().tolist()
             uid, n, s0, s1, root, part = (own.values.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+            chance = np.zeros(len(uid), bool)
             for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-                found_a, found_b = [], []
                 two = bool((part[lo:hi] != part[lo]).any())
                 for i in range(lo, hi):
                     j = slice(i + 1, hi)
-                    good = root[j] != root[i]
-                    if two:
-                        good &= part[j] != part[i]
-                    good &= np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i])
-                    good &= np.bitwise_count((s0[j] ^ s0[i]).view(np.uint64)).astype(np.int16) + np.bitwise_count(
-                        (s1[j] ^ s1[i]).view(np.uint64)) <= PROFILE_BITS
-                    b = uid[j][good]
-                    found_a.append(np.minimum(b, uid[i]))
-                    found_b.append(np.maximum(b, uid[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                    good = _may_be(i, j, n, s0, s1, root, part, two, similarity)
+                    chance[j] |= good
+                    chance[i] |= good.any()
+            keys = np.repeat(key, np.diff(ends))
+            found = [x[ends[0] : ends[-1]][chance[ends[0] : ends[-1]]] for x in (uid, n, s0, s1, root)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[chance[ends[0] : ends[-1]]]), *map(pa.array, found)], ["key", "__uid", "n", "s0", "s1", "root"])
 
     # Of one block with itself p = q; a group of two blocks may hold only one of them, and then no pair.
-    small = groups.where("p = q or (exists(all, x -> x.own = p) and exists(all, x -> x.own = q))")
-    return small.select("all").mapInArrow(compared, "a long, b long")
+    groups = groups.where("p = q or (exists(all, x -> x.own = p) and exists(all, x -> x.own = q))")
+    found = groups.select("key", "all").mapInArrow(compared, "key long, __uid long, n long, s0 long, s1 long, root long")
+    return durable(found.distinct())
+
+
+def forest(
+    sets: list[np.ndarray], n: np.ndarray, s0: np.ndarray, s1: np.ndarray, root: np.ndarray, part: np.ndarray, similarity: float
+) -> tuple[list[int], list[int]]:
+    """Places (a, b) of links that join all rows of ``sets`` alike, over what their roots join: fewer links than rows."""
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    root, two = root.copy(), bool((part != part[0]).any())
+    holds = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    found_a: list[int] = []
+    found_b: list[int] = []
+    for i in range(len(sets)):
+        others = i + 1 + np.flatnonzero(_may_be(i, slice(i + 1, None), n, s0, s1, root, part, two, similarity))
+        if not len(others):
+            continue
+        holds[own[i]] = True
+        both = np.array([np.count_nonzero(holds[own[j]]) for j in others.tolist()])
+        holds[own[i]] = False
+        for j in others[both >= similarity * (sizes[i] + sizes[others] - both)].tolist():
+            if root[j] != root[i]:
+                found_a.append(i)
+                found_b.append(j)
+                root[root == root[j]] = root[i]
+    return found_a, found_b
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one group after the other; they come in order of its ``width`` first columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in range(width)])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if held and [held[0].column(k)[0].as_py() for k in range(width)] != key[:, 0].tolist():
+            yield pa.concat_batches(held)
+            held = []
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _links_in_bands(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) that join all texts alike within a band. A group compares the shingle sets themselves and gives
+    fewer links than it has texts, however many pairs are alike or nearly so."""
+    rows = _with_a_chance(rows, similarity, block)
+    sizes = by_size(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")))
+    sets = _sets(texts, rows.select("__uid"), shingle)
+    groups = _in_blocks(rows.join(sizes, "key").join(sets, "__uid"), block)
+    groups = groups.select("key", "p", "q", "__uid", "n", "s0", "s1", "root", "own", "shingles")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_groups(batches, 3):
+            uid, n, s0, s1, root, part = (group.column(k).to_numpy() for k in range(3, 9))
+            shingles = group.column(9)
+            at, values = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            a, b = forest([values[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)], n, s0, s1, root, part, similarity)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(uid[a]), pa.array(uid[b])], ["a", "b"])
+
+    groups = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return durable(groups.mapInArrow(joined, "a long, b long"))
+
+
+def _more(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """Components of the groups (node, root) and more links (a, b)."""
+    return components(groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(found))
 
 
 def near_duplicates(
@@ -404,9 +526,10 @@ def near_duplicates(
     Candidates whose set sizes or 128-bit set fingerprints rule the similarity out are left aside. Every text is
     compared with its closest earlier SimHash candidate first; that joins most of each group. What is still apart is
     compared with the other candidates and with one text of each of its bands, by turns, and at last all texts of a
-    band that are still apart with each other, so that no link within a band is missing.
+    band that are still apart with each other, so that no link within a band is missing. There the sets are compared
+    in the band's own task, which gives links that join what is alike and no pairs.
     """
-    base = durable(docs.select(F.monotonically_increasing_id().alias("__uid"), F.struct(*docs.columns).alias("__doc")))
+    base = durable(docs.select(F.monotonically_increasing_id().alias("__uid"), F.struct(*docs.columns).alias("__doc")), **TEXT)
     texts = base.select("__uid", F.col("__doc.text").alias("text"))
     seeds = tuple(range(SEED, SEED + n_prints))
     prints = durable(fingerprints(texts, 1, seeds, "__uid").select("__uid", F.posexplode("prints").alias("kind", "print")))
@@ -425,9 +548,9 @@ def near_duplicates(
     first = _alike(closest, texts, shingle, similarity)
     groups, tried = components(first), closest
     rows = profiles.select("__uid", "n", "s0", "s1", F.explode("keys").alias("key"))
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         rows = _still_apart(rows, roots := by_size(groups))
-        pairs = _with_one(rows, turn, similarity) if turn < ROUNDS else _with_all(rows, similarity, block)
+        pairs = _with_one(rows, turn, similarity)
         if turn == 0:
             apart = near.select("a", "b")
             for c in "ab":
@@ -436,10 +559,12 @@ def near_duplicates(
             pairs = pairs.unionAll(apart.where("ra != rb").select("a", "b"))
         pairs = durable(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            groups = components(groups.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(
-                _alike(pairs, texts, shingle, similarity)))
+            groups = _more(groups, _alike(pairs, texts, shingle, similarity))
         tried = tried.unionAll(pairs)
         rows = rows.drop("root", "size")
+    rows = _still_apart(rows, by_size(groups))
+    if not rows.isEmpty():
+        groups = _more(groups, _links_in_bands(rows, texts, shingle, similarity, block))
     members = groups.unionAll(groups.select(F.col("root").alias("node"), "root").distinct())
     ids = base.select(F.col("__uid").alias("node"), F.col("__doc.doc_id").alias("doc_id")).join(members, "node")
     stays = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))

@@ -192,3 +192,40 @@ def test_links_left_after_the_check(spark, block):
     want, _ = kept_of(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in golay.near_duplicates(docs, block=block).collect()) == want
+
+
+@pytest.mark.parametrize("bucket", [8, 64])
+def test_links_over_many_batches(spark, bucket):
+    """Keys go on from one run of rows to the next, small and large ones."""
+    rng = np.random.default_rng(13)
+    centres = rng.integers(0, 1 << 63, 120, np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (120, 60, 2), np.uint64)
+    prints = np.unique((centres[:, None] ^ flips[..., 0] ^ flips[..., 1]).ravel())
+    pairs = [(a, b) for a in range(len(prints)) for b in (a + 1 + np.flatnonzero(np.bitwise_count(prints[a + 1 :] ^ prints[a]) <= 2)).tolist()]
+    nodes = spark.createDataFrame([(k, int(p), i + k * 10_000) for k in range(2) for i, p in enumerate(prints.view(np.int64))], "kind int, print long, node long")
+    found = {r["node"]: r["root"] for r in components(golay.links(nodes.coalesce(1), bucket)).collect()}
+    want = {n: r for n, r in roots(range(len(prints)), pairs).items() if n != r}
+    assert found == want | {n + 10_000: r + 10_000 for n, r in want.items()}
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_a_band_gives_no_pairs(spark, block):
+    """Texts of a band are joined by fewer links than there are texts in its groups, alike or not."""
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
+    words = [rng.choice(vocabulary) for _ in range(200)]
+    texts = []
+    for i in range(60):
+        copy = list(words)
+        copy[i] = "changed"
+        texts.append(copy)
+    texts += [words[:110] + [rng.choice(vocabulary) for _ in range(70)] for _ in range(60)]
+    texts = [" ".join(x) for x in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "__uid long, text string")
+    rows = golay._profiles(frame, 5).selectExpr("7L AS key", "__uid", "n", "s0", "s1", f"{len(texts)}L AS size", "__uid AS root")
+    found = [(r["a"], r["b"]) for r in golay._links_in_bands(rows, frame, 5, 0.8, block).collect()]
+    sets = [shingle_set(t) for t in texts]
+    alike = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {tuple(sorted(x)) for x in found} <= set(alike)
+    assert roots(range(len(texts)), found) == roots(range(len(texts)), alike)
+    assert len(alike) > 1000 and len(found) < (60 if block == 1024 else 10 * len(texts))
