@@ -10,8 +10,9 @@ from feedloom.operators import maintain as M
 from feedloom.operators import search as Q
 from feedloom.operators import token_index as TI
 from feedloom.operators import stats as A
+from feedloom.plans import io_queries
 from feedloom.plans.io_queries import _stream
-from feedloom.plans.model import AS_OF
+from feedloom.plans.model import AS_OF, model
 from feedloom.session import durable, shared_folder
 from feedloom.sources import exports as X
 from feedloom.sources import feeds as S
@@ -325,3 +326,18 @@ def test_declared_encoding_far_into_the_file(spark, tmp_path):
     (tmp_path / "far.opml").write_bytes((head + outline.format("Ã©")).encode("latin-1"))
     (tmp_path / "text.opml").write_bytes(('<?xml version="1.0"?><!-- encoding="ISO-8859-1" -->' + outline.format("é")).encode())
     assert {r["title"] for r in O.read_opml(spark, str(tmp_path)).collect()} == {"Ã©", "é"}
+
+
+def test_written_documents_are_listed_as_one_path(spark):
+    """However many files there are, Spark lists their folder and starts no job with a task for each."""
+    key, context = "spark.sql.sources.parallelPartitionDiscovery.threshold", spark.sparkContext
+    path = io_queries._as_rss(model(spark, "/root/testdata/sf0.01"))
+    spark.conf.set(key, "2")
+    context.setJobGroup("listing", "listing")
+    try:
+        documents = S.parsed_documents(spark.read, path)
+        assert len(documents.inputFiles()) > 10
+        assert not context.statusTracker().getJobIdsForGroup("listing")
+    finally:
+        spark.conf.unset(key)
+        context.setLocalProperty("spark.jobGroup.id", None)
