@@ -245,11 +245,13 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     pairs = found.where("print is null").select("a", "b")
     large = found.where("print is not null").select("kind", "print", F.col("a").alias("node")).distinct()
     near = F.expr("concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i)))")
-    # At most 65 different fingerprints can be on a list.
-    lists = large.select("kind", "node", F.explode(near).alias("near")).groupBy("kind", "near").agg(
-        F.min("node").alias("a"), F.collect_list("node").alias("all")
+    # At most 65 different fingerprints can be on a list. Two that are near each other share two lists: where they are
+    # alone on one, the list of the smaller fingerprint joins them, or the other if that has more.
+    lists = large.select("kind", "print", "node", F.explode(near).alias("near")).groupBy("kind", "near").agg(
+        F.min("node").alias("a"), F.collect_list("node").alias("all"), F.bit_xor("print").alias("both")
     )
-    stars = lists.where("size(all) > 1").select("a", F.explode("all").alias("b")).where("a != b")
+    lists = lists.where("size(all) > 2 or (size(all) = 2 and (both ^ near) > near)")
+    stars = lists.select("a", F.explode(F.array_remove("all", F.col("a"))).alias("b"))
     return pairs.unionAll(stars)
 
 
