@@ -9,10 +9,13 @@ for the codewords of the perfect binary Golay code within four bits of it,
 one bit apart share that codeword.
 
 Fingerprints that share a key are compared, bit by bit, in buckets of up to
-``BUCKET``, which give a spanning forest of their links. Members of larger buckets take an exact way that needs no pairs:
+``BUCKET``, which give a spanning forest of their links. Larger buckets take an exact way that needs no pairs:
 two fingerprints are within two bits just if they share a fingerprint one bit or less from
-both, and at most 65 fingerprints share one, so each is listed under its 65
-neighbours and joined to the smallest on each list.
+both, so the bucket's task lists each under its neighbours, by the bits that vary in the bucket,
+and gives a spanning forest of what the lists join: fewer links than members.
+A bucket of over ``MOST`` is not held in a task. The bits that its members don't share by the
+key's exact segment are cut into three parts, of which two bits in error leave one alone, and its members are
+dealt again by the exact segment and each part, and so on: 43 free bits become 29, 20 and 14.
 
 Different texts with one fingerprint are one node; nodes are named by their
 smallest id. Groups are connected components (``components``).
@@ -56,6 +59,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 GENERATOR = 0b110001110101
 #: Members of a bucket that are compared with each other.
 BUCKET = 64
+#: Members of a bucket that one task holds. Of 14 free bits there are no more fingerprints.
+MOST = 1 << 14
 #: Bytes of text worked on at once: the bits of a word are 64 bytes a fingerprint, eight fingerprints of them 60 times the text.
 PIECE = 1 << 16
 
@@ -171,8 +176,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (SE
     return docs.select(F.col(key), F.col("text")).mapInArrow(run, f"{key} long, prints array<long>")
 
 
-#: Columns of what ``links`` finds: members of large buckets (kind, print, node), and links (a, b).
-FOUND = ["kind", "print", "a", "b"]
+#: Columns of what ``links`` finds: members of buckets to be dealt again (of, print, node), and links (a, b).
+FOUND = ["of", "print", "a", "b"]
+
+
+@functools.cache
+def parts_of(path: int, depth: int) -> tuple[int, int, int]:
+    """Masks of three parts of the bits that members of a bucket need not share.
+
+    ``path`` has two bits for the exact segment of its key and for the part of each of the ``depth`` times it was dealt again.
+    """
+    if depth:
+        parts = parts_of(path >> 2, depth - 1)
+        left = sum(parts) - parts[path & 3]
+        free = [1 << b for b in range(64) if left >> b & 1]
+    else:
+        free = [1 << b for k, (at, width) in enumerate(SEGMENTS) if k != path for b in range(at, at + width)]
+    return tuple(sum(free[k::3]) for k in range(3))
 
 
 def _joined(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[list[np.ndarray]]:
@@ -188,7 +208,7 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[
         yield [np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(held[0].num_columns)]
 
 
-def _met(key: np.ndarray, prints: np.ndarray, node: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _met(prints: np.ndarray, node: np.ndarray, starts: np.ndarray, ends: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
     """The links of the rows of each run [start, end)."""
     prints = prints.view(np.uint64)
     two = starts[ends - starts == 2]
@@ -196,20 +216,67 @@ def _met(key: np.ndarray, prints: np.ndarray, node: np.ndarray, starts: np.ndarr
     found_a, found_b = [node[two]], [node[two + 1]]
     more = ends - starts > 2
     for lo, hi in zip(starts[more].tolist(), ends[more].tolist(), strict=True):
-        a, b = nearest_links(prints[lo:hi])
-        if a:
+        a, b = (nearest_links if hi - lo <= bucket else listed_links)(prints[lo:hi])
+        if len(a):
             found_a.append(node[lo:hi][a])
             found_b.append(node[lo:hi][b])
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     if len(a):
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], FOUND)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], FOUND)
 
 
-def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def _forests(rows: DataFrame, depth: int, bucket: int, most: int) -> DataFrame:
+    """Links of the ``rows`` (key, print, node, and ``of`` if they were dealt again) of each key, and members of keys with over ``most``.
+
+    Rows come in order of key. Of a key that goes on in the next batch no more than ``most`` rows are held.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large_key = None, None
+        for rows in _joined(batches):
+            if not depth:
+                rows.append(rows[0] >> 34)
+            key, prints, node, of = rows if held is None else (np.concatenate(x) for x in zip(held, rows, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
+            ends = np.append(starts[1:], len(key))
+            large = ends - starts > most
+            large[0] |= (key[0], of[0]) == large_key
+            large_key = (key[-1], of[-1]) if large[-1] else None
+            held = tuple(x[len(x) if large[-1] else starts[-1] :].copy() for x in (key, prints, node, of))
+            yield from _met(prints, node, starts[:-1][~large[:-1]], ends[:-1][~large[:-1]], bucket)
+            again = np.repeat(large, ends - starts)
+            if again.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(of[again]), pa.array(prints[again]), pa.array(node[again]), pa.nulls(int(again.sum()), pa.int64())], FOUND)
+        if held and len(held[0]):
+            yield from _met(held[1], held[2], np.array([0]), np.array([len(held[0])]), bucket)
+
+    return durable(rows.mapInArrow(met, "of long, print long, a long, b long"))
+
+
+def _dealt_again(large: DataFrame, depth: int) -> DataFrame:
+    """Rows (key, print, node, of) of members (of, print, node) of large buckets: one for each part of the bits that were free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, prints, node = (batch.column(k).to_numpy() for k in range(3))
+            kinds, at = np.unique(of, return_inverse=True)
+            parts = np.array([parts_of(x & (4 << 2 * depth) - 1, depth) for x in kinds.tolist()], np.uint64).reshape(-1, 3)
+            shared = ~(parts.sum(axis=1, keepdims=True) - parts)[at]
+            for k in range(3):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((prints.view(np.uint64) & shared[:, k]).view(np.int64)), pa.array(prints), pa.array(node), pa.array(of << 2 | k)],
+                    ["key", "print", "node", "of"],
+                )
+
+    return large.mapInArrow(run, "key long, print long, node long, of long")
+
+
+def links(nodes: DataFrame, bucket: int = BUCKET, most: int = MOST) -> DataFrame:
     """Links (a, b) of nodes whose fingerprints differ in two bits or fewer; they join all such nodes.
 
     ``nodes`` has distinct fingerprints: kind (int), print, node (long); only
-    fingerprints of one kind are compared.
+    fingerprints of one kind are compared. ``most`` is 8 at least.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,38 +288,16 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 ["key", "print", "node"],
             )
 
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of key. Of a key that goes on in the next batch no more than ``bucket`` rows are held."""
-        held, large_key = tuple(np.zeros(0, np.int64) for _ in range(3)), None
-        for rows in _joined(batches):
-            key, prints, node = (np.concatenate(x) for x in zip(held, rows, strict=True))
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.append(starts[1:], len(key))
-            large = (ends - starts > bucket) | (key[starts] == large_key)
-            large_key = int(key[-1]) if large[-1] else None
-            held = tuple(x[len(x) if large[-1] else starts[-1] :] for x in (key, prints, node))
-            yield from _met(key, prints, node, starts[:-1][~large[:-1]], ends[:-1][~large[:-1]])
-            of = np.repeat(large, ends - starts)
-            if of.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((key[of] >> 36).astype(np.int32)), pa.array(prints[of]), pa.array(node[of]), pa.nulls(int(of.sum()), pa.int64())], FOUND)
-        if len(held[0]):
-            yield from _met(*held, np.array([0]), np.array([len(held[0])]))
-
     keys = nodes.select("kind", "print", "node").mapInArrow(keyed, "key long, print long, node long")
     # Keys are many: they are moved once, and rows that meet follow each other.
-    found = durable(keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(met, "kind int, print long, a long, b long"))
-    pairs = found.where("print is null").select("a", "b")
-    large = found.where("print is not null").select("kind", "print", F.col("a").alias("node")).distinct()
-    near = F.expr("concat(array(print), transform(sequence(0, 63), i -> print ^ shiftleft(1L, i)))")
-    # At most 65 different fingerprints can be on a list. Two that are near each other share two lists: where they are
-    # alone on one, the list of the smaller fingerprint joins them, or the other if that has more.
-    lists = large.select("kind", "print", "node", F.explode(near).alias("near")).groupBy("kind", "near").agg(
-        F.min("node").alias("a"), F.collect_list("node").alias("all"), F.bit_xor("print").alias("both")
-    )
-    lists = lists.where("size(all) > 2 or (size(all) = 2 and (both ^ near) > near)")
-    stars = lists.select("a", F.explode(F.array_remove("all", F.col("a"))).alias("b"))
-    return pairs.unionAll(stars)
+    found = _forests(keys.repartition("key").sortWithinPartitions("key", "node"), 0, bucket, most)
+    pairs, depth = found.where("print is null").select("a", "b"), 0
+    while not (large := found.where("print is not null").select("of", "print", F.col("a").alias("node"))).isEmpty():
+        keys = _dealt_again(large.distinct(), depth)
+        depth += 1
+        found = _forests(keys.repartition("of", "key").sortWithinPartitions("of", "key", "node"), depth, bucket, most)
+        pairs = pairs.unionAll(found.where("print is null").select("a", "b"))
+    return pairs
 
 
 def nearest_links(prints: np.ndarray, most: int = 2) -> tuple[list[int], list[int]]:
@@ -282,6 +327,39 @@ def nearest_links(prints: np.ndarray, most: int = 2) -> tuple[list[int], list[in
     return found_a, found_b
 
 
+def listed_links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a shortest spanning forest of the fingerprints over distances up to two, without pairs of them.
+
+    Each is listed under those one bit or less from it and joined to the first of every list: the list's
+    own fingerprint, one bit from the others, or else one that is two bits from them.
+    """
+    n = len(prints)
+    varied = int(np.bitwise_or.reduce(prints) ^ np.bitwise_and.reduce(prints))
+    flips = np.array([0, *(1 << b for b in range(64) if varied >> b & 1)], np.uint64)
+    near = (prints[None, :] ^ flips[:, None]).ravel()
+    order = np.argsort(near, kind="stable")  # its own fingerprint begins a list
+    near = near[order]
+    begins = np.concatenate([[True], near[1:] != near[:-1]])
+    first = order[begins][np.cumsum(begins) - 1][~begins]
+    a, b = first % n, order[~begins] % n
+    root = np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for own in (first < n, first >= n):
+        x, y = a[own], b[own]
+        while True:  # every tree but those with no smaller neighbour is hung under one
+            lo, hi = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+            apart = lo != hi
+            x, y, lo, hi = x[apart], y[apart], lo[apart], hi[apart]
+            if not len(x):
+                break
+            hi, one = np.unique(hi, return_index=True)
+            found.append((x[one], y[one]))
+            root[hi] = lo[one]
+            while (root[root] != root).any():
+                root = root[root]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2))
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = durable(fingerprints(docs, shingle).select("doc_id", F.col("prints")[0].alias("print")))

@@ -229,3 +229,27 @@ def test_a_band_gives_no_pairs(spark, block):
     assert {tuple(sorted(x)) for x in found} <= set(alike)
     assert roots(range(len(texts)), found) == roots(range(len(texts)), alike)
     assert len(alike) > 1000 and len(found) < (60 if block == 1024 else 10 * len(texts))
+
+
+@pytest.mark.parametrize("most", [8, 200, golay.MOST])
+def test_large_buckets_give_forests(spark, most):
+    """A dense cloud of fingerprints is joined by fewer links than members a bucket, and by nothing that is listed in rows."""
+    rng = random.Random(13)
+    centre = rng.getrandbits(64)
+    prints = {centre} | {centre ^ (1 << i) ^ (1 << j) for i in range(0, 64, 2) for j in range(64)}
+    prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), 5)) for _ in range(300)}
+    own = np.array(sorted(prints), np.uint64)
+    apart = np.bitwise_count(own[:, None] ^ own[None, :])
+    near = list(zip(*(x.tolist() for x in np.nonzero(np.triu(apart <= 2, 1))), strict=True))
+    nodes = spark.createDataFrame([(0, p, i) for i, p in enumerate(own.view(np.int64).tolist())], "kind int, print long, node long")
+    frame = golay.links(nodes, 4, most)
+    found = [(r["a"], r["b"]) for r in frame.collect()]
+    assert all(apart[a, b] <= 2 for a, b in found)
+    assert roots(range(len(own)), found) == roots(range(len(own)), near)
+    place, _ = golay.keys_of(own)
+    if most == golay.MOST:
+        assert len(found) < len(place)
+    a, b = golay.listed_links(own)
+    assert len(a) == len(set(roots(range(len(own)), near))) - len(set(roots(range(len(own)), near).values()))
+    shortest = golay.nearest_links(own)
+    assert sorted(apart[a, b].tolist()) == sorted(apart[shortest[0], shortest[1]].tolist())
