@@ -7,11 +7,14 @@ directions. The overlap of two tokens begins where one of them does, so the unio
 Where tokens of both sides begin together a group begins; these are the offsets where both end.
 
 How many documents hold a link between two ids is counted corpus-wide. Documents are aligned in blocks of bounded text; a block is
-one row with its different id pairs, how many of its documents hold each, and for each document the places of its own
-pairs in that list. Only (block, pair) rows are counted, joined and brought back to the block, so no task sees more
-than a block, and no row a pair of tokens.
+one row with its different id pairs, how many of its documents hold each, and its documents packed to one value, with the
+places of their own pairs in that list. Only (block, pair) rows are counted, joined and brought back to the block, so no
+task sees more than a block, and no row a pair of tokens.
 
-Each side encodes a different word once a worker (``known``); no token crosses a border of such words: for the
+Memory: a worker holds ``KNOWN`` words of either side, the arrays of ``RUN`` characters and the places of one block, whatever
+the input; the JVM moves packed documents, a few rows to a row group, which bounds what is read or written at a time.
+
+Each side encodes a different word once a worker as long as it is kept (``known``); no token crosses a border of such words: for the
 byte-level side they are its pattern's matches, for the piece side runs of marks with what follows. Texts beyond ``PIECE``
 are worked on in parts cut in front of a single space between two characters that aren't white space, where both sides cut.
 
@@ -29,6 +32,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,17 +48,22 @@ from feedloom.session import durable
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of text aligned at a time, and text bytes in a block of documents.
+#: Characters of text aligned at a time, where groups are given out and where they are summed up, and text bytes in a block of documents.
 PIECE = 1 << 20
+RUN = 1 << 18
 BLOCK = 8 << 20
+#: Bytes that a document counts in its block besides its text: empty texts fill one, too.
+ROW = 100
 #: Words that a worker keeps of either side.
-KNOWN = 500_000
+KNOWN = 200_000
+#: Blocks are large rows: a row group ends after some megabytes of them, not after a hundred at least.
+GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 
 
 class Side:
     """One tokenizer: its words, and for every text the ids and whether their bytes are the text's.
 
-    A new word whose ids don't give its bytes back is remembered, and a text with such a word is not good.
+    A new word whose ids don't give its bytes back is remembered as long as it is kept, and a text with such a word is not good.
     """
 
     #: Of each id.
@@ -66,10 +75,15 @@ class Side:
         def checked(words: list[str]) -> list[Sequence[int]]:
             found = encode(words)
             table = self.bytes
-            for word, ids in zip(words, found, strict=True):
-                parts = [table[i] for i in ids]
-                if b"".join(parts) != self.raw(word) or not all(parts):
-                    self.bad.add(word)
+            # Some at a time: mostly all are good.
+            for k in range(0, len(words), 1000):
+                own, ids = words[k : k + 1000], found[k : k + 1000]
+                if self._all_good(own, ids):
+                    continue
+                for word, some in zip(own, ids, strict=True):
+                    parts = [table[i] for i in some]
+                    if b"".join(parts) != self.raw(word) or not all(parts):
+                        self.bad.add(word)
             return found
 
         self.known = Known(checked, KNOWN)
@@ -77,9 +91,24 @@ class Side:
     def raw(self, word: str) -> bytes:
         return word.encode()
 
+    def _all_good(self, words: list[str], found: list[Sequence[int]]) -> bool:
+        """Whether the ids give the bytes of all words: so they do together, and as many for each."""
+        parts = list(map(self.bytes.__getitem__, chain.from_iterable(found)))
+        raw = self.raw("".join(words))
+        if b"".join(parts) != raw:
+            return False
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        # A character below U+0080 is a byte, and a mark is read as one of these.
+        own = words if raw.isascii() else map(self.raw, words)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+        return bool(sizes.all()) and np.array_equal(ends, np.cumsum(np.fromiter(map(len, own), np.int64, len(words))))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, how many each has, and whether they are its bytes."""
         words, counts = words_of(texts, self.split)
+        if len(self.bad) > self.known.limit:
+            # Words that are not kept are checked again when they come again.
+            self.bad.intersection_update(self.known.numbers)
         ids, sizes = self.known.words_of(words, counts)
         good = np.ones(len(texts), bool)
         if self.bad:
@@ -281,15 +310,25 @@ class _Rows:
         return [s.hexdigest() if s is not None and good else "" for s, good in zip(self.sums, self.good.tolist(), strict=True)]
 
 
-BLOCKS = (
-    "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-    "groups_sha256 array<string>, n_places array<int>, places array<int>, times array<int>, pairs array<long>, held array<int>"
-)
+BLOCKS = "block long, documents binary, pairs array<long>, held array<int>"
 BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def blocks(docs: DataFrame, a_path: str, b_path: str, pattern: str, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as one compressed value: for the JVM, bytes instead of long arrays that are copied by element and held unpacked."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.Scalar) -> pa.RecordBatch:
+    (batch,) = pa.ipc.open_stream(value.as_buffer())
+    return batch
+
+
+def blocks(docs: DataFrame, a_path: str, b_path: str, pattern: str, block: int = BLOCK, piece: int = RUN) -> DataFrame:
     """The documents aligned, a row for each block of them (written out, as it is read twice)."""
     small_batches(docs.sparkSession)
 
@@ -299,20 +338,28 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, pattern: str, block: int =
         held, size = [], 0
 
         def written() -> pa.RecordBatch:
-            ids, counts, digests, n_places, places, times = (list(x) for x in zip(*held, strict=True))
-            all_pairs, back, n_held = np.unique(np.concatenate(places), return_inverse=True, return_counts=True)
-            counts = np.concatenate(counts, axis=1)
-            columns = [
-                pa.array([number], pa.int64()), pa.array([[x for own in ids for x in own]], pa.list_(pa.int64())),
-                *[pa.array([row], pa.list_(pa.int64())) for row in counts],
-                pa.array([[x for own in digests for x in own]], pa.list_(pa.string())),
-                *[
-                    pa.array([x.astype(np.int32)], pa.list_(pa.int32()))
-                    for x in (np.concatenate(n_places), back, np.concatenate(times))
-                ],
-                pa.array([all_pairs], pa.list_(pa.int64())), pa.array([n_held.astype(np.int32)], pa.list_(pa.int32())),
+            ids, counts, digests, n_places, pairs, times = zip(*held, strict=True)
+            held.clear()
+            all_pairs, places, n_held = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
+            del pairs
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(n_places))]).astype(np.int32)
+            lists = [
+                pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (places.astype(np.int32), np.concatenate(times))
             ]
-            return pa.RecordBatch.from_arrays(columns, BLOCK_NAMES)
+            documents = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x for own in ids for x in own], pa.int64()), *map(pa.array, np.concatenate(counts, axis=1)),
+                    pa.array([x for own in digests for x in own], pa.string()), *lists,
+                ],
+                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times"],
+            )
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([number], pa.int64()), pa.array([_packed(documents)], pa.binary()),
+                    pa.array([all_pairs], pa.list_(pa.int64())), pa.array([n_held.astype(np.int32)], pa.list_(pa.int32())),
+                ],
+                BLOCK_NAMES,
+            )
 
         for batch in batches:
             for start, end, data, offsets in text_pieces(batch, 1, piece):
@@ -322,16 +369,16 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, pattern: str, block: int =
                 row, pair, times = rows.links()
                 held.append((
                     batch.column(0).slice(start, end - start).to_pylist(), rows.counts * rows.good, rows.digests(),
-                    np.bincount(row, minlength=end - start), pair, times,
+                    np.bincount(row, minlength=end - start), pair, times.astype(np.int32),
                 ))
-                size += len(data)
+                size += len(data) + ROW * (end - start)
                 if size >= block:
                     yield written()
-                    held, size, number = [], 0, number + 1
+                    size, number = 0, number + 1
         if held:
             yield written()
 
-    return durable(docs.select("doc_id", "text").mapInArrow(run, BLOCKS))
+    return durable(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), **GROUPS)
 
 
 def pair_counts(aligned: DataFrame, n_b: int) -> DataFrame:
@@ -346,13 +393,13 @@ def pair_counts(aligned: DataFrame, n_b: int) -> DataFrame:
 
 def _judged(block: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of one block, with the counts of its pairs."""
-    row = {name: block.column(name)[0].values for name in block.column_names if name != "block"}
+    row = _unpacked(block.column("documents")[0])
     size = len(found)
     n_docs, best = np.zeros(size, np.int64), np.zeros(size, bool)
     place = found.column("place").to_numpy()
     n_docs[place], best[place] = found.column("n_docs").to_numpy(), found.column("best").to_numpy()
-    places, times = row["places"].to_numpy(), row["times"].to_numpy().astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(row["n_places"].to_numpy())])
+    places, times = (row[name].values.to_numpy() for name in ("places", "times"))
+    ends = row["places"].offsets.to_numpy()
     sums = []
     for weight in (best[places] * times, n_docs[places] * times):
         total = np.concatenate([[0], np.cumsum(weight)])
@@ -363,7 +410,7 @@ def _judged(block: pa.Table, found: pa.Table) -> pa.Table:
     )
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, pattern: str, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, pattern: str, block: int = BLOCK, piece: int = RUN) -> DataFrame:
     """Per document: tokens of both sides, groups, links, links that are the best of their A id, and the sum of the links' counts."""
     aligned = blocks(docs, a_path, b_path, pattern, block, piece)
     counts = pair_counts(aligned, _vocabulary(b_path))

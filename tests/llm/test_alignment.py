@@ -1,7 +1,10 @@
 import hashlib
+import sys
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -153,3 +156,82 @@ def test_empty(spark, no_docs):
 def test_query(spark, sides):
     found = queries.op11_token_alignment(spark, "/root/testdata/sf0.001").collect()
     same(found, plain(sides, [(r["doc_id"], r["text"]) for r in documents(spark).collect()]))
+
+
+def test_blocks_are_packed(spark, monkeypatch):
+    """Rows of blocks stay small, and a few are read or written at a time."""
+    texts = [" ".join(f"{'abcdefgh'[(i * j) % 8]}or{i % 7 * j % 31}" for j in range(400)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setitem(alignment.GROUPS, "parquet.block.size", "20000")
+    aligned = alignment.blocks(docs, A, B, PATTERN, block=20_000, piece=5_000)
+    found = alignment.align(docs, A, B, PATTERN).collect()
+    # Two numbers for each different link of a document took 8 bytes; no more than a byte a link here, digests and all.
+    links = sum(r["n_links"] for r in found)
+    assert aligned.count() > 5 and aligned.drop("pairs", "held").toArrow().nbytes < links
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in aligned.inputFiles()]
+    assert sum(g.num_row_groups for g in groups) > 2
+
+
+def test_memory_of_a_worker():
+    """What is held while many different words go by is bounded, and little."""
+    texts = [" " + " ".join(f"w{i}x{j * 7919 % 1000}" for j in range(100)) for i in range(3600)]
+    docs = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": texts})
+
+    class Frame:
+        def __getattr__(self, name):
+            return lambda *_, **__: self
+
+    class Taken(Frame):
+        sparkSession = Frame()
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    taken = Taken()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(alignment, "small_batches", lambda _: None)
+        patch.setattr(alignment, "durable", lambda frame, **_: frame)
+        patch.setattr(alignment, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(int)}))
+        alignment.blocks(taken, A, B, PATTERN)
+        alignment.aligner.cache_clear()
+        rows = sum(batch.num_rows for batch in taken.run(iter([docs])))
+        known = [side.known for side in (alignment.aligner(A, B, PATTERN).a, alignment.aligner(A, B, PATTERN).b)]
+        alignment.aligner.cache_clear()
+    held = sum(
+        sys.getsizeof(k.numbers) + sum(map(sys.getsizeof, k.numbers)) + k.ids.nbytes + k.ends.nbytes + k.uses.nbytes for k in known
+    ) / 1e6
+    assert rows == 1 and held < 50, held
+
+
+def test_words_that_do_not_give_their_bytes():
+    class Swapped(alignment.Side):
+        bytes = [b"a", b"b", b""]
+
+    ids = {"a": [0], "b": [1], "ab": [0, 1], "ba": [0], "abb": [1, 0, 1, 1], "aa": [0, 2, 0]}
+    side = Swapped(str.split, lambda words: [ids[w] for w in words])
+    assert side.known.encode(["a", "b", "ab"]) and not side.bad
+    # Together the bytes are right, word by word they aren't.
+    side.known.encode(["ba", "abb"])
+    assert side.bad == {"ba", "abb"}
+    side.known.encode(["aa", "a"])
+    assert side.bad == {"ba", "abb", "aa"}
+
+
+def test_bad_words_are_bounded():
+    class Bad(alignment.Side):
+        bytes = [b"x"]
+
+    side = Bad(str.split, lambda words: [[0] for _ in words])
+    side.known.limit = 100
+    for k in range(40):
+        texts = ["x", f"y{k}", *(f"w{i}" for i in range(k * 50, k * 50 + 50))]
+        for again in range(2):
+            assert side.encode(texts)[2].tolist() == [True] + [False] * 51
+    assert len(side.bad) <= 300
+
+
+def test_empty_texts_fill_blocks(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "cast(null AS string) AS text").coalesce(1)
+    assert alignment.blocks(docs, A, B, PATTERN, block=50_000).count() > 1
+    assert alignment.align(docs, A, B, PATTERN, block=50_000).distinct().count() == 3000
